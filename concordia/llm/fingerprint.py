@@ -8,7 +8,7 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.llm.common import documents, hex64, likeness64, materialize, space_words, whole_text
@@ -19,10 +19,10 @@ from concordia.llm.votes import shingles, vote
 RANGE_ROWS, MAX_RANGES = 4096, 100_000
 
 
-def term_votes(rows: DataFrame, keys: list[str], text_col: str = "__text", carry: dict[str, Column] | None = None, out: str = "fp") -> DataFrame:
+def term_votes(rows: DataFrame, keys: list[str], text_col: str = "__text", out: str = "fp") -> DataFrame:
     keep = [c for c in rows.columns if c != text_col]
     words = rows.select(*keep, space_words(F.lower(text_col)).alias("__words"))
-    return vote(shingles(words, "__words", 2), keys, carry, weight=F.least(F.octet_length("__term"), F.lit(64)), out=out)
+    return vote(shingles(words, "__words", 2), keys, weight=F.least(F.octet_length("__term"), F.lit(64)), out=out)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,14 +91,15 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("edited"), edited.alias("t")))
     )
     both = rows.select("range", "guest", "doc_id", "place", F.explode(sides).alias("s"))
-    both = both.select("range", "guest", "doc_id", "place", F.col("s.edited").alias("edited"), F.char_length("s.t").cast("long").alias("n_chars"), F.sha2(F.col("s.t"), 256).alias("sha"), F.col("s.t").alias("__text"))
-    voted = term_votes(both, ["range", "place", "edited"], carry={k: F.first(k) for k in ("guest", "doc_id", "n_chars", "sha")})
+    both = both.select("range", "guest", "doc_id", "place", F.col("s.edited").alias("edited"), F.char_length("s.t").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("s.t"), 256)).alias("sha"), F.col("s.t").alias("__text"))
+    # What a row carries is grouped by with its place: as aggregates, strings would force a sort of all terms.
+    voted = term_votes(both, ["range", "place", "edited", "guest", "doc_id", "n_chars", "sha"])
     pairs = voted.groupBy("range", "place").agg(
         F.first("guest").alias("guest"),
         F.first("doc_id").alias("doc_id"),
         *[F.max(F.when(~F.col("edited"), F.col(c))).alias(c) for c in ("fp", "n_chars")],
         F.max(F.when(F.col("edited"), F.col("fp"))).alias("edited_fp"),
-        F.max(F.when(F.col("edited"), F.col("sha"))).alias("edited_sha256"),
+        F.lower(F.hex(F.max(F.when(F.col("edited"), F.col("sha"))))).alias("edited_sha256"),
     )
     ahead = F.lead("fp").over(Window.partitionBy("range").orderBy("place"))
     out = materialize(pairs.withColumn("next_fp", ahead).where(~F.col("guest")).drop("guest", "place"), "fingerprints")

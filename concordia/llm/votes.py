@@ -30,15 +30,15 @@ def shingles(df: DataFrame, words: str, k: int, out: str = "__term") -> DataFram
     return rows.select(*keep, shingle(F.col(words), F.col("__pos"), F.col("__word"), k).alias(out))
 
 
-def vote(terms: DataFrame, keys: list[str], carry: dict[str, Column] | None = None, term: str = "__term", weight: Column | None = None, out: str = "__fp") -> DataFrame:
+def vote(terms: DataFrame, keys: list[str], term: str = "__term", weight: Column | None = None, out: str = "__fp") -> DataFrame:
     """One row per keys with the fingerprint: a bit is 1 if over half the weight of the terms has it set.
 
-    Terms '' have no vote; without votes the fingerprint is zero. carry: further aggregates.
+    Terms '' have no vote; without votes the fingerprint is zero.
     """
     w = F.when(F.col(term) == "", F.lit(0)).otherwise(F.lit(1) if weight is None else weight).cast("long")
-    rows = terms.select(*keys, *[c for c in terms.columns if c not in keys and carry], F.xxhash64(term).alias("__h"), w.alias("__w"))
+    rows = terms.select(*keys, F.xxhash64(term).alias("__h"), w.alias("__w"))
     lanes = [F.sum(F.shiftrightunsigned("__h", j).bitwiseAND(F.lit(_LANES)) * F.col("__w")).alias(f"__s{j}") for j in range(32)]
-    sums = rows.groupBy(*keys).agg(F.sum("__w").alias("__n"), *lanes, *[v.alias(k) for k, v in (carry or {}).items()])
+    sums = rows.groupBy(*keys).agg(F.sum("__w").alias("__n"), *lanes)
 
     def bit(count: Column, j: int) -> Column:
         return F.when(count * 2 > F.col("__n"), F.lit((1 << j) if j < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
@@ -48,4 +48,4 @@ def vote(terms: DataFrame, keys: list[str], carry: dict[str, Column] | None = No
         s = F.col(f"__s{j}")
         for b in (bit(s.bitwiseAND(F.lit(_LOW)), j), bit(F.shiftrightunsigned(s, 32), j + 32)):
             fp = b if fp is None else fp.bitwiseOR(b)
-    return sums.select(*keys, *(carry or {}), fp.alias(out))
+    return sums.select(*keys, fp.alias(out))
