@@ -77,7 +77,8 @@ def _solve(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     content = table.column("content").to_pylist()
     length = np.array([len(c) for c in content])
     at = np.cumsum(length + 1) - length - 1  # a separator behind each segment
-    s = np.frombuffer(b"\0".join(content) + b"\0", np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\0".join(content) + b"\0", np.uint8)
+    s = raw.astype(np.int64) + 2
     ends = at + length
     s[ends] = 1
     valid = np.zeros(len(s) + 1, np.int8)
@@ -87,12 +88,12 @@ def _solve(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     order = suffix_array(s)
     order = order[valid[order]]  # windows only, in suffix order
     same = np.zeros(len(order), bool)  # as the window before
-    small, inside = s.astype(np.int16), np.arange(window)
+    views = np.lib.stride_tricks.sliding_window_view(raw, window)
     for i in range(1, len(order), 1 << 15):
         a = order[i - 1 : i - 1 + (1 << 15)]
         b = order[i : i + (1 << 15)]
         a = a[: len(b)]
-        same[i : i + len(b)] = (small[a[:, None] + inside] == small[b[:, None] + inside]).all(1)
+        same[i : i + len(b)] = (views[a] == views[b]).all(1)
     which = np.searchsorted(at, order, "right") - 1
     place = start[which] + order - at[which]
     by = np.lexsort((place, did[which]))
