@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import documents, materialize
 
-WINDOW, END_ID, GROUP, MEMO, PART = 1024, 0, 1 << 16, 150_000, 1 << 20
+WINDOW, END_ID, GROUP, MEMO, PART = 1024, 0, 1 << 16, 300_000, 1 << 20
 #: Anything but single spaces and single line ends between visible characters; such texts are encoded whole.
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|[\x1c-\x1f\x85]")
 #: The text of the vocabulary's only special token.
@@ -53,7 +55,7 @@ class Encoder:
 
     def _ids(self, text: str) -> bytes:
         ids = self.fast.encode_ordinary(text) if self.fast and _SPECIAL not in text else self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def parts(self, text: str) -> Iterator[str]:
         """Pieces of about PART characters, cut before a space between two ASCII letters, where the pretokenizer parts as well."""
@@ -91,6 +93,12 @@ class Encoder:
         return got
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
+    """One for each worker process: its words serve the tasks that follow."""
+    return Encoder(path, ranks, pattern)
+
+
 def default_paths() -> dict[str, str]:
     import public_tokenizers as P
 
@@ -101,12 +109,12 @@ def pieces(docs: DataFrame, tokenizer: dict[str, str] | None = None, window: int
     """doc_id, start, length, ids_crc32, doc_tokens: full windows of each document, then its rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(**(tokenizer or default_paths()))
+        encode = encoder(**(tokenizer or default_paths())).encode
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
+                ids = encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]
