@@ -6,7 +6,7 @@ Within a partition, a table's fingerprints are sorted by Gray rank, which brings
 bits together. Runs of the order form leaves, runs of leaves form upper nodes; a node keeps the bits that
 all below it share. Two nodes meet only if their shared bits differ in no more than the radius, which
 settles whole groups at once; nodes that already belong to one component are not compared again.
-Each partition returns a spanning forest of its links, never all pairs.
+Each partition returns a spanning forest of direct links, never all pairs.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ def _permute(fps: np.ndarray, first: tuple[int, ...], blocks: int) -> tuple[np.n
 class _Forest:
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # those that joined two trees
 
     def union(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
@@ -68,8 +69,12 @@ class _Forest:
             apart = a != b
             if not apart.any():
                 return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            i, j = i[apart], j[apart]
+            high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            np.minimum.at(self.root, high, low)
+            won = np.flatnonzero(self.root[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]
+            self.links.append((i[won], j[won]))
             while True:
                 up = self.root[self.root]
                 if (up == self.root).all():
@@ -78,7 +83,7 @@ class _Forest:
 
 
 def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (member, root) that span the components of links among distinct codes with equal top key_bits."""
+    """Index pairs of direct links that span the components of all links among distinct codes with equal top key_bits."""
     n = len(codes)
     rank = gray_rank(codes)
     order = np.argsort(rank, kind="stable")
@@ -136,21 +141,24 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarr
             near = (key[i] == key[j]) & (np.bitwise_count(code[i] ^ code[j]) <= radius)
             if near.any():
                 forest.union(i[near], j[near])
-    member = np.flatnonzero(forest.root != np.arange(n))
-    return order[member], order[forest.root[member]]
+    if not forest.links:
+        return np.empty(0, int), np.empty(0, int)
+    i, j = (np.concatenate(x) for x in zip(*forest.links, strict=True))
+    return order[i], order[j]
 
 
 def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str = "fp") -> DataFrame:
-    """Links (a, b) that span the same components as all pairs of fingerprints within the radius.
+    """Links (a, b) within the radius that span the same components as all pairs of fingerprints within it.
 
     fingerprints: a column of distinct longs. Nulls have no links.
     """
     masks = block_masks(blocks)
     tables = block_tables(blocks, radius)
-    keys = [F.struct(F.lit(t).alias("t"), F.col(col).bitwiseAND(F.lit(signed(sum(masks[i] for i in chosen)))).alias("k")) for t, chosen in enumerate(tables)]
-    dealt = fingerprints.where(F.col(col).isNotNull()).select(F.explode(F.array(*keys)).alias("x"), F.col(col).alias("fp"))
-    n = partitions(fingerprints.sparkSession)
-    dealt = dealt.select("x.t", "x.k", "fp").repartition(n, "t", "k").select("t", "fp")
+    key_masks = F.array(*[F.lit(signed(sum(masks[i] for i in chosen))) for chosen in tables])
+    rows = fingerprints.where(F.col(col).isNotNull()).select(F.col(col).alias("fp"))
+    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), "fp")
+    # The key follows from t and fp, so it is not shuffled itself.
+    dealt = dealt.repartition(partitions(fingerprints.sparkSession), F.col("t"), F.col("fp").bitwiseAND(F.get(key_masks, F.col("t"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]

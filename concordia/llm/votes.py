@@ -30,13 +30,13 @@ def shingles(df: DataFrame, words: str, k: int, out: str = "__term") -> DataFram
     return rows.select(*keep, shingle(F.col(words), F.col("__pos"), F.col("__word"), k).alias(out))
 
 
-def vote(terms: DataFrame, keys: list[str], term: str = "__term", weight: Column | None = None, out: str = "__fp") -> DataFrame:
+def vote(terms: DataFrame, keys: list[str], term: str = "__term", weight: Column | None = None, out: str = "__fp", seed: str | None = None) -> DataFrame:
     """One row per keys with the fingerprint: a bit is 1 if over half the weight of the terms has it set.
 
-    Terms '' have no vote; without votes the fingerprint is zero.
+    Terms '' have no vote; without votes the fingerprint is zero. seed: a column that, hashed first, seeds the terms' hash.
     """
     w = F.when(F.col(term) == "", F.lit(0)).otherwise(F.lit(1) if weight is None else weight).cast("long")
-    rows = terms.select(*keys, F.xxhash64(term).alias("__h"), w.alias("__w"))
+    rows = terms.select(*keys, F.xxhash64(*([seed] if seed else []), term).alias("__h"), w.alias("__w"))
     lanes = [F.sum(F.shiftrightunsigned("__h", j).bitwiseAND(F.lit(_LANES)) * F.col("__w")).alias(f"__s{j}") for j in range(32)]
     sums = rows.groupBy(*keys).agg(F.sum("__w").alias("__n"), *lanes)
 

@@ -14,9 +14,10 @@ from concordia.llm.common import documents, materialize
 
 #: A document goes if no language holds this share of the evidence.
 LEAST_SCORE = 0.5
-#: Near-duplicate stage: words of a shingle, differing bits, and blocks of the index. Two texts whose shingle sets
-#: have a Jaccard similarity j differ in about 64 * acos(2j / (1 + j)) / pi bits.
-SHINGLE, RADIUS, BLOCKS = 5, 7, 9
+#: Near-duplicate stage: words of a shingle, prints of 64 bits, differing bits that make a candidate in one print,
+#: blocks of the index, and differing bits of all prints that make a link. Two texts whose shingle sets have a
+#: Jaccard similarity j differ in a share of about acos(2j / (1 + j)) / pi of the bits: 29 of 192 at 0.8.
+SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS = 5, 3, 7, 9, 32
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join, the document with the smallest doc_id stays."""
-    found = simhash_dedup.simhash_components(docs, SHINGLE, RADIUS, BLOCKS)
+    found = simhash_dedup.similar_groups(docs, SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS)
     copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
     return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
