@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from concordia.operators.enrich import last_wins
 
+ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string())}
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -63,13 +64,13 @@ def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 
 def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
     """files (path, content) through a function of (path, bytes) that yields rows of the schema."""
-    names = [part.split()[0] for part in schema.split(", ")]
+    arrow = pa.schema([(name, ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if rows := list(decode(path, content.as_py())):
-                    yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
+                    yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(arrow.names)}, arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
