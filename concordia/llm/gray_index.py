@@ -115,16 +115,11 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarr
             stack += [(level, a[i : i + CHUNK], b[i : i + CHUNK]) for i in range(0, len(a), CHUNK)]
             continue
         size, count = (FAN, len(levels[level - 1][0])) if level else (LEAF, n)
-        if not level:  # leaves that are one component already need no comparison
-            first = forest.root[a * LEAF]
-            top = np.minimum(a * LEAF + LEAF, n) - 1
-            tail = np.minimum(b * LEAF + LEAF, n) - 1
-            ends = (first == forest.root[b * LEAF]) & (first == forest.root[top]) & (first == forest.root[tail])
-            if ends.any():
-                inside = np.arange(LEAF)
-                whole = lambda x: (forest.root[np.minimum(x[:, None] * LEAF + inside, n - 1)] == first[:, None]).all(1)
-                fresh = ~(ends & whole(a) & whole(b))
-                a, b = a[fresh], b[fresh]
+        # Pairs of nodes that are one component already need no comparison.
+        below = np.arange(0, n, LEAF * FAN**level)
+        least, most = np.minimum.reduceat(forest.root, below), np.maximum.reduceat(forest.root, below)
+        open_ = (least[a] != most[a]) | (least[b] != most[b]) | (least[a] != least[b])
+        a, b = a[open_], b[open_]
         step = np.arange(size)
         i = np.broadcast_to((a[:, None] * size + step)[:, :, None], (len(a), size, size)).ravel()
         j = np.broadcast_to((b[:, None] * size + step)[:, None, :], (len(b), size, size)).ravel()
