@@ -82,8 +82,11 @@ class _Forest:
                 self.root = up
 
 
-def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of direct links that span the components of all links among distinct codes with equal top key_bits."""
+def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray | None = None, most_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of direct links that span the components of all links among codes with equal top key_bits.
+
+    wide: further words of each code, a row each; then a link also has at most most_bits differing bits in these.
+    """
     n = len(codes)
     rank = gray_rank(codes)
     order = np.argsort(rank, kind="stable")
@@ -93,6 +96,7 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarr
     busy[1:] |= same
     busy[:-1] |= same
     order, code, key = order[busy], code[busy], key[busy]
+    more = None if wide is None else wide[:, order]
     n = len(code)
     if not n:
         return np.empty(0, int), np.empty(0, int)
@@ -134,33 +138,45 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int) -> tuple[np.ndarr
                 stack.append((level - 1, i[near], j[near]))
         else:
             near = (key[i] == key[j]) & (np.bitwise_count(code[i] ^ code[j]) <= radius)
-            if near.any():
-                forest.union(i[near], j[near])
+            i, j = i[near], j[near]
+            if more is not None and len(i):
+                near = sum(np.bitwise_count(x[i] ^ x[j]).astype(int) for x in more) <= most_bits
+                i, j = i[near], j[near]
+            if len(i):
+                forest.union(i, j)
     if not forest.links:
         return np.empty(0, int), np.empty(0, int)
     i, j = (np.concatenate(x) for x in zip(*forest.links, strict=True))
     return order[i], order[j]
 
 
+def _deal(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """A row (t, fp, ..) for each table t, those with equal keys in one partition."""
+    masks, tables = block_masks(blocks), block_tables(blocks, radius)
+    key_masks = F.array(*[F.lit(signed(sum(masks[i] for i in chosen))) for chosen in tables])
+    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *rows.columns)
+    # The key follows from t and fp, so it is not shuffled itself.
+    return dealt.repartition(partitions(rows.sparkSession), F.col("t"), F.col("fp").bitwiseAND(F.get(key_masks, F.col("t"))))
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    return [np.concatenate(x) for x in zip(*got, strict=True)]
+
+
 def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str = "fp") -> DataFrame:
     """Links (a, b) within the radius that span the same components as all pairs of fingerprints within it.
 
     fingerprints: a column of distinct longs. Nulls have no links.
     """
-    masks = block_masks(blocks)
     tables = block_tables(blocks, radius)
-    key_masks = F.array(*[F.lit(signed(sum(masks[i] for i in chosen))) for chosen in tables])
     rows = fingerprints.where(F.col(col).isNotNull()).select(F.col(col).alias("fp"))
-    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), "fp")
-    # The key follows from t and fp, so it is not shuffled itself.
-    dealt = dealt.repartition(partitions(fingerprints.sparkSession), F.col("t"), F.col("fp").bitwiseAND(F.get(key_masks, F.col("t"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        got = _columns(batches)
         if not got:
             return
-        table, fps = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
+        table, fps = got
         for t, chosen in enumerate(tables):
             mine = fps[table == t].view(np.uint64)
             if len(mine) > 1:
@@ -170,4 +186,38 @@ def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str =
                     mine = mine.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(mine[b])], names=["a", "b"])
 
-    return dealt.mapInArrow(search, "a long, b long")
+    return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")
+
+
+def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, radius: int, blocks: int, most_bits: int) -> DataFrame:
+    """(a, b) that span the components of all pairs within the radius in column names[at] and most_bits in all of names.
+
+    Each node points to the smallest one of its component in a partition and table: most tables then say
+    the same of a large group, and distinct() takes these together before the shuffle.
+    """
+    tables = block_tables(blocks, radius)
+    rows = nodes.select(F.col(names[at]).alias("fp"), F.col(node).alias("node"), *[F.col(n).alias(f"w{i}") for i, n in enumerate(names) if i != at])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _columns(batches)
+        if not got:
+            return
+        table = got[0]
+        for t, chosen in enumerate(tables):
+            fps, mine, *wide = (c[table == t] for c in got[1:])
+            if len(mine) < 2:
+                continue
+            codes, bits = _permute(fps.view(np.uint64), chosen, blocks)
+            more = np.array([codes, *[w.view(np.uint64) for w in wide]])
+            i, j = local_links(codes, bits, radius, more, most_bits)
+            if not len(i):
+                continue
+            forest = _Forest(len(mine))
+            forest.union(i, j)
+            least = mine.copy()
+            np.minimum.at(least, forest.root, mine)
+            head = least[forest.root]
+            far = head != mine
+            yield pa.RecordBatch.from_arrays([pa.array(head[far]), pa.array(mine[far])], names=["a", "b"])
+
+    return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import ascii_lower, documents, hex64, materialize, space_words, whole_text
 from concordia.llm.components import components
-from concordia.llm.gray_index import hamming_links
+from concordia.llm.gray_index import hamming_links, wide_links
 from concordia.llm.votes import shingles, vote
 
 
@@ -52,28 +52,16 @@ def wide_prints(docs: DataFrame, shingle_words: int, parts: int, id_col: str = "
 
 
 def similar_groups(docs: DataFrame, shingle_words: int, parts: int, radius: int, blocks: int, most_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, component_id) by several prints: a pair within the radius in one print is a candidate, and a link
-    if all prints together differ in at most most_bits bits.
+    """(row, doc_id, component_id) by several prints: two rows are linked if they are within the radius in one print
+    and all prints together differ in at most most_bits bits.
 
-    Each print's index gives direct links that span its candidates, and only those are checked: where a
-    candidate that fails hides another one between the same two trees, that other one counts only if some
-    other table or print finds it.
+    The index tests both, so a pair that is near in one print only neither links nor hides another pair.
     """
     names = [f"fp{s}" for s in range(parts)]
     prints = materialize(wide_prints(docs, shingle_words, parts, id_col, text_col), "prints")
     nodes = materialize(prints.groupBy(*names).agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "nodes")
-    found = []
-    for name in names:
-        heads = materialize(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")), "heads")
-        end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"node_{c}"))  # noqa: B023, E731
-        links = hamming_links(heads, radius, blocks)
-        found.append(links.join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b"))
-        same = nodes.join(heads, nodes[name] == heads.fp).where("node <> head")
-        found.append(same.select(F.col("head").alias("node_a"), F.col("node").alias("node_b")))
-    pairs = reduce(DataFrame.unionAll, found).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names])
-    roots = components(pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most_bits).select("a", "b"))
+    links = [wide_links(nodes, "node", names, s, radius, blocks, most_bits) for s in range(parts)]
+    roots = components(reduce(DataFrame.unionAll, links))
     members = nodes.withColumnRenamed("node", "__node").join(roots, F.col("__node") == roots.node, "left").select(*names, "first", F.coalesce("root", "__node").alias("root"))
     lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(members.join(lowest, "root").select(*names, "component_id"), names).select("row", "doc_id", "component_id")
