@@ -21,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.common import materialize, partitions, whole_text
 
 LAST_ID = (1 << 63) - 1
-#: Windows in a run, tokens handled at once.
-LONGEST_RUN, BATCH = 256, 1 << 18
+#: Windows in a run, tokens handled at once, bytes of whole shards that are solved at once.
+LONGEST_RUN, BATCH, SOLVED = 256, 1 << 18, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -171,10 +172,31 @@ def segments(rows: DataFrame, wanted: DataFrame, spec: Spec, raw: Callable[[obje
     return held.mapInArrow(cut, "m long, seg long, did long, start long, content binary")
 
 
+def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iterator[pa.Table]:
+    """Rows in order of m, as tables of whole shards with little over least bytes of content, or a single larger shard."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        m = b.column(0).to_numpy()
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(4)).to_numpy())])
+        edges = (np.flatnonzero(m[1:] != m[:-1]) + 1).tolist()
+        begin = 0
+        for e in ([0] if held and m[0] != last else []) + edges:
+            if size + total[e] - total[begin] >= least:
+                yield pa.Table.from_batches([*held, b.slice(begin, e - begin)])
+                held, size, begin = [], 0, e
+        held.append(b.slice(begin))
+        size, last = size + int(total[-1] - total[begin]), m[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def spans(rows: DataFrame, spec: Spec, raw: Callable[[object], bytes], solve: Callable[[pa.Table], pa.RecordBatch], label: str) -> DataFrame:
     """(did, cuts): for each document with repeats, [a, b) token ranges that windows met earlier cover.
 
-    solve gets a partition's segments (m, seg, did, start, content), whole shards each, and returns for their windows
+    solve gets segments (m, seg, did, start, content), whole shards each, and returns for their windows
     (m, seg, off, size, at_did, at_start): size windows from off on first start at (at_did, at_start ...).
     """
     spark = rows.sparkSession
@@ -191,11 +213,10 @@ def spans(rows: DataFrame, spec: Spec, raw: Callable[[object], bytes], solve: Ca
     hard = distinct.join(mixed, F.col("m") == F.col("__m"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            yield from solve(pa.Table.from_batches(got))
+        for shards in shard_groups(batches):
+            yield from solve(shards)
 
-    dealt = segments(rows, hard, spec, raw).repartition(partitions(spark), "m")
+    dealt = segments(rows, hard, spec, raw).repartition(partitions(spark), "m").sortWithinPartitions("m")
     solved = dealt.mapInArrow(run, "m long, seg long, off long, size long, at_did long, at_start long")
     answers = materialize(plain.unionAll(solved), f"{label}-answers").select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_start")
     earlier = F.col("at_did") < F.col("did")

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from concordia.llm import queries as q
+from concordia.llm import repeats
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
 SHARED = " ".join(f"tok{i * 7919 % 1000}" for i in range(70))
@@ -239,3 +240,13 @@ def test_sql(spark, at, name):
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert sorted(map(str, ([r[c] for c in columns] for r in ours.collect()))) == sorted(map(str, map(list, theirs.project(", ".join(columns)).fetchall())))
+
+
+@pytest.mark.parametrize("least", [1, 40, 10_000])
+def test_shard_groups(least):
+    rows = [(i // 7 if i < 60 else 9, bytes(i % 5)) for i in range(100)]
+    batches = [pa.RecordBatch.from_arrays([*[pa.array([r[0] for r in rows[i : i + 13]], pa.int64())] * 4, pa.array([r[1] for r in rows[i : i + 13]], pa.binary())], names=["m", "seg", "did", "start", "content"]) for i in range(0, 100, 13)]
+    groups = list(repeats.shard_groups(iter(batches), least))
+    assert [(a.as_py(), c.as_py()) for g in groups for a, c in zip(g["m"], g["content"])] == rows
+    shards = [set(g["m"].to_pylist()) for g in groups]
+    assert all(not a & b for i, a in enumerate(shards) for b in shards[:i])
