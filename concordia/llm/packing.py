@@ -75,7 +75,7 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes:
         lead, body = ("", text[1:]) if text[0] == " " else (None, text)
-        if _SPECIAL in text or _ODD.search(body):
+        if not body or _SPECIAL in text or _ODD.search(body):
             return self._ids(text)
         words = body.replace("\n", " \n").split(" ")
         memo = self.words
