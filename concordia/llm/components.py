@@ -37,3 +37,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
             roots = materialize(roots.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
+
+
+def spanning_links(links: DataFrame) -> DataFrame:
+    """Rows (a, b) of links that span its components: one fewer than a component has nodes.
+
+    Rounds as of components(); each contracted link remembers a link it stands for.
+    """
+    best = F.min(F.struct("u", "v")).alias("l")
+    edges = materialize(links.where("a <> b").select("a", "b").distinct().select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    chosen = edges.where("false").select("u", "v")
+    while not edges.isEmpty():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "u", "v"))
+        parent = both.groupBy("a").agg(F.min(F.struct("b", "u", "v")).alias("p")).select(F.col("a").alias("node"), F.least("a", "p.b").alias("root"), "p.u", "p.v")
+        parent = materialize(parent, "parents")
+        chosen = chosen.unionAll(parent.where("node <> root").select("u", "v"))
+        parent = parent.select("node", "root")
+        while True:
+            up = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = materialize(parent.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+            parent = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        lift = lambda e, c: e.join(parent.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")), c)
+        lifted = lift(lift(edges, "a"), "b").where("r_a <> r_b").select(F.least("r_a", "r_b").alias("a"), F.greatest("r_a", "r_b").alias("b"), "u", "v")
+        edges = materialize(lifted.groupBy("a", "b").agg(best).select("a", "b", "l.u", "l.v"), "links")
+    return chosen.select(F.col("u").alias("a"), F.col("v").alias("b"))

@@ -82,10 +82,11 @@ class _Forest:
                 self.root = up
 
 
-def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray | None = None, most_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of direct links that span the components of all links among codes with equal top key_bits.
+def _near_pairs(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray | None, most_bits: int, groups: np.ndarray | None, forests: list[_Forest]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, i, j) chunk by chunk: places order[i], order[j] of pairs with equal top key_bits that are near each other.
 
-    wide: further words of each code, a row each; then a link also has at most most_bits differing bits in these.
+    groups: a label of each code; codes with one label are one component from the start. The forest of places is
+    put into forests; links that its taker adds meanwhile are heeded.
     """
     n = len(codes)
     rank = gray_rank(codes)
@@ -99,7 +100,7 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray
     more = None if wide is None else wide[:, order]
     n = len(code)
     if not n:
-        return np.empty(0, int), np.empty(0, int)
+        return
     levels = []  # pattern, mask, first key, last key; leaves first
     starts = np.arange(0, n, LEAF)
     ones, some = np.bitwise_and.reduceat(code, starts), np.bitwise_or.reduceat(code, starts)
@@ -112,6 +113,10 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray
         last = np.minimum(starts + FAN, len(ones)) - 1
         ones, some, lo, hi = np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(some, starts), lo[starts], hi[last]
     forest = _Forest(n)
+    if groups is not None:
+        _, at, label = np.unique(groups[order], return_index=True, return_inverse=True)
+        forest.root = at[label]
+    forests.append(forest)
     stack = [(len(levels) - 1, np.zeros(1, int), np.zeros(1, int))]
     while stack:
         level, a, b = stack.pop()
@@ -137,19 +142,41 @@ def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray
             if near.any():
                 stack.append((level - 1, i[near], j[near]))
         else:
-            near = (key[i] == key[j]) & (np.bitwise_count(code[i] ^ code[j]) <= radius)
+            near = key[i] == key[j]
+            i, j = i[near], j[near]
+            near = np.bitwise_count(code[i] ^ code[j]) <= radius
             i, j = i[near], j[near]
             if more is not None and len(i):
                 near = sum(np.bitwise_count(x[i] ^ x[j]).astype(int) for x in more) <= most_bits
                 i, j = i[near], j[near]
+            if groups is not None:
+                near = forest.root[i] != forest.root[j]
+                i, j = i[near], j[near]
             if len(i):
-                forest.union(i, j)
-    if not forest.links:
+                yield order, i, j
+
+
+def local_links(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray | None = None, most_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of direct links that span the components of all links among codes with equal top key_bits.
+
+    wide: further words of each code, a row each; then a link also has at most most_bits differing bits in these.
+    """
+    forests: list[_Forest] = []
+    order = np.empty(0, int)
+    for order, i, j in _near_pairs(codes, key_bits, radius, wide, most_bits, None, forests):
+        forests[0].union(i, j)
+    if not forests or not forests[0].links:
         return np.empty(0, int), np.empty(0, int)
-    i, j = (np.concatenate(x) for x in zip(*forest.links, strict=True))
+    i, j = (np.concatenate(x) for x in zip(*forests[0].links, strict=True))
     return order[i], order[j]
 
 
+def local_pairs(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray, most_bits: int, groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs as of local_links whose groups differ, chunk by chunk."""
+    for order, i, j in _near_pairs(codes, key_bits, radius, wide, most_bits, groups, []):
+        yield order[i], order[j]
+
+
 def _deal(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
     """A row (t, fp, ..) for each table t, those with equal keys in one partition."""
     masks, tables = block_masks(blocks), block_tables(blocks, radius)
@@ -189,14 +216,15 @@ def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str =
     return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")
 
 
-def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, radius: int, blocks: int, most_bits: int) -> DataFrame:
-    """(a, b) that span the components of all pairs within the radius in column names[at] and most_bits in all of names.
+def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int, blocks: int, radius: int, most_bits: int, group: str | None = None) -> DataFrame:
+    """(a, b), a < b: pairs that agree on a table's keys blocks of names[at], are within the radius there and differ in
+    at most most_bits bits of all of names. Every row is such a pair itself.
 
-    Each node points to the smallest one of its component in a partition and table: most tables then say
-    the same of a large group, and distinct() takes these together before the shuffle.
+    Without group, those that span the components of all such pairs of a partition and table; with it, every pair
+    whose groups differ (a pair may come from several tables).
     """
-    tables = block_tables(blocks, radius)
-    rows = nodes.select(F.col(names[at]).alias("fp"), F.col(node).alias("node"), *[F.col(n).alias(f"w{i}") for i, n in enumerate(names) if i != at])
+    tables = block_tables(blocks, blocks - keys)
+    rows = nodes.select(F.col(names[at]).alias("fp"), F.col(node).alias("node"), *([F.col(group).alias("group")] if group else []), *[F.col(n).alias(f"w{i}") for i, n in enumerate(names) if i != at])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
@@ -207,17 +235,12 @@ def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, radius: i
             fps, mine, *wide = (c[table == t] for c in got[1:])
             if len(mine) < 2:
                 continue
+            groups = wide.pop(0) if group else None
             codes, bits = _permute(fps.view(np.uint64), chosen, blocks)
             more = np.array([codes, *[w.view(np.uint64) for w in wide]])
-            i, j = local_links(codes, bits, radius, more, most_bits)
-            if not len(i):
-                continue
-            forest = _Forest(len(mine))
-            forest.union(i, j)
-            least = mine.copy()
-            np.minimum.at(least, forest.root, mine)
-            head = least[forest.root]
-            far = head != mine
-            yield pa.RecordBatch.from_arrays([pa.array(head[far]), pa.array(mine[far])], names=["a", "b"])
+            found = [local_links(codes, bits, radius, more, most_bits)] if groups is None else local_pairs(codes, bits, radius, more, most_bits, groups)
+            for i, j in found:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine[i], mine[j])), pa.array(np.maximum(mine[i], mine[j]))], names=["a", "b"])
 
-    return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")
+    return _deal(rows, blocks - keys, blocks).mapInArrow(search, "a long, b long")

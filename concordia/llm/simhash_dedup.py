@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm.common import ascii_lower, documents, hex64, materialize, space_words, whole_text
-from concordia.llm.components import components
+from concordia.llm.components import components, spanning_links
 from concordia.llm.gray_index import hamming_links, wide_links
 from concordia.llm.votes import shingles, vote
 
@@ -43,28 +43,55 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 3,
     return near_groups(prints, radius, blocks)
 
 
-def wide_prints(docs: DataFrame, shingle_words: int, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, fp0, fp1, ..): independent SimHashes of each row, whose hashes are seeded by the number of the part."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), space_words(ascii_lower(whole_text(text_col))).alias("__words"))
-    terms = shingles(rows, "__words", shingle_words).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    voted = vote(terms, ["row", "doc_id", "__part"], out="fp", seed="__part")
-    return voted.groupBy("row", "doc_id").agg(*[F.max(F.when(F.col("__part") == s, F.col("fp"))).alias(f"fp{s}") for s in range(parts)])
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(row, terms) of rows (row, text): distinct k-word shingles; a shorter text is one, a text without words has ''."""
+    places = F.sequence(F.lit(0), F.greatest(F.size("__words") - k, F.lit(0)))
+    terms = F.transform(places, lambda i: F.concat_ws(" ", F.slice("__words", i + 1, k)))
+    return rows.select("row", space_words(ascii_lower(whole_text("text"))).alias("__words")).select("row", F.array_distinct(terms).alias("terms"))
+
+
+def wide_prints(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """(row, fp0, fp1, ..): independent SimHashes of each row's shingle set, whose hashes are seeded by the number of the part."""
+    # Outer: the filter that explode() infers would split the text again for each shingle. There is always a term.
+    terms = _sets(rows, k).select("row", F.explode_outer("terms").alias("__term")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    voted = vote(terms, ["row", "__part"], out="fp", seed="__part")
+    return voted.groupBy("row").agg(*[F.max(F.when(F.col("__part") == s, F.col("fp"))).alias(f"fp{s}") for s in range(parts)])
 
 
-def similar_groups(docs: DataFrame, shingle_words: int, parts: int, radius: int, blocks: int, most_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, component_id) by several prints: two rows are linked if they are within the radius in one print
-    and all prints together differ in at most most_bits bits.
+def verified(rows: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (by 64-bit hashes of the shingles) have a Jaccard similarity of at least least."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = materialize(_sets(rows.join(wanted, "row", "left_semi"), k).select("row", F.transform("terms", lambda t: F.xxhash64(t)).alias("s")), "sets")
+    for c in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")), c)
+    both = F.size(F.array_intersect("sa", "sb"))
+    return materialize(pairs.where(both / (F.size("sa") + F.size("sb") - both) >= least).select("a", "b"), "verified")
 
-    The index tests both, so a pair that is near in one print only neither links nor hides another pair.
+
+def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int, blocks: int, most_bits: int, wide_radius: int, wide_bits: int, least: float) -> DataFrame:
+    """(row, root) of every row of rows (row, text) that links of a Jaccard similarity of at least least join to another.
+
+    The index only proposes pairs: two rows meet if they agree on blocks - radius blocks of one of their prints. Each
+    pair is measured on its shingles before it links. Three rounds keep the pairs few, though no pair goes unmeasured
+    but within a component:
+    1. rows with equal prints against the smallest of them; those with the same set become one node;
+    2. a spanning forest of pairs within radius (one print) and most_bits (all prints), which joins large groups;
+    3. all pairs within wide_radius and wide_bits whose nodes are not in one component yet.
     """
-    names = [f"fp{s}" for s in range(parts)]
-    prints = materialize(wide_prints(docs, shingle_words, parts, id_col, text_col), "prints")
-    nodes = materialize(prints.groupBy(*names).agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "nodes")
-    links = [wide_links(nodes, "node", names, s, radius, blocks, most_bits) for s in range(parts)]
-    roots = components(reduce(DataFrame.unionAll, links))
-    members = nodes.withColumnRenamed("node", "__node").join(roots, F.col("__node") == roots.node, "left").select(*names, "first", F.coalesce("root", "__node").alias("root"))
-    lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(members.join(lowest, "root").select(*names, "component_id"), names).select("row", "doc_id", "component_id")
+    names, keys = [f"fp{s}" for s in range(parts)], blocks - radius
+    prints = materialize(wide_prints(rows, shingle_words, parts), "prints")
+    firsts = prints.groupBy(*names).agg(F.min("row").alias("a"))
+    alike = materialize(prints.join(firsts, names).where("a <> row").select("a", F.col("row").alias("b")), "alike")
+    same = verified(rows, alike, shingle_words, 1.0)
+    nodes = materialize(prints.join(same, prints.row == same.b, "left_anti"), "nodes")
+    links = reduce(DataFrame.unionAll, [wide_links(nodes, "row", names, s, keys, blocks, radius, most_bits) for s in range(parts)])
+    sure = verified(rows, spanning_links(links), shingle_words, least)
+    roots = components(sure)
+    known = nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, F.coalesce("root", "row").alias("root"))
+    known = materialize(known, "known")
+    wide = reduce(DataFrame.unionAll, [wide_links(known, "row", names, s, keys, blocks, wide_radius, wide_bits, "root") for s in range(parts)])
+    more = verified(rows, materialize(wide.distinct(), "pairs"), shingle_words, least)
+    return components(same.unionAll(sure).unionAll(more)).select(F.col("node").alias("row"), "root")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,12 @@ from concordia.llm.common import documents, materialize
 
 #: A document goes if no language holds this share of the evidence.
 LEAST_SCORE = 0.5
-#: Near-duplicate stage: words of a shingle, prints of 64 bits, differing bits that make a candidate in one print,
-#: blocks of the index, and differing bits of all prints that make a link. Two texts whose shingle sets have a
-#: Jaccard similarity j differ in a share of about acos(2j / (1 + j)) / pi of the bits: 29 of 192 at 0.8.
+#: Near-duplicate stage: words of a shingle, prints of 64 bits, blocks of the index less blocks of a key, blocks of the
+#: index. Two texts whose shingle sets have a Jaccard similarity j differ in a share of about acos(2j / (1 + j)) / pi of
+#: the bits: 10 of 64 and 29 of 192 at 0.8. RADIUS and MOST_BITS bound the pairs that are measured first.
 SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS = 5, 3, 7, 9, 32
+#: Differing bits of one print and of all prints of any pair that is measured; and the similarity that links.
+WIDE_RADIUS, WIDE_BITS, SIMILARITY = 24, 52, 0.8
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +34,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join, the document with the smallest doc_id stays."""
-    found = simhash_dedup.similar_groups(docs, SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS)
-    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Of each group that pairs of at least SIMILARITY join, the row with the smallest doc_id stays (null last, then by row)."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col("__row").alias("row"), "text")
+    found = simhash_dedup.similar_groups(texts, SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS, WIDE_RADIUS, WIDE_BITS, SIMILARITY)
+    members = rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("row")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("k"))
+    best = members.groupBy("root").agg(F.min("k").alias("best"))
+    copies = members.join(best, "root").where("k.row <> best.row").select(F.col("k.row").alias("__copy"))
+    return rows.join(copies, F.col("__row") == F.col("__copy"), "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,57 @@ def test_run(spark, at):
 
 def test_empty(spark, at):
     assert cp.run(spark, at["empty"]).count() == 0
+
+
+def shingle_set(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+    return frozenset(" ".join(w[j : j + cp.SHINGLE]) for j in range(max(1, len(w) - cp.SHINGLE + 1)))
+
+
+def near_survivors(rows):
+    """Places of the rows that stay, by brute force over all pairs that share a shingle."""
+    sets, holders, root = [shingle_set(r["text"]) for r in rows], defaultdict(list), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = defaultdict(int)
+        for x in s:
+            for j in holders[x]:
+                common[j] += 1
+            holders[x].append(i)
+        for j, n in common.items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append((r["doc_id"] is None, r["doc_id"] or 0, i))
+    return {min(g)[2] for g in groups.values()}
+
+
+def changed(words, share, tag):
+    return " ".join(f"{tag}{i}" if i < share * len(words) else w for i, w in enumerate(words))
+
+
+def test_near_is_exact_jaccard(spark, at):
+    texts = [r["text"] for r in at["rows"][:100]]
+    for n in range(40):  # a copy whose first words are changed: Jaccard similarities on both sides of 0.8
+        words = [f"w{n}x{i * 7919 % 5003}" for i in range(120 + n)]
+        texts += [" ".join(words), changed(words, 0.06 + n % 10 * 0.012, f"c{n}y")]
+    texts += [changed([f"g{i}" for i in range(300)], 0, "") + f" end{i}" for i in range(60)]  # a large group
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": 0} for i, t in enumerate(texts)]
+    kept = cp.near_stage(spark, spark.createDataFrame(rows).select(*COLUMNS), at["docs"])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(near_survivors(rows))
+
+
+def test_near_drops_rows_not_ids(spark, at):
+    a, b, c = ([f"{p}{i}" for i in range(200)] for p in "abc")
+    texts = [(1, a), (None, [*a, "end"]), (None, b), (None, c), (7, ["x", *b]), (7, [*c, "end"]), (None, [*map(str, range(90))]), (7, [*map(str, range(300, 390))])]
+    rows = [{"doc_id": i, "text": " ".join(t), "lang": "en", "source": "s", "n_chars": 0} for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = cp.near_stage(spark, spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], schema), at["docs"])
+    want = sorted((str(rows[i]["doc_id"]), rows[i]["text"]) for i in near_survivors(rows))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
