@@ -42,13 +42,17 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The surviving rows of docs, with all their columns."""
-    text = whole_text(text_col)
-    best = F.max(id_col) if keep == "max" else F.min(id_col)
-    content = F.unhex(F.md5(text))
-    survivors = docs.groupBy(content.alias("__hash"), text.alias("__text")).agg(best.alias("__id")).select("__id", "__hash")
-    rows = docs.withColumn("__hash", content)
-    return rows.alias("d").join(survivors.alias("g"), (F.col("d.__hash") == F.col("g.__hash")) & F.col(f"d.{id_col}").eqNullSafe(F.col("g.__id")), "left_semi").drop("__hash")
+    """One row of docs for each text, with all its columns: the one with the smallest (largest) id, null ids last.
+
+    Rows with equal text and id are told apart by their other columns, which must have an order; the first stays.
+    """
+    text, null = whole_text(text_col), F.col(id_col).isNull()
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    # The row travels in the aggregate, less its text, so no id has to find it again.
+    row = F.struct((~null if keep == "max" else null).alias("none"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("void"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    kept = docs.groupBy(F.unhex(F.md5(text)).alias("__hash"), text.alias("__text")).agg((F.max if keep == "max" else F.min)(row).alias("__row"))
+    back = {id_col: F.col("__row.id"), text_col: F.when(~F.col("__row.void"), F.col("__text"))} | {c: F.col(f"__row.c{i}") for i, c in enumerate(rest)}
+    return kept.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,3 +170,11 @@ def test_near_drops_rows_not_ids(spark, at):
     kept = cp.near_stage(spark, spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], schema), at["docs"])
     want = sorted((str(rows[i]["doc_id"]), rows[i]["text"]) for i in near_survivors(rows))
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+
+
+def test_exact_keeps_one_row_of_each_text(spark, at):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "a", "en", "s", 1), (None, "a", "en", "s", 1), (3, "b", "en", "s", 1), (3, "b", "de", "s", 1), (3, "c", "en", "s", 1), (None, "c", "en", "s", 1), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    kept = cp.exact_stage(spark, spark.createDataFrame(rows, schema), at["docs"])
+    assert kept.columns == COLUMNS
+    assert sorted((r["text"] or "", str(r["doc_id"])) for r in kept.collect()) == [("", "None"), ("a", "None"), ("b", "3"), ("c", "3")]
