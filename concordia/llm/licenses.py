@@ -1,9 +1,12 @@
-"""License scans: exact set-similarity join of text blocks (lines) with license templates.
+"""License scans: exact set-similarity join of text blocks with license templates.
+
+Blocks are lines and, since notices are wrapped over lines, every run of as many words as the template has. Runs are
+only counted in documents that hold enough of the template's tokens at all.
 
 Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A template needs
 alpha = ceil(threshold * tokens) of its tokens in a block, so one of its tokens - alpha + 1 rarest must be
 there (prefix filter); the block must have alpha tokens at all (length filter); and from the first common token
-on, both must have enough tokens left (positional filter). What remains is counted exactly.
+on, both must have alpha tokens left in that order (positional filter). What remains is counted exactly.
 Templates are a parameter; what is collected or broadcast has at most a row for each of their tokens.
 
 Defined results: null text counts as empty (no words, no labels, score 0); a blank line is no block; rows that repeat an
@@ -46,6 +49,8 @@ class Template:
     label: str
     tokens: list[str]  # distinct, rarest first
     alpha: int
+    words: int
+    counts: list[int]  # of documents, for each token
 
     @property
     def prefix(self) -> list[str]:
@@ -61,40 +66,67 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(flat(text)), " ")
 
 
+def word_list(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def token_set(text: str) -> list[str]:
-    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+    return list(dict.fromkeys(word_list(text)))
 
 
 def order_templates(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, text_col: str = "text") -> list[Template]:
     """Templates with their tokens in ascending document frequency over the whole corpus; ties by name."""
-    sets = [(label, token_set(text)) for label, text in templates]
-    wanted = sorted({t for _, s in sets for t in s})
+    sets = [(label, token_set(text), len(word_list(text))) for label, text in templates]
+    wanted = sorted({t for _, s, _ in sets for t in s})
     words = docs.select(F.explode(F.array_intersect(F.array(*[F.lit(t) for t in wanted]), tokens(whole_text(text_col)))).alias("t"))
     seen = {r[0]: r[1] for r in words.groupBy("t").count().collect()}
-    return [Template(label, sorted(s, key=lambda t: (seen.get(t, 0), t)), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets if s]
+    sets = [(label, sorted(s, key=lambda t: (seen.get(t, 0), t)), n) for label, s, n in sets if s]
+    return [Template(label, s, math.ceil(threshold * len(s) - 1e-9), n, [seen.get(t, 0) for t in s]) for label, s, n in sets]
+
+
+def _known(ordered: list[Template]) -> Column:
+    """The templates' tokens in the one order that each template's own tokens have."""
+    return F.array(*[F.lit(t) for _, t in sorted({(n, t) for x in ordered for n, t in zip(x.counts, x.tokens, strict=True)})])
+
+
+def _prefixes(ordered: list[Template]) -> Column:
+    return F.array(*[F.lit(t) for t in sorted({t for x in ordered for t in x.prefix})])
 
 
 def similar_blocks(rows: DataFrame, ordered: list[Template], key: str = "row") -> DataFrame:
     """(row, block, label, containment) of every line of rows.text that holds enough of a template's tokens."""
     spark = rows.sparkSession
-    universe = {t: i for i, t in enumerate(sorted({t for x in ordered for t in x.tokens}, key=lambda t: (min(x.tokens.index(t) for x in ordered if t in x.tokens), t)))}
     entries = [(n, x.label, x.tokens, len(x.tokens), x.alpha, t, i) for n, x in enumerate(ordered) for i, t in enumerate(x.prefix)]
     index = spark.createDataFrame(entries, "template int, label string, t_tokens array<string>, t_size int, alpha int, token string, i int")
-    prefix = F.array(*[F.lit(t) for t in sorted({e[5] for e in entries})])
-    known = F.array(*[F.lit(t) for t in universe])
+    prefix, known = _prefixes(ordered), _known(ordered)
     text = whole_text("text")
     hit = rows.where(F.arrays_overlap(tokens(text), prefix))
     lines = hit.select(key, F.posexplode(F.split(text, "\n")).alias("block", "line"))
     blocks = lines.select(key, "block", F.array_intersect(known, tokens(F.col("line"))).alias("b"))
     seeds = blocks.select(key, "block", "b", F.explode(F.array_intersect(prefix, F.col("b"))).alias("token"))
     pairs = seeds.join(F.broadcast(index), "token").where(F.size("b") >= F.col("alpha"))
-    # The first common token of a pair is its smallest place in the template; its place bounds what can follow.
-    firsts = pairs.groupBy(key, "block", "template").agg(*[F.first(c).alias(c) for c in ("b", "label", "t_tokens", "t_size", "alpha")], F.min("i").alias("i"))
-    firsts = firsts.where(F.col("t_size") - F.col("i") >= F.col("alpha"))
+    # Before the first common token nothing is shared, so its places in template and block bound what can follow.
+    firsts = pairs.groupBy(key, "block", "template").agg(*[F.first(c).alias(c) for c in ("b", "label", "t_tokens", "t_size", "alpha")], F.min("i").alias("i"), F.min(F.array_position("b", F.col("token"))).alias("p"))
+    firsts = firsts.where(F.least(F.col("t_size") - F.col("i"), F.size("b") - F.col("p") + 1) >= F.col("alpha"))
     share = F.size(F.array_intersect("b", "t_tokens"))
     return firsts.withColumn("o", share).where(F.col("o") >= F.col("alpha")).select(key, "block", "label", (F.col("o") / F.col("t_size")).alias("containment"))
 
 
+def similar_runs(rows: DataFrame, ordered: list[Template], key: str = "row") -> DataFrame:
+    """(row, label, containment): for each template, the most of its tokens in a run of as many words of rows.text."""
+    templates = [(x.label, x.tokens, len(x.tokens), x.alpha, x.words) for x in ordered]
+    templates = rows.sparkSession.createDataFrame(templates, "label string, t_tokens array<string>, t_size int, alpha int, t_words int")
+    text = whole_text("text")
+    hit = rows.where(F.arrays_overlap(tokens(text), _prefixes(ordered))).select(key, tokens(text).alias("w"))
+    held = hit.select(key, "w", F.array_intersect(_known(ordered), "w").alias("b"))
+    pairs = held.join(F.broadcast(templates), F.size(F.array_intersect("b", "t_tokens")) >= F.col("alpha"))
+    # A run may as well begin at a token of the template.
+    begins = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains("t_tokens", F.element_at("w", i)))
+    counts = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("w", i, F.col("t_words")), "t_tokens")))
+    best = pairs.select(key, "label", "t_size", "alpha", F.array_max(counts).alias("o"))
+    return best.where(F.col("o") >= F.col("alpha")).select(key, "label", (F.col("o") / F.col("t_size")).alias("containment"))
+
+
 def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
@@ -123,11 +155,12 @@ def phrase_columns(text: Column, phrases: dict[str, str]) -> list[Column]:
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, phrases: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
-    score: the largest containment of a template in a line of the document; 0 below the threshold.
+    score: the largest containment of a template in a line, or a run of as many words, of the document; 0 below the threshold.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = order_templates(docs, templates or TEMPLATES, threshold, text_col)
-    similar = similar_blocks(rows, ordered).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
+    blocks = similar_blocks(rows, ordered).select("row", "label", "containment").unionAll(similar_runs(rows, ordered))
+    similar = blocks.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
     similar = materialize(similar, "licenses").select(F.col("row").alias("__row"), "more", "score")
     base = rows.select("row", "doc_id", *phrase_columns(whole_text("text"), phrases or PHRASES))
     out = base.join(similar, F.col("row") == F.col("__row"), "left")
