@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import partitions
 
-LEAF, FAN, CHUNK = 16, 8, 1 << 14
+LEAF, FAN, CHUNK = 16, 8, 1 << 11
 
 
 def block_tables(blocks: int, radius: int) -> list[tuple[int, ...]]:
