@@ -8,16 +8,20 @@ shard. Neighbouring windows with the same smallest hash make a run, whose tokens
    many copies is one row a task before the shuffle);
 3. shards with a single segment are settled: each window's first place is in the first segment. The others
    (edges of copies, overlaps) are solved exactly by the operator's own index over the shard's segments;
-4. every run meets its segment's solution by a join (its hot keys are left to AQE's skew split); windows that
+4. a shard whose segments hold more than Spec.most tokens (a common phrase in very many contexts) is not solved at
+   once: its segments are cut again by the smallest of longer grams, and in the end by whole windows, until each part is small;
+5. every run meets its segment's solution by a join (its hot keys are left to AQE's skew split); windows that
    start earlier elsewhere become spans of their document.
 
-A document's id must identify its text; rows that repeat an id and text are treated alike. A null id orders last.
+A document is an id with a text, so nothing is ever cut from a row because of another row's id. Rows that repeat an id
+and a text are one document and are treated alike. Of documents with one id, or none, the one whose text has the smaller hash comes
+first; documents without an id come behind all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +41,24 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 @dataclass(frozen=True)
 class Spec:
     """window, gram: in tokens. units: a text's tokens as raw items; code: items as uint64; within: a document's own
-    earlier windows count as well; solve: see solver in the operators."""
+    earlier windows count as well; raw: items as the bytes of a segment, width for each; load: these as uint64;
+    most: tokens of a shard that is solved at once."""
 
     window: int
     gram: int
     within: bool
     units: Callable[[str], object]
     code: Callable[[object], np.ndarray]
+    raw: Callable[[object], bytes]
+    width: int
+    load: Callable[[bytes], np.ndarray]
+    most: int
+
+    def finer(self) -> Spec | None:
+        """The next way to cut shards: by longer grams, in the end by whole windows."""
+        if self.gram == self.window:
+            return None
+        return replace(self, gram=(self.gram + self.window) // 2 if 2 * self.gram < self.window else self.window)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -115,61 +130,106 @@ class Runs:
         return shard.view(np.int64), segment.view(np.int64), first, size, own
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
     for b in batches:
-        for did, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            yield did, text.as_py()
+        for did, sub, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            yield did, sub, text.as_py()
+
+
+def _table(columns: dict[str, object], binary: str | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if c == binary else pa.int64()) for c, x in columns.items()], names=list(columns))
+
+
+RUNS = ["m", "seg", "did", "sub", "start", "size", "own"]
 
 
 def runs(rows: DataFrame, spec: Spec) -> DataFrame:
-    """(m, seg, did, start, size, own) of every run of rows (did, text)."""
+    """(m, seg, did, sub, start, size, own) of every run of rows (did, sub, text)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Runs(spec)
-        held: list[tuple[int, int, np.ndarray]] = []  # document, its first token here, tokens
+        held: list[tuple[int, int, int, np.ndarray]] = []  # document (two numbers), its first token here, tokens
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                length = np.array([len(t) for _, _, t in held])
+                length = np.array([len(h[3]) for h in held])
                 at = np.cumsum(length) - length
-                m, seg, first, size, own = finder.find(np.concatenate([t for _, _, t in held]), at, length)
+                m, seg, first, size, own = finder.find(np.concatenate([h[3] for h in held]), at, length)
                 which = np.searchsorted(at, first, "right") - 1
-                did = np.array([d for d, _, _ in held])[which] if len(first) else first
-                start = first - at[which] + np.array([s for _, s, _ in held])[which] if len(first) else first
+                did, sub, begin = (np.array([h[i] for h in held], np.int64) for i in range(3))
                 held.clear()
                 if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (m, seg, did, start, size, own)], names=["m", "seg", "did", "start", "size", "own"])
+                    yield _table(dict(zip(RUNS, (m, seg, did[which], sub[which], first - at[which] + begin[which], size, own), strict=True)))
 
         total = 0
-        for did, text in _documents(batches):
+        for did, sub, text in _documents(batches):
             units = spec.units(text)
             for at in range(0, len(units) - spec.window + 1, BATCH):  # long documents in parts that overlap by a window
                 tokens = spec.code(units[at : at + BATCH + spec.window - 1])
-                held.append((did, at, tokens))
+                held.append((did, sub, at, tokens))
                 total += len(tokens)
                 if total >= BATCH:
                     yield from flush()
                     total = 0
         yield from flush()
 
-    return rows.mapInArrow(search, "m long, seg long, did long, start long, size long, own long")
+    return rows.mapInArrow(search, ", ".join(f"{c} long" for c in RUNS))
 
 
-def segments(rows: DataFrame, wanted: DataFrame, spec: Spec, raw: Callable[[object], bytes]) -> DataFrame:
-    """wanted (m, seg, did, start, size) with the segments' tokens as bytes, read from rows (did, text)."""
-    lists = wanted.groupBy(F.col("did").alias("__did")).agg(F.collect_list(F.struct("m", "seg", "start", "size")).alias("cuts"))
-    held = rows.join(lists, F.col("did") == F.col("__did")).select("did", "text", "cuts")
+PLACED = ["m", "seg", "did", "sub", "start"]
+_CONTENT = ", ".join(f"{c} long" for c in PLACED) + ", content binary"
+
+
+def segments(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
+    """wanted (m, seg, did, sub, start, size) with the segments' tokens as bytes, read from rows (did, sub, text)."""
+    lists = wanted.groupBy(F.col("did").alias("__did"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("m", "seg", "start", "size")).alias("cuts"))
+    held = rows.join(lists, (F.col("did") == F.col("__did")) & (F.col("sub") == F.col("__sub"))).select("did", "sub", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            for did, text, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                units, out = spec.units(text.as_py()), [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
+            for did, sub, text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if (did, sub) == last:  # a row that repeats the one before
+                    continue
+                last, units = (did, sub), spec.units(text.as_py())
                 for c in cuts.as_py():
-                    for to, x in zip(out, (c["m"], c["seg"], did, c["start"], raw(units[c["start"] : c["start"] + c["size"] + spec.window - 1])), strict=True):
+                    for to, x in zip(out, (c["m"], c["seg"], did, sub, c["start"], spec.raw(units[c["start"] : c["start"] + c["size"] + spec.window - 1])), strict=True):
                         to.append(x)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], names=["m", "seg", "did", "start", "content"])
+            yield _table(dict(zip([*PLACED, "content"], out, strict=True)), "content")
+
+    return held.mapInArrow(cut, _CONTENT)
+
+
+PARTS = ["pm", "pseg", "poff", *RUNS]
 
-    return held.mapInArrow(cut, "m long, seg long, did long, start long, content binary")
+
+def recut(held: DataFrame, spec: Spec) -> DataFrame:
+    """Segments (m, seg, did, sub, start, content) cut into runs by spec's grams: (pm, pseg, poff, m, seg, did, sub, start, size, own, content).
+
+    pm, pseg: the segment; poff: the run's first window there. The new shard value holds the old one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Runs(spec)
+        for b in batches:
+            pm, pseg, did, sub, start = (c.to_numpy(zero_copy_only=False) for c in b.columns[:5])
+            content = b.column(5).to_pylist()
+            if not content:
+                continue
+            tokens = [spec.load(c) for c in content]
+            length = np.array([len(t) for t in tokens])
+            at = np.cumsum(length) - length
+            m, seg, first, size, own = finder.find(np.concatenate(tokens), at, length)
+            which = np.searchsorted(at, first, "right") - 1
+            off = first - at[which]
+            m = finder._mix(m.view(np.uint64) ^ finder._mix(pm[which].view(np.uint64) + np.uint64(1))).view(np.int64)
+            # At the last cut a shard is one window, which needs no content any more.
+            last = spec.gram == spec.window
+            piece = [None if last else content[w][o * spec.width : (o + n + spec.window - 1) * spec.width] for w, o, n in zip(which.tolist(), off.tolist(), size.tolist(), strict=True)]
+            yield _table(dict(zip([*PARTS, "content"], (pm[which], pseg[which], off, m, seg, did[which], sub[which], start[which] + off, size, own, piece), strict=True)), "content")
+
+    return held.mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", content binary")
 
 
 def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iterator[pa.Table]:
@@ -180,7 +240,7 @@ def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iter
         if not b.num_rows:
             continue
         m = b.column(0).to_numpy()
-        total = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(4)).to_numpy())])
+        total = np.concatenate([[0], np.cumsum(pc.binary_length(b.column("content")).to_numpy())])
         edges = (np.flatnonzero(m[1:] != m[:-1]) + 1).tolist()
         begin = 0
         for e in ([0] if held and m[0] != last else []) + edges:
@@ -193,38 +253,78 @@ def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iter
         yield pa.Table.from_batches(held)
 
 
-def spans(rows: DataFrame, spec: Spec, raw: Callable[[object], bytes], solve: Callable[[pa.Table], pa.RecordBatch], label: str) -> DataFrame:
-    """(did, cuts): for each document with repeats, [a, b) token ranges that windows met earlier cover.
+ANSWERS = ["m", "seg", "off", "size", "at_did", "at_sub", "at_start"]
+
+
+def _firsts(found: DataFrame, label: str) -> DataFrame:
+    """Runs reduced to the first place of each (m, seg)."""
+    distinct = found.groupBy("m", "seg").agg(F.min(F.struct("did", "sub", "start")).alias("f"), F.max("size").alias("size"), F.max("own").alias("own"))
+    return materialize(distinct.select("m", "seg", "f.did", "f.sub", "f.start", "size", "own"), label)
+
 
-    solve gets segments (m, seg, did, start, content), whole shards each, and returns for their windows
-    (m, seg, off, size, at_did, at_start): size windows from off on first start at (at_did, at_start ...).
+def settle(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str) -> DataFrame:
+    """ANSWERS for the windows of distinct segments (a table): size windows from off on first start at (at_did, at_sub, at_start ...).
+
+    fetch: wanted segments with their content.
     """
-    spark = rows.sparkSession
-    found = runs(rows, spec)
-    if spec.within:
-        shared = found.groupBy("m").agg(F.sum(F.col("own") + 1).alias("c")).where("c > 1").select(F.col("m").alias("__m"))
-    else:
-        shared = found.groupBy("m").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(F.col("m").alias("__m"))
-    kept = materialize(found.join(shared, F.col("m") == F.col("__m")).drop("__m"), f"{label}-runs")
-    distinct = kept.groupBy("m", "seg").agg(F.min(F.struct("did", "start")).alias("f"), F.max("size").alias("size"), F.max("own").alias("own"))
-    distinct = materialize(distinct.select("m", "seg", "f.did", "f.start", "size", "own"), f"{label}-segments")
-    mixed = distinct.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 OR o > 0").select(F.col("m").alias("__m"))
-    plain = distinct.join(mixed, F.col("m") == F.col("__m"), "left_anti").select("m", "seg", F.lit(0).cast("long").alias("off"), "size", F.col("did").alias("at_did"), F.col("start").alias("at_start"))
-    hard = distinct.join(mixed, F.col("m") == F.col("__m"), "left_semi")
+    finer = spec.finer()
+    if finer is None:  # whole windows: all of a shard are one, and all but the first of a run have one before
+        first = distinct.groupBy(F.col("m").alias("__m")).agg(F.min(F.struct("did", "sub", "start")).alias("f"))
+        parts = F.array(F.struct(F.lit(0).alias("off"), F.lit(1).alias("n")), F.struct(F.lit(1).alias("off"), (F.col("size") - 1).alias("n")))
+        met = distinct.select("m", "seg", F.explode(parts).alias("p")).where("p.n > 0").join(first, F.col("m") == F.col("__m"))
+        return materialize(met.select("m", "seg", F.col("p.off").cast("long").alias("off"), F.col("p.n").cast("long").alias("size"), F.col("f.did").alias("at_did"), F.col("f.sub").alias("at_sub"), F.col("f.start").alias("at_start")), f"{label}-answers")
+    spark = distinct.sparkSession
+    tokens = F.sum(F.col("size") + F.lit(spec.window - 1)).alias("tokens")
+    mixed = materialize(distinct.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("o"), tokens).where("c > 1 OR o > 0").select(F.col("m").alias("__m"), "tokens"), f"{label}-mixed")
+    same = distinct.m == F.col("__m")
+    plain = distinct.join(mixed, same, "left_anti").select("m", "seg", F.lit(0).cast("long").alias("off"), "size", F.col("did").alias("at_did"), F.col("sub").alias("at_sub"), F.col("start").alias("at_start"))
+    small = mixed.where(F.col("tokens") <= spec.most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shards in shard_groups(batches):
             yield from solve(shards)
 
-    dealt = segments(rows, hard, spec, raw).repartition(partitions(spark), "m").sortWithinPartitions("m")
-    solved = dealt.mapInArrow(run, "m long, seg long, off long, size long, at_did long, at_start long")
-    answers = materialize(plain.unionAll(solved), f"{label}-answers").select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_start")
-    earlier = F.col("at_did") < F.col("did")
+    dealt = fetch(distinct.join(small, same, "left_semi")).repartition(partitions(spark), "m").sortWithinPartitions("m")
+    out = plain.unionAll(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in ANSWERS)))
+    large = mixed.where(F.col("tokens") > spec.most)
+    if not large.isEmpty():
+        parts = materialize(recut(fetch(distinct.join(large, same, "left_semi")), finer), f"{label}-parts")
+        inner = settle(_firsts(parts, f"{label}-segments"), lambda wanted: wanted.select(*PLACED).join(parts, PLACED).select(*PLACED, "content"), finer, solve, label)
+        lifted = inner.select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_sub", "at_start")
+        back = parts.join(lifted, (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg")))
+        out = out.unionAll(back.select("pm", "pseg", F.col("poff") + F.col("off"), "n", "at_did", "at_sub", "at_start"))
+    return materialize(out, f"{label}-answers")
+
+
+def spans(rows: DataFrame, spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str) -> DataFrame:
+    """(did, sub, cuts): for each document with repeats, [a, b) token ranges that windows met earlier cover.
+
+    solve gets segments (m, seg, did, sub, start, content), whole shards each, and returns ANSWERS for their windows.
+    """
+    found = runs(rows, spec)
+    if spec.within:
+        shared = found.groupBy("m").agg(F.sum(F.col("own") + 1).alias("c")).where("c > 1").select(F.col("m").alias("__m"))
+    else:
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("did", "sub") for f in (F.min, F.max)]
+        shared = found.groupBy("m").agg(*ends).where("min_did < max_did OR min_sub < max_sub").select(F.col("m").alias("__m"))
+    kept = materialize(found.join(shared, F.col("m") == F.col("__m")).drop("__m"), f"{label}-runs")
+    answers = settle(_firsts(kept, f"{label}-segments"), lambda wanted: segments(rows, wanted, spec), spec, solve, label)
+    answers = answers.select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_sub", "at_start")
+    one = F.col("at_did") == F.col("did")
+    earlier = (F.col("at_did") < F.col("did")) | (one & (F.col("at_sub") < F.col("sub")))
     if spec.within:
-        earlier = earlier | ((F.col("at_did") == F.col("did")) & (F.col("at_start") < F.col("start") + F.col("off")))
+        earlier = earlier | (one & (F.col("at_sub") == F.col("sub")) & (F.col("at_start") < F.col("start") + F.col("off")))
     met = kept.join(answers, (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg")) & earlier)
-    ranges = met.select("did", F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("n") + spec.window - 1).alias("b")).alias("r"))
-    return ranges.groupBy("did").agg(F.collect_list("r").alias("cuts"))
+    ranges = met.select("did", "sub", F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("n") + spec.window - 1).alias("b")).alias("r"))
+    return ranges.groupBy("did", "sub").agg(F.collect_list("r").alias("cuts"))
+
+
+def removals(docs: DataFrame, spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, cuts) of every row; cuts: the ranges to remove, unmerged, or null."""
+    rows = ident(docs, id_col, text_col)
+    found = spans(rows.where(F.octet_length("text") >= spec.window).select("did", "sub", "text"), spec, solve, label)
+    found = found.select(F.col("did").alias("__did"), F.col("sub").alias("__sub"), "cuts")
+    return rows.join(found, (F.col("did") == F.col("__did")) & (F.col("sub") == F.col("__sub")), "left").select("doc_id", "text", "cuts")
 
 
 def merged(cuts: list[dict]) -> list[tuple[int, int]]:
@@ -239,10 +339,7 @@ def merged(cuts: list[dict]) -> list[tuple[int, int]]:
 
 
 def ident(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("did"), whole_text(text_col).alias("text"))
-
-
-def runs_of(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Begin and end of each stretch; flags[i] says that i begins one."""
-    at = np.flatnonzero(flags)
-    return zip(at, np.append(at[1:], len(flags)), strict=True)
+    """(doc_id, did, sub, text): did and sub tell documents apart and order them, those without an id last."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("did"), F.when(F.col("doc_id").isNull(), half).otherwise(-1 - half).alias("sub"), "text")

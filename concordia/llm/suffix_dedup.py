@@ -5,8 +5,10 @@ all suffixes of its shards' segments: sample positions (those not divisible by 3
 repeat are sorted by recursion, the other suffixes follow from their first symbol and the sample rank behind it, and both are
 merged. Neighbours in the order with the same first 100 bytes are one string, whose first place counts.
 
-Defined results: null text counts as empty; shorter texts than a window lose nothing; a null doc_id orders last;
-rows that repeat an id and text are treated alike; an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; shorter texts than a window lose nothing; documents without an id come behind
+all others; of documents with one id, or none, and different texts, the one whose text has the smaller hash comes first; rows that
+repeat an id and a text are one document and lose the same bytes; very long texts are cut into parts that overlap by a
+window, and are joined whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from concordia.llm.common import documents
-from concordia.llm.repeats import LAST_ID, Spec, ident, merged, spans
+from concordia.llm.repeats import ANSWERS, Spec, merged, removals
 
-WINDOW, GRAM = 100, 24
+#: In bytes; MOST: of a shard that is solved at once.
+WINDOW, GRAM, MOST = 100, 24, 1 << 20
 
 
 def _dense(*columns: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def _solve(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    m, seg, did, start = (table.column(c).to_numpy() for c in ("m", "seg", "did", "start"))
+    m, seg, did, sub, start = (table.column(c).to_numpy() for c in ("m", "seg", "did", "sub", "start"))
     content = table.column("content").to_pylist()
     length = np.array([len(c) for c in content])
     at = np.cumsum(length + 1) - length - 1  # a separator behind each segment
@@ -96,34 +98,33 @@ def _solve(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
         same[i : i + len(b)] = (views[a] == views[b]).all(1)
     which = np.searchsorted(at, order, "right") - 1
     place = start[which] + order - at[which]
-    by = np.lexsort((place, did[which]))
+    by = np.lexsort((place, sub[which], did[which]))
     rank = np.empty(len(order), np.int64)
     rank[by] = np.arange(len(order))
     heads = np.flatnonzero(~same)
     lowest = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(order)))) if len(order) else rank
     first = by[lowest]
     back = np.argsort(order)  # windows by segment and offset again
-    own, to_did, to_place = order[back], did[which][first][back], place[first][back]
+    own, to_did, to_sub, to_place = order[back], did[which][first][back], sub[which][first][back], place[first][back]
     seg_of = which[back]
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1] + 1) | (to_did[1:] != to_did[:-1]) | (to_place[1:] != to_place[:-1] + 1) | (seg_of[1:] != seg_of[:-1])
+    new[1:] = (own[1:] != own[:-1] + 1) | (to_did[1:] != to_did[:-1]) | (to_sub[1:] != to_sub[:-1]) | (to_place[1:] != to_place[:-1] + 1) | (seg_of[1:] != seg_of[:-1])
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(own)))
     k = seg_of[head]
-    columns = (m[k], seg[k], own[head] - at[k], size, to_did[head], to_place[head])
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["m", "seg", "off", "size", "at_did", "at_start"])
+    columns = (m[k], seg[k], own[head] - at[k], size, to_did[head], to_sub[head], to_place[head])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=ANSWERS)
 
 
-def spec(window: int = WINDOW, gram: int = GRAM) -> Spec:
+def spec(window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> Spec:
     table = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return Spec(window, gram, True, lambda text: text.encode(), lambda b: table[np.frombuffer(b, np.uint8)])
+    code = lambda b: table[np.frombuffer(b, np.uint8)]
+    return Spec(window, gram, True, str.encode, code, bytes, 1, code, most)
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, text, cuts): cuts holds byte ranges to remove, unmerged, or null."""
-    rows = ident(docs, id_col, text_col)
-    found = spans(rows, spec(window, gram), bytes, lambda t: _solve(t, window), "bytes")
-    return rows.join(found.withColumnRenamed("did", "__did"), F.col("did") == F.col("__did"), "left").select("did", "text", "cuts")
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, cuts) of every row: cuts holds byte ranges to remove, unmerged, or null."""
+    return removals(docs, spec(window, gram, most), lambda t: _solve(t, window), "bytes", id_col, text_col)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     kept.update(raw[at:a])
                     at = e
                 kept.update(raw[at:])
-                for to, x in zip(out, (None if did == LAST_ID else did, len(raw), sum(e - a for a, e in gone), len(gone), kept.hexdigest()), strict=True):
+                for to, x in zip(out, (did, len(raw), sum(e - a for a, e in gone), len(gone), kept.hexdigest()), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

@@ -7,8 +7,10 @@ wherever the match reaches the window's length, the state of just that length na
 A literal broadcast of the whole corpus' automata has no bound, so a shard's automaton meets only the documents that
 share its key.
 
-Defined results: null text has no words; shorter texts than a window lose nothing; a null doc_id orders last; rows that
-repeat an id and text are treated alike; an empty table gives an empty result; other columns are ignored.
+Defined results: null text has no words; shorter texts than a window lose nothing; documents without an id come behind all
+others; of documents with one id, or none, and different texts, the one whose text has the smaller hash counts as the smaller;
+rows that repeat an id and a text are one document and lose the same words; very long texts are cut into parts that overlap
+by a window, and are joined whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from concordia.llm.common import documents
-from concordia.llm.repeats import LAST_ID, Spec, ident, merged, spans
+from concordia.llm.repeats import ANSWERS, Spec, merged, removals
 
-WINDOW, GRAM = 50, 8
+#: In words; MOST: of a shard that is solved at once. NOWHERE: no document.
+WINDOW, GRAM, MOST, NOWHERE = 50, 8, 1 << 17, -1
 
 
 class Automaton:
@@ -34,7 +36,7 @@ class Automaton:
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.first = [-1], [0], [LAST_ID]
+        self.link, self.length, self.first = [-1], [0], [NOWHERE]
 
     def _state(self, edges: dict[int, int], length: int, link: int, first: int) -> int:
         self.next.append(edges)
@@ -68,7 +70,7 @@ class Automaton:
             last = new
 
     def firsts(self, tokens: list[int], window: int) -> list[int]:
-        """For each window of tokens, the smallest document that holds it (LAST_ID: none)."""
+        """For each window of tokens, the smallest document that holds it (NOWHERE: none)."""
         at, matched, out = 0, 0, []
         for i, token in enumerate(tokens):
             while at and token not in self.next[at]:
@@ -80,45 +82,45 @@ class Automaton:
                 at = self.link[at]
                 matched = self.length[at]
             if i >= window - 1:
-                out.append(self.first[at] if matched >= window else LAST_ID)
+                out.append(self.first[at] if matched >= window else NOWHERE)
         return out
 
 
 def _solve(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    table = table.sort_by([("m", "ascending"), ("did", "ascending"), ("start", "ascending"), ("seg", "ascending")])
-    rows = zip(*[table.column(c).to_pylist() for c in ("m", "seg", "did", "content")], strict=True)
-    out: list[list[int]] = [[] for _ in range(6)]
+    table = table.sort_by([(c, "ascending") for c in ("m", "did", "sub", "start", "seg")])
+    rows = zip(*[table.column(c).to_pylist() for c in ("m", "seg", "did", "sub", "content")], strict=True)
+    out: list[list[int]] = [[] for _ in ANSWERS]
     for m, shard in groupby(rows, key=lambda r: r[0]):
-        shard = [(seg, did, np.frombuffer(c, np.uint64).tolist()) for _, seg, did, c in shard]
+        shard = [(seg, (did, sub), np.frombuffer(c, np.uint64).tolist()) for _, seg, did, sub, c in shard]
+        documents_ = list(dict.fromkeys(d for _, d, _ in shard))  # in order
+        number = {d: i for i, d in enumerate(documents_)}
         reference = Automaton()
-        for _, did, tokens in shard:
-            reference.add(tokens, did)
+        for _, d, tokens in shard:
+            reference.add(tokens, number[d])
         for seg, _, tokens in shard:
             off = 0
             for first, same in groupby(reference.firsts(tokens, window)):
                 n = sum(1 for _ in same)
-                for to, x in zip(out, (m, seg, off, n, first, 0), strict=True):
+                for to, x in zip(out, (m, seg, off, n, *documents_[first], 0), strict=True):
                     to.append(x)
                 off += n
         if len(out[0]) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["m", "seg", "off", "size", "at_did", "at_start"])
-            out = [[] for _ in range(6)]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["m", "seg", "off", "size", "at_did", "at_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=ANSWERS)
+            out = [[] for _ in ANSWERS]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=ANSWERS)
 
 
 def _codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def spec(window: int = WINDOW, gram: int = GRAM) -> Spec:
-    return Spec(window, gram, False, lambda text: text.encode().split(), _codes)
+def spec(window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> Spec:
+    return Spec(window, gram, False, lambda text: text.encode().split(), _codes, lambda words: _codes(words).tobytes(), 8, lambda b: np.frombuffer(b, np.uint64), most)
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, text, cuts): cuts holds word ranges to remove, unmerged, or null."""
-    rows = ident(docs, id_col, text_col)
-    found = spans(rows, spec(window, gram), lambda words: _codes(words).tobytes(), lambda t: _solve(t, window), "words")
-    return rows.join(found.withColumnRenamed("did", "__did"), F.col("did") == F.col("__did"), "left").select("did", "text", "cuts")
+def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, cuts) of every row: cuts holds word ranges to remove, unmerged, or null."""
+    return removals(docs, spec(window, gram, most), lambda t: _solve(t, window), "words", id_col, text_col)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +133,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     kept += words[at:a]
                     at, gone = e, gone + e - a
                 kept += words[at:]
-                for to, x in zip(out, (None if did == LAST_ID else did, len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
+                for to, x in zip(out, (did, len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
