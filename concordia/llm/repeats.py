@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -176,25 +177,25 @@ def runs(rows: DataFrame, spec: Spec) -> DataFrame:
     return rows.mapInArrow(search, ", ".join(f"{c} long" for c in RUNS))
 
 
-PLACED = ["m", "seg", "did", "sub", "start"]
+PLACED = ["m", "seg", "did", "sub", "start", "large"]
 _CONTENT = ", ".join(f"{c} long" for c in PLACED) + ", content binary"
 
 
 def segments(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """wanted (m, seg, did, sub, start, size) with the segments' tokens as bytes, read from rows (did, sub, text)."""
-    lists = wanted.groupBy(F.col("did").alias("__did"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("m", "seg", "start", "size")).alias("cuts"))
+    """wanted (m, seg, did, sub, start, large, size) with the segments' tokens as bytes, read from rows (did, sub, text)."""
+    lists = wanted.groupBy(F.col("did").alias("__did"), F.col("sub").alias("__sub")).agg(F.collect_list(F.struct("m", "seg", "start", "large", "size")).alias("cuts"))
     held = rows.join(lists, (F.col("did") == F.col("__did")) & (F.col("sub") == F.col("__sub"))).select("did", "sub", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for did, sub, text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if (did, sub) == last:  # a row that repeats the one before
                     continue
                 last, units = (did, sub), spec.units(text.as_py())
                 for c in cuts.as_py():
-                    for to, x in zip(out, (c["m"], c["seg"], did, sub, c["start"], spec.raw(units[c["start"] : c["start"] + c["size"] + spec.window - 1])), strict=True):
+                    for to, x in zip(out, (c["m"], c["seg"], did, sub, c["start"], c["large"], spec.raw(units[c["start"] : c["start"] + c["size"] + spec.window - 1])), strict=True):
                         to.append(x)
             yield _table(dict(zip([*PLACED, "content"], out, strict=True)), "content")
 
@@ -204,32 +205,27 @@ def segments(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
 PARTS = ["pm", "pseg", "poff", *RUNS]
 
 
-def recut(held: DataFrame, spec: Spec) -> DataFrame:
-    """Segments (m, seg, did, sub, start, content) cut into runs by spec's grams: (pm, pseg, poff, m, seg, did, sub, start, size, own, content).
+def recut(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """Segments (m, seg, did, sub, start, .., content) cut into runs by spec's grams: PARTS and content.
 
     pm, pseg: the segment; poff: the run's first window there. The new shard value holds the old one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Runs(spec)
-        for b in batches:
-            pm, pseg, did, sub, start = (c.to_numpy(zero_copy_only=False) for c in b.columns[:5])
-            content = b.column(5).to_pylist()
-            if not content:
-                continue
-            tokens = [spec.load(c) for c in content]
-            length = np.array([len(t) for t in tokens])
-            at = np.cumsum(length) - length
-            m, seg, first, size, own = finder.find(np.concatenate(tokens), at, length)
-            which = np.searchsorted(at, first, "right") - 1
-            off = first - at[which]
-            m = finder._mix(m.view(np.uint64) ^ finder._mix(pm[which].view(np.uint64) + np.uint64(1))).view(np.int64)
-            # At the last cut a shard is one window, which needs no content any more.
-            last = spec.gram == spec.window
-            piece = [None if last else content[w][o * spec.width : (o + n + spec.window - 1) * spec.width] for w, o, n in zip(which.tolist(), off.tolist(), size.tolist(), strict=True)]
-            yield _table(dict(zip([*PARTS, "content"], (pm[which], pseg[which], off, m, seg, did[which], sub[which], start[which] + off, size, own, piece), strict=True)), "content")
-
-    return held.mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", content binary")
+    finder = Runs(spec)
+    last = spec.gram == spec.window  # then a shard is one window, which needs no content any more
+    for b in batches:
+        if not b.num_rows:
+            continue
+        pm, pseg, did, sub, start = (b.column(c).to_numpy(zero_copy_only=False) for c in PLACED[:5])
+        content = b.column("content").to_pylist()
+        tokens = [spec.load(c) for c in content]
+        length = np.array([len(t) for t in tokens])
+        at = np.cumsum(length) - length
+        m, seg, first, size, own = finder.find(np.concatenate(tokens), at, length)
+        which = np.searchsorted(at, first, "right") - 1
+        off = first - at[which]
+        m = finder._mix(m.view(np.uint64) ^ finder._mix(pm[which].view(np.uint64) + np.uint64(1))).view(np.int64)
+        piece = [None if last else content[w][o * spec.width : (o + n + spec.window - 1) * spec.width] for w, o, n in zip(which.tolist(), off.tolist(), size.tolist(), strict=True)]
+        yield _table(dict(zip([*PARTS, "content"], (pm[which], pseg[which], off, m, seg, did[which], sub[which], start[which] + off, size, own, piece), strict=True)), "content")
 
 
 def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iterator[pa.Table]:
@@ -272,28 +268,48 @@ def settle(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], spec: S
         first = distinct.groupBy(F.col("m").alias("__m")).agg(F.min(F.struct("did", "sub", "start")).alias("f"))
         parts = F.array(F.struct(F.lit(0).alias("off"), F.lit(1).alias("n")), F.struct(F.lit(1).alias("off"), (F.col("size") - 1).alias("n")))
         met = distinct.select("m", "seg", F.explode(parts).alias("p")).where("p.n > 0").join(first, F.col("m") == F.col("__m"))
-        return materialize(met.select("m", "seg", F.col("p.off").cast("long").alias("off"), F.col("p.n").cast("long").alias("size"), F.col("f.did").alias("at_did"), F.col("f.sub").alias("at_sub"), F.col("f.start").alias("at_start")), f"{label}-answers")
+        return met.select("m", "seg", F.col("p.off").cast("long").alias("off"), F.col("p.n").cast("long").alias("size"), F.col("f.did").alias("at_did"), F.col("f.sub").alias("at_sub"), F.col("f.start").alias("at_start"))
     spark = distinct.sparkSession
-    tokens = F.sum(F.col("size") + F.lit(spec.window - 1)).alias("tokens")
-    mixed = materialize(distinct.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("o"), tokens).where("c > 1 OR o > 0").select(F.col("m").alias("__m"), "tokens"), f"{label}-mixed")
+    tokens = F.sum(F.col("size") + F.lit(spec.window - 1))
+    mixed = distinct.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("o"), (tokens > spec.most).cast("long").alias("large"))
+    mixed = materialize(mixed.where("c > 1 OR o > 0").select(F.col("m").alias("__m"), "large"), f"{label}-mixed")
     same = distinct.m == F.col("__m")
     plain = distinct.join(mixed, same, "left_anti").select("m", "seg", F.lit(0).cast("long").alias("off"), "size", F.col("did").alias("at_did"), F.col("sub").alias("at_sub"), F.col("start").alias("at_start"))
-    small = mixed.where(F.col("tokens") <= spec.most)
+    columns = [*ANSWERS, *[c for c in PARTS if c not in ANSWERS]]
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        held = dict(zip(b.schema.names, b.columns, strict=True))
+        none = {c: pa.nulls(b.num_rows, pa.int64()) for c in columns} | {"content": pa.nulls(b.num_rows, pa.binary())}
+        return pa.RecordBatch.from_arrays(list((none | held).values()), names=list(none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards in shard_groups(batches):
-            yield from solve(shards)
-
-    dealt = fetch(distinct.join(small, same, "left_semi")).repartition(partitions(spark), "m").sortWithinPartitions("m")
-    out = plain.unionAll(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in ANSWERS)))
-    large = mixed.where(F.col("tokens") > spec.most)
-    if not large.isEmpty():
-        parts = materialize(recut(fetch(distinct.join(large, same, "left_semi")), finer), f"{label}-parts")
-        inner = settle(_firsts(parts, f"{label}-segments"), lambda wanted: wanted.select(*PLACED).join(parts, PLACED).select(*PLACED, "content"), finer, solve, label)
+        batches, rest = iter(batches), []
+
+        def first() -> Iterator[pa.RecordBatch]:  # those of large shards come last
+            for b in batches:
+                small = int((b.column("large").to_numpy() == 0).sum())
+                if small:
+                    yield b.slice(0, small)
+                if small < b.num_rows:
+                    rest.append(b.slice(small))
+                    return
+
+        for shards in shard_groups(first()):
+            yield from map(whole, solve(shards))
+        yield from map(whole, recut(chain(rest, batches), finer))
+
+    # A large shard's segments are cut again wherever they lie, so they are dealt over all tasks.
+    spread = F.when(F.col("large") > 0, F.pmod("seg", F.lit(partitions(spark)))).otherwise(F.lit(0))
+    dealt = fetch(distinct.join(mixed, same)).repartition(partitions(spark), "m", spread).sortWithinPartitions("large", "m")
+    done = materialize(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", content binary"), f"{label}-solved")
+    out = plain.unionAll(done.where("pm IS NULL").select(*ANSWERS))
+    parts = done.where("pm IS NOT NULL").select(*PARTS, "content")
+    if not parts.isEmpty():
+        inner = settle(_firsts(parts, f"{label}-segments"), lambda wanted: wanted.select(*PLACED).join(parts, PLACED[:5]).select(*PLACED, "content"), finer, solve, label)
         lifted = inner.select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_sub", "at_start")
         back = parts.join(lifted, (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg")))
         out = out.unionAll(back.select("pm", "pseg", F.col("poff") + F.col("off"), "n", "at_did", "at_sub", "at_start"))
-    return materialize(out, f"{label}-answers")
+    return out
 
 
 def spans(rows: DataFrame, spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str) -> DataFrame:

@@ -24,7 +24,7 @@ from concordia.llm.common import documents
 from concordia.llm.repeats import ANSWERS, Spec, merged, removals
 
 #: In bytes; MOST: of a shard that is solved at once.
-WINDOW, GRAM, MOST = 100, 24, 1 << 20
+WINDOW, GRAM, MOST = 100, 24, 1 << 21
 
 
 def _dense(*columns: np.ndarray) -> np.ndarray:
