@@ -8,21 +8,56 @@ from pyspark.sql import functions as F
 from concordia.functions import text
 
 FAIL_COUNT, FAIL_RATIO = 500, 0.5
+#: Of a list of fields that is broadcast.
+MOST_BYTES = 8 << 20
 
 
-def presence(docs: DataFrame, fields: list[str], norm_col: str = "norm") -> DataFrame:
-    """docs with missing: the fields, in order, whose normalised form the text does not hold (an empty form: never).
+def present(raw: Column, norm: Column, field: Column) -> Column:
+    """Whether a text holds a field: as a whole word in any case, or in normalised form (an empty form: never)."""
+    bare = text.normalize_token(field)
+    return F.regexp_like(raw, F.concat(F.lit(r"(?i)\b\Q"), field, F.lit(r"\E\b"))) | ((bare != "") & F.contains(norm, bare))
 
-    The text is normalised once for all fields; the fields are literals, so nothing is joined.
+
+def presence(docs: DataFrame, fields: list[str], norm_col: str = "norm", raw_col: str | None = None) -> DataFrame:
+    """docs with missing: the fields, in order, that the text does not hold.
+
+    The text is normalised once for all fields; the fields are literals, so nothing is joined. A field with a normalised form is
+    in the normalised text wherever it is a whole word, so the raw text is only searched for the others.
     """
-    entries = F.array(*[F.when((text.normalize_token(F.lit(f)) == "") | ~F.contains(F.col(norm_col), text.normalize_token(F.lit(f))), F.lit(f)) for f in fields])
-    return docs.withColumn("missing", F.filter(entries, lambda x: x.isNotNull()))
+
+    def absent(f: str) -> Column:
+        bare = "".join(c for c in f.upper() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        if bare and f.isascii():
+            return ~F.contains(F.col(norm_col), F.lit(bare))
+        return ~present(F.col(raw_col), F.col(norm_col), F.lit(f)) if raw_col else (text.normalize_token(F.lit(f)) == "") | ~F.contains(F.col(norm_col), text.normalize_token(F.lit(f)))
+
+    return docs.withColumn("missing", F.filter(F.array(*[F.when(absent(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
 
 
 def missing_fields(scoped: DataFrame, fields: DataFrame) -> DataFrame:
-    """Anti join of fields (extractor, field, ord) with the scoped text (extractor, norm) of their extractor."""
-    norm = text.normalize_token(F.col("field"))
-    return fields.withColumn("__f", norm).join(scoped, "extractor").where((F.col("__f") == "") | ~F.contains("norm", F.col("__f"))).drop("norm", "__f")
+    """Anti join of fields (extractor, field, ord) with the scoped text (extractor, raw, norm) of their extractor."""
+    met = fields.join(scoped.select("extractor", F.col("raw").alias("__raw"), F.col("norm").alias("__norm")), "extractor")
+    return met.where(~present(F.col("__raw"), F.col("__norm"), F.col("field"))).select(*fields.columns)
+
+
+def missing_of_table(docs: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """(key, missing): for each of docs (key, norm) the sorted fields of a table (field) that its normalised text does not hold.
+
+    The fields go to every task as one sorted list of (field, normalised form), made once; that list is refused beyond
+    MOST_BYTES, and the fields are joined in as plain rows instead, so what is broadcast has a bound. Each text is searched in its row.
+    """
+    bare = fields.select("field", text.normalize_token(F.col("field")).alias("bare")).distinct()
+    size = bare.agg(F.coalesce(F.sum(F.octet_length("field") + F.octet_length("bare") + 32), F.lit(0))).first()[0]
+    if size > MOST_BYTES:  # blocks of fields, each a list of its own, dealt over the tasks with the texts
+        parts = -(-size // MOST_BYTES)
+        lists = bare.groupBy(F.pmod(F.xxhash64("field"), F.lit(parts)).alias("__part")).agg(F.collect_list(F.struct("field", "bare")).alias("__fields"))
+        dealt = docs.select(key, "norm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("__part")).join(lists.hint("shuffle_hash"), "__part", "left")
+        absent = F.filter("__fields", lambda f: (f["bare"] == "") | ~F.contains(F.col("norm"), f["bare"]))
+        found = dealt.select(key, F.transform(absent, lambda f: f["field"]).alias("m"))
+        return found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("missing"))
+    one = bare.agg(F.array_sort(F.collect_list(F.struct("field", "bare"))).alias("__fields"))
+    absent = F.filter("__fields", lambda f: (f["bare"] == "") | ~F.contains(F.col("norm"), f["bare"]))
+    return docs.join(F.broadcast(one)).select(key, F.transform(absent, lambda f: f["field"]).alias("missing"))
 
 
 def status(pages: Column, missing: Column, fields: Column) -> Column:
@@ -53,3 +88,9 @@ def suppress(missing: DataFrame, reference: DataFrame, own: DataFrame) -> DataFr
     """
     both = own.select("extractor", F.upper("field").alias("__f")).join(reference.select(F.upper("field").alias("__f")).distinct(), "__f", "left_semi").distinct()
     return missing.withColumn("__f", F.upper("field")).join(both, ["extractor", "__f"], "left_anti").drop("__f")
+
+
+def suppress_in_row(missing: Column, own: Column, reference: Column) -> Column:
+    """suppress() on arrays of one row: no shuffle where the extractor's own flex fields are at hand. reference: in upper case."""
+    mine = F.array_intersect(F.transform(own, F.upper), reference)
+    return text.let(mine, lambda own_: F.filter(missing, lambda f: ~F.array_contains(own_, F.upper(f))))

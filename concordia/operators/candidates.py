@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concordia.functions import text
 
 #: Fixed value: normalised name of the one group that is never audited, besides those with the prefix SYN_.
-IGNORED_PREFIX, IGNORED_NAMES = "SYN_", ["GFLEXSETUP"]
+IGNORED_PREFIX, IGNORED_NAMES = "SYN_", ["SALDOEMTRANSITONOMESTRANSFERENCIAINTERORGANIZACAO"]
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def ranked(candidates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     by: columns that set archives apart; ord: the place in the archive, which decides ties.
     """
-    rows = candidates.where(~F.upper("group_key").startswith(IGNORED_PREFIX) & ~text.normalize_token(F.col("group_key")).isin(IGNORED_NAMES))
+    rows = candidates.where(~F.upper("group_key").startswith(IGNORED_PREFIX) & ~text.fold_latin(F.col("group_key")).isin(IGNORED_NAMES))
     canonical = F.col("official") & (F.col("version") == 0) & (F.upper("base") == F.upper("group_key"))
     order = Window.partitionBy(*by, "group_key").orderBy(F.desc("official"), canonical.desc(), F.desc("score"), "ord")
     return rows.withColumn("place", F.row_number().over(order)).withColumn("any_official", F.max("official").over(Window.partitionBy(*by, "group_key"))).where("any_official").drop("any_official")

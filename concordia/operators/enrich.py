@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from concordia.functions import text
 
@@ -64,45 +67,52 @@ def prefix_match(tags: DataFrame, keys: DataFrame) -> DataFrame:
 def describe_recursively(asked: DataFrame, described: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """asked (key) with the description found at it or through its references, depth-first in reference order.
 
-    described (key, description); edges (key, ref_ord, ref). A branch ends where a description is; a path never
-    returns to a key on it. The winner is the smallest path of reference places (a prefix sorts first). Each of the
-    depth + 1 levels is one join of what is still open.
+    described (key, description); edges (key, ref_ord, ref). A key that the search of a root has met is not entered
+    again, in whatever depth it was met; level is the depth of the description. First each root's reachable keys are found by
+    depth joins of distinct (root, key) pairs (no paths, so hubs do not multiply them), then each root's small graph is
+    searched in an Arrow group, since the order of visits decides.
     """
-    d = described.select(F.col("key").alias("at"), "description").where("description <> ''")
-    e = edges.select(F.col("key").alias("at"), "ref_ord", "ref")
-    frontier = asked.select(F.col("key").alias("root"), F.col("key").alias("at"), F.array().cast("array<int>").alias("path"), F.array("key").alias("seen"))
-    found = None
-    for level in range(depth + 1):
-        met = frontier.join(d, "at", "left")
-        hits = met.where("description IS NOT NULL").select("root", "path", "description", F.lit(level).alias("level"))
-        found = hits if found is None else found.unionAll(hits)
-        if level < depth:
-            step = met.where("description IS NULL").join(e, "at").where(~F.array_contains("seen", F.col("ref")))
-            frontier = step.select("root", F.col("ref").alias("at"), F.concat("path", F.array(F.col("ref_ord").cast("int"))).alias("path"), F.concat("seen", F.array("ref")).alias("seen"))
-    best = found.groupBy("root").agg(F.min_by(F.struct("description", "level"), F.col("path")).alias("b"))
-    return asked.join(best, asked["key"] == best["root"], "left").select("key", "b.description", "b.level")
+    kind = to_arrow_type(asked.schema["key"].dataType)
+    d = described.where("description <> ''").select(F.col("key").alias("at"), "description")
+    # A key with a description ends its branch, so only the others lead on.
+    open_edges = edges.select(F.col("key").alias("at"), "ref_ord", "ref").join(d, "at", "left_anti")
+    lists = open_edges.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "ref"))), lambda r: r["ref"]).alias("refs"))
+    frontier = reach = asked.select(F.col("key").alias("root"), F.col("key").alias("at")).distinct()
+    for _ in range(depth):
+        frontier = frontier.join(lists, "at").select("root", F.explode("refs").alias("at")).distinct()
+        reach = reach.unionAll(frontier)
+    graph = reach.distinct().join(d, "at", "left").join(lists, "at", "left")
+    graph = graph.where("description IS NOT NULL OR refs IS NOT NULL")
+    schema = T.StructType([T.StructField("root", asked.schema["key"].dataType), T.StructField("description", T.StringType()), T.StructField("level", T.IntegerType())])
+
+    def search(table: pa.Table) -> pa.Table:
+        name = lambda k: tuple(k.items()) if isinstance(k, dict) else k
+        roots, found = table.column("root").to_pylist(), table.column("description").to_pylist()
+        nodes = {name(k): (t, [name(r) for r in refs or ()]) for k, t, refs in zip(table.column("at").to_pylist(), found, table.column("refs").to_pylist(), strict=True)}
+        seen, stack = set(), [(name(roots[0]), 0)]
+        while stack:
+            key, level = stack.pop()
+            if key in seen or level > depth:
+                continue
+            seen.add(key)
+            told, refs = nodes.get(key, (None, []))
+            if told is not None:
+                return pa.table({"root": pa.array([roots[0]], kind), "description": [told], "level": pa.array([level], pa.int32())})
+            stack += [(r, level + 1) for r in reversed(refs)]
+        return pa.table({"root": pa.array([], kind), "description": pa.array([], pa.string()), "level": pa.array([], pa.int32())})
+
+    best = graph.groupBy("root").applyInArrow(search, schema)
+    return asked.join(best, asked["key"] == best["root"], "left").select("key", "description", "level")
 
 
 def html_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(..., row_no, cells) of literal table rows, cells with their tags stripped."""
+    """(..., row_no, cells) of literal table rows of a dashboard, cells with their tags stripped; pages.page_rows() reads any rows."""
     rows = F.regexp_extract_all(F.col(html_col), F.lit("(?s)<tr>(.*?)</tr>"), F.lit(1))
     cells = F.transform(F.regexp_extract_all(F.col("__tr"), F.lit("(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: text.normalize_ws(text.strip_tags(c, " ")))
     keep = [c for c in pages.columns if c != html_col]
     return pages.select(*keep, F.posexplode(rows).alias("row_no", "__tr")).select(*keep, "row_no", cells.alias("cells"))
 
 
-def header_lookup(rows: DataFrame, by: str, column: Column) -> DataFrame:
-    """(by, description, data_type): the first row below a header (a name cell and a type or comment cell) that names the column."""
-    up = F.transform("cells", F.upper)
-    place = lambda word: F.coalesce(F.array_position(F.transform(up, lambda c: F.contains(c, F.lit(word))), True), F.lit(0)).cast("int")
-    marked = rows.withColumns({"__n": place("NAME"), "__t": place("TYPE"), "__c": place("COMMENT")})
-    header = marked.where("__n > 0 AND (__t > 0 OR __c > 0)").groupBy(by).agg(F.min_by(F.struct("row_no", "__n", "__t", "__c"), F.col("row_no")).alias("h"))
-    cell = lambda at: F.coalesce(F.get("cells", at - 1), F.lit(""))
-    body = rows.join(header, by).where(F.col("row_no") > F.col("h.row_no"))
-    hit = body.where(text.normalize_token(cell(F.col("h.__n"))) == text.normalize_token(column))
-    return hit.groupBy(by).agg(F.min_by(F.struct(F.when(F.col("h.__c") > 0, cell(F.col("h.__c"))).otherwise("").alias("description"), F.when(F.col("h.__t") > 0, cell(F.col("h.__t"))).otherwise("").alias("data_type")), F.col("row_no")).alias("m")).select(by, "m.*")
-
-
 def link_score(link: Column, table_name: Column, marker: str) -> Column:
     low, name = F.lower(link), F.lower(table_name)
     bare = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")

@@ -274,3 +274,62 @@ def post_resolve(rows: DataFrame) -> DataFrame:
             "reason": reason,
         }
     )
+
+
+def select_references(queries: DataFrame, key: str, sql_col: str = "sql") -> DataFrame:
+    """(key, out_alias, ref_ord, ref_table, ref_column): what each output column's expression refers to, in order.
+
+    Only references through a name of the FROM clause count.
+    """
+    schema = f"{key} {dict(queries.dtypes)[key]}, out_alias string, ref_ord long, ref_table string, ref_column string"
+    names = [key, "out_alias", "ref_ord", "ref_table", "ref_column"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, a, i, t, c) for k, q in zip(b.column(0).to_pylist(), b.column(1), strict=True) for a, refs in references_by_output(q.as_py()).items() for i, (t, c) in enumerate(refs)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type if not i else None) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+
+    return queries.select(key, sql_col).mapInArrow(run, schema)
+
+
+def references_by_output(sql: str | None) -> dict[str, list[tuple[str, str]]]:
+    """Output alias to the (table, column) pairs of its expression, of a query's first SELECT."""
+    bare = strip_comments(sql or "")
+    tokens = scan(bare)
+    begin = next((i for i, t in enumerate(tokens) if t.word == "SELECT" and not t.depth), None)
+    mid = None if begin is None else next((i for i in range(begin + 1, len(tokens)) if tokens[i].word == "FROM" and not tokens[i].depth), None)
+    if mid is None:
+        return {}
+    scope = _from(tokens[mid + 1 :], bare, {}, 0, DEPTH)
+    known = set(scope.order)
+    return {_item(p, bare, scope)[0]: [r for r in references(p, scope) if r[0] in known] for p in _split(tokens[begin + 1 : mid], 0)}
+
+
+def fill_defaults(rows: DataFrame, suffix: str = "_LINK") -> DataFrame:
+    """Rows (field, sql, tables, source_table, source_column, source_mode, source_confidence, snippet) with blanks filled.
+
+    A field that the query's map does not name comes from the query's first table, under its own name, unknown. If the source is
+    unknown or unresolved and the field ends in suffix, the name without it, as a word of the query, is its source.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("sql", F.lit("")), r"(?s)/\*.*?\*/", " "), r"--[^\n\r]*", " ")
+    name = F.upper("field")
+    base = F.substring(name, F.lit(1), F.length(name) - len(suffix))
+    filled = rows.withColumns(
+        {
+            "source_table": F.coalesce("source_table", F.get("tables", 0), F.lit("N/A")),
+            "source_column": F.coalesce("source_column", name),
+            "source_mode": F.coalesce("source_mode", F.lit("UNKNOWN")),
+            "source_confidence": F.coalesce("source_confidence", F.lit("LOW")),
+            "snippet": F.coalesce("snippet", F.lit("")),
+        }
+    )
+    linked = F.col("source_mode").isin("UNKNOWN", "UNRESOLVED") & name.endswith(suffix) & (base != "") & F.regexp_like(bare, F.concat(F.lit(r"(?i)\b\Q"), base, F.lit(r"\E\b")))
+    return filled.withColumn("__linked", linked).withColumns(
+        {
+            "source_column": F.when(F.col("__linked"), base).otherwise(F.col("source_column")),
+            "source_mode": F.when(F.col("__linked"), "ALIAS").otherwise(F.col("source_mode")),
+            "source_confidence": F.when(F.col("__linked"), "MEDIUM").otherwise(F.col("source_confidence")),
+            "snippet": F.when(F.col("__linked") & (F.col("snippet") == ""), F.concat(base, F.lit(" ... "), name)).otherwise(F.col("snippet")),
+        }
+    ).drop("__linked")

@@ -5,7 +5,9 @@ All of it is one plan over many documents and groups: rows are keyed by doc_id a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import text
@@ -19,17 +21,69 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block")
 
 
-def find_pages(pages: DataFrame, names: list[str], by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(..., name, page_no): pages with the whole word; where a document has none, those that hold its normalised form.
+def blocks_with_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """blocks() with n_pages, the number of blocks of the document, so nothing has to count them again."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), text.normalize_ws), lambda x: x != "")
+    rows = docs.select("doc_id", lines.alias("__l")).select("doc_id", F.size("__l").cast("long").alias("n_pages"), F.posexplode("__l").alias("p", "block"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block", "n_pages")
+
+
+def find_pages(pages: DataFrame, names: list[str] | dict[str, list[str]], by: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(..., name, page_no): pages with one of the group's names as a whole word; where a document has none, those that hold a normalised form.
 
-    names are few literals, so each is one constant pattern; quoting is by \\Q..\\E.
+    names: groups and the names of each (a list: groups of one name), few literals; whether the document has a whole word is
+    decided for the group, over all its names. keep: columns of pages that go along.
     """
-    row = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("name"), F.col("block").rlike(rf"(?i)\b\Q{n}\E\b").alias("strict"), F.contains(F.col("__norm"), text.normalize_token(F.lit(n))).alias("loose")) for n in names])
-    )
-    hits = pages.withColumn("__norm", text.normalize_token(F.col("block"))).select(*by, "page_no", row.alias("h")).select(*by, "page_no", "h.*").where("strict OR loose")
+    groups = names if isinstance(names, dict) else {n: [n] for n in names}
+
+    def entry(group: str, own: list[str]):
+        own = [n for n in own if n]
+        word = "|".join(rf"\Q{n}\E" for n in own)
+        strict = F.col("block").rlike(rf"(?i)\b(?:{word})\b") if own else F.lit(False)
+        loose = F.lit(False)
+        for n in own:
+            bare = text.normalize_token(F.lit(n))
+            loose = loose | ((bare != "") & F.contains(F.col("__norm"), bare))
+        return F.struct(F.lit(group).alias("name"), strict.alias("strict"), loose.alias("loose"))
+
+    hits = pages.withColumn("__norm", text.normalize_token(F.col("block"))).select(*by, "page_no", *keep, F.explode(F.array(*[entry(*g) for g in groups.items()])).alias("h"))
+    hits = hits.select(*by, "page_no", *keep, "h.*").where("strict OR loose")
     best = F.max("strict").over(Window.partitionBy(*by, "name"))
-    return hits.withColumn("__best", best).where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select(*by, "name", "page_no")
+    return hits.withColumn("__best", best).where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select(*by, "name", "page_no", *keep)
+
+
+def find_group_pages(pages: DataFrame, groups: DataFrame) -> DataFrame:
+    """find_pages() for groups (doc_id, name, names array) that come as a table: (doc_id, name, page_no).
+
+    Blocks meet the groups of their own document only, by an equal join.
+    """
+    word = F.array_join(F.transform(F.filter("names", lambda n: n != ""), lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    bare = F.filter(F.transform("names", text.normalize_token), lambda n: n != "")
+    asked = groups.select("doc_id", "name", F.concat(F.lit("(?i)\\b(?:"), word, F.lit(")\\b")).alias("__word"), (word != "").alias("__any"), bare.alias("__bare"))
+    met = pages.withColumn("__norm", text.normalize_token(F.col("block"))).join(asked, "doc_id")
+    marked = met.select("doc_id", "name", "page_no", (F.col("__any") & F.regexp_like("block", F.col("__word"))).alias("strict"), F.exists("__bare", lambda n: F.contains(F.col("__norm"), n)).alias("loose"))
+    best = F.max("strict").over(Window.partitionBy("doc_id", "name"))
+    hits = marked.where("strict OR loose").withColumn("__best", best)
+    return hits.where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select("doc_id", "name", "page_no")
+
+
+#: Fields of a dataset that give tokens, their least length, prefixes that datasets are also known without, and hits that are kept of a page.
+TOKEN_FIELDS, TOKEN_LENGTH, PREFIXES, MOST_HITS = 24, 6, ("G_", "Q_"), 20
+
+
+def scope_tokens(name: Column, source: Column, fields: Column) -> Column:
+    """A dataset's tokens: its name and source with and without their prefix, then the long ones of its first fields; each once."""
+    marks = []
+    for x in (name, source):
+        bare = F.when(reduce(lambda a, p: a | F.startswith(F.upper(x), F.lit(p)), PREFIXES, F.lit(False)), text.normalize_token(F.substring(x, F.lit(3), F.length(x))))
+        marks += [text.normalize_token(x), F.coalesce(bare, F.lit(""))]
+    long = F.filter(F.transform(F.slice(fields, 1, TOKEN_FIELDS), text.normalize_token), lambda f: F.length(f) >= TOKEN_LENGTH)
+    return F.array_distinct(F.concat(F.filter(F.array(*marks), lambda t: t != ""), F.coalesce(long, F.array().cast("array<string>"))))
+
+
+def relevance_hits(norm: Column, tokens: Column) -> Column:
+    """The tokens that a normalised block holds, in order, MOST_HITS at most."""
+    return F.slice(F.filter(tokens, lambda t: F.contains(norm, t)), 1, MOST_HITS)
 
 
 def clusters(pages: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
@@ -47,34 +101,42 @@ def primary(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def anchor_windows(anchors: DataFrame, sizes: DataFrame, n_groups: int) -> DataFrame:
+def anchor_windows(anchors: DataFrame, sizes: DataFrame | None, n_groups: int | Column) -> DataFrame:
     """(doc_id, name, first_anchor, window_start, window_end, primary_pages) per document and group.
 
-    anchors (doc_id, name, page_no); sizes (doc_id, n_pages). Early pages that many groups name are front matter
+    anchors (doc_id, name, page_no); sizes (doc_id, n_pages), or None if anchors has n_pages. n_groups: of a document. Early pages that many groups name are front matter
     and do not count, unless a group has no others.
     """
     page = Window.partitionBy("doc_id", "page_no")
     group = Window.partitionBy("doc_id", "name")
-    front = (F.col("page_no") <= FRONT_PAGES) & (F.col("freq") >= max(LEAST_FRONT, n_groups // 6))
+    front = (F.col("page_no") <= FRONT_PAGES) & (F.col("freq") >= (max(LEAST_FRONT, n_groups // 6) if isinstance(n_groups, int) else F.greatest(F.lit(LEAST_FRONT), F.floor(n_groups / 6))))
     rows = anchors.withColumn("freq", F.count("*").over(page)).withColumn("front", front).withColumn("rest", F.max(~F.col("front")).over(group))
-    main = primary(clusters(rows.where("NOT front OR NOT rest"), ANCHOR_GAP, ("doc_id", "name")), ("doc_id", "name"))
+    own = ("doc_id", "name") if sizes is not None else ("doc_id", "name", "n_pages")
+    main = primary(clusters(rows.where("NOT front OR NOT rest"), ANCHOR_GAP, own), ("doc_id", "name"))
     after = F.lead("first").over(Window.partitionBy("doc_id").orderBy("first", "name"))
-    joined = main.join(sizes, "doc_id")
+    joined = main if sizes is None else main.join(sizes, "doc_id")
     end = F.greatest(F.col("first"), F.coalesce(after - 1, F.col("n_pages")))
     return joined.select("doc_id", "name", F.col("first").alias("window_start"), end.alias("window_end"), F.col("pages").alias("primary_pages"), "n_pages")
 
 
-def select_pages(windows: DataFrame, pages: DataFrame, tokens: list[str]) -> DataFrame:
+def select_pages(windows: DataFrame, pages: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """(doc_id, name, pages): the sorted pages to audit for each group.
 
     Relevant pages of the window (holding a token) form islands; the one nearest the first anchor, widened by a page
     within the window, is joined by the anchors, their neighbours, and short gaps between anchors.
+    tokens: for all groups; if None, windows has a column tokens (array) for each.
     """
-    norm = text.normalize_token(F.col("block"))
-    relevant = pages.where(F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(norm, t))).select("doc_id", "page_no")
-    inside = windows.select("doc_id", "name", "window_start", "window_end").join(relevant, "doc_id").where("page_no BETWEEN window_start AND window_end")
     key = ("doc_id", "name")
-    islands = clusters(inside, RELEVANT_GAP, key).join(windows.select(*key, "window_start"), list(key))
+    norm = text.normalize_token(F.col("block"))
+    window = windows.select(*key, "window_start", "window_end", *(["tokens"] if tokens is None else []))
+    if tokens is None:
+        inside = window.join(pages.select("doc_id", "page_no", norm.alias("__norm")), "doc_id").where("page_no BETWEEN window_start AND window_end")
+        inside = inside.where(F.exists("tokens", lambda t: F.contains(F.col("__norm"), t)))
+    else:
+        relevant = pages.where(F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(norm, t))).select("doc_id", "page_no")
+        inside = window.join(relevant, "doc_id").where("page_no BETWEEN window_start AND window_end")
+    # The window's start goes along as a key, so the islands need not meet the windows again.
+    islands = clusters(inside.select(*key, "window_start", "page_no"), RELEVANT_GAP, (*key, "window_start"))
     best = islands.groupBy(*key).agg(F.min_by(F.struct("first", "last"), F.struct(F.abs(F.col("first") - F.col("window_start")), -F.col("size"), F.col("first"))).alias("b"))
     joined = windows.join(best, list(key), "left")
     low = F.coalesce(F.greatest(F.col("window_start"), F.col("b.first") - 1), F.col("window_start"))

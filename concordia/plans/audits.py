@@ -36,13 +36,10 @@ def _audits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q15_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anti join of part-name words, a table, with the documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("extractor"), text.normalize_token(F.col("text")).alias("norm"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_token(F.col("text")).alias("norm"))
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("field")).distinct()
-    entries = F.transform(F.sort_array(F.collect_set("field")), lambda f: f)
-    fields = words.agg(entries.alias("fields"))  # one row: the distinct words of a part name
-    joined = docs.join(F.broadcast(fields))
-    missing = F.filter("fields", lambda f: ~F.contains(F.col("norm"), text.normalize_token(f)))
-    return joined.select(F.col("extractor").alias("doc_id"), F.size(missing).cast("long").alias("n_missing"), F.array_join(missing, ",").alias("missing"))
+    found = audit.missing_of_table(docs, words, "doc_id")
+    return found.select("doc_id", F.size("missing").cast("long").alias("n_missing"), F.array_join("missing", ",").alias("missing"))
 
 
 SQL["q15_missing_fields"] = """
@@ -80,10 +77,12 @@ SQL["q18_top10"] = _AUDIT + "SELECT doc_id, n_missing, status FROM audits WHERE
 
 def q19_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference: words of benchmark; the extractor's own flex fields: AND, THAT where the id is even, else FROM."""
-    missing = _audits(spark, sf_dir).select(F.col("doc_id").alias("extractor"), F.explode("missing").alias("field"))
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("field")).where("field <> ''").select(F.upper("field").alias("field")).distinct()
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("extractor"), F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("And"), F.lit("That"))).otherwise(F.array(F.lit("from")))).alias("field"))
-    return audit.suppress(missing, words, own).select(F.col("extractor").alias("doc_id"), "field")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("field"))
+    known = words.select(F.upper("field").alias("field")).where(F.col("field").isin(FIELDS)).distinct()
+    reference = known.agg(F.collect_set("field").alias("reference"))  # one row, no more fields than FIELDS
+    own = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("And"), F.lit("That"))).otherwise(F.array(F.lit("from")))
+    rows = _audits(spark, sf_dir).join(F.broadcast(reference))
+    return rows.select("doc_id", F.explode(audit.suppress_in_row(F.col("missing"), own, F.col("reference"))).alias("field"))
 
 
 SQL["q19_suppression"] = (

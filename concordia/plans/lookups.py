@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import text
-from concordia.operators import enrich
+from concordia.operators import enrich, pages
 from concordia.plans.inputs import table
 
 SQL: dict[str, str] = {}
@@ -23,20 +23,19 @@ SELECT page_id, generate_subscripts(l, 1) AS ord, trim(regexp_replace(unnest(l),
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))))
-    kept = F.filter(hrefs, lambda x: ~F.contains(x, F.lit("the")) & (x != ""))
+    kept = pages.harvest_links(F.col("html"), "example.com", ["/"], ["the"])
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(kept).alias("ord", "link"))
 
 
 def q29_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links in order, entities decoded, without those that hold an excluded part ('the')."""
+    """Distinct links to example.com in order, site-relative ones made absolute, without those that hold an excluded part ('the')."""
     return _links(spark, sf_dir).select("page_id", (F.col("ord") + 1).cast("long").alias("ord"), "link")
 
 
 _LINKS = """
 WITH e AS (SELECT page_id, replace(unnest(l), '&amp;', '&') AS link, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)),
-f AS (SELECT page_id, link, min(i) AS i FROM e GROUP BY ALL),
-links AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ord, link FROM f WHERE NOT contains(link, 'the') AND link <> '')
+f AS (SELECT page_id, 'https://example.com' || link AS link, min(i) AS i FROM e WHERE starts_with(link, '/') AND len(link) > 1 GROUP BY ALL),
+links AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ord, link FROM f WHERE NOT contains(lower(link), 'the'))
 """
 SQL["q29_html_links"] = _LINKS + "SELECT page_id, ord, link FROM links"
 
@@ -67,8 +66,7 @@ def q31_html_table_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(F.lit("P_NAME"), F.concat(F.lit("VARCHAR2("), F.col("p_size").cast("string"), F.lit(")")), F.concat(F.lit("<i>"), F.col("p_name"), F.lit("</i>"))),
         F.lit("</table>"),
     )
-    rows = enrich.html_rows(table(spark, sf_dir, "part").select("p_partkey", page.alias("html")))
-    return enrich.header_lookup(rows, "p_partkey", F.lit("p_name"))
+    return pages.column_metadata(table(spark, sf_dir, "part").select("p_partkey", page.alias("html"), F.lit("p_name").alias("column")), "p_partkey")
 
 
 SQL["q31_html_table_desc"] = "SELECT p_partkey, p_name AS description, 'VARCHAR2(' || p_size || ')' AS data_type FROM part"
@@ -102,7 +100,7 @@ def _placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of supplier-like names: one row per brand and word, with a blank description for some."""
-    parts = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
+    parts = table(spark, sf_dir, "part").where("p_size < 14")
     words = parts.select(F.explode(F.split("p_name", " ")).alias("name"), F.col("p_brand").alias("column")).distinct()
     desc = F.when(F.length("name") % 5 == 0, F.lit("")).otherwise(F.concat("name", F.lit(" of "), "column"))
     return words.select("name", F.col("name").alias("ord"), "column", desc.alias("description"))
@@ -114,7 +112,7 @@ def q34_theta_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _THETA = """
-WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name, p_brand AS col FROM part WHERE p_partkey % 4 = 0),
+WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name, p_brand AS col FROM part WHERE p_size < 14),
 h AS (SELECT p_partkey AS row_id, name, name || ' of ' || col AS d FROM part JOIN t ON p_brand = col AND contains(upper('tab: ' || p_name), upper(name)) WHERE len(name) % 5 <> 0),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY name) = 1)
 """
@@ -152,21 +150,26 @@ SELECT tag, arg_max(key, len(key)) AS key FROM tags LEFT JOIN keys ON tag = key
 
 
 def q37_recursive_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part k refers to k div 2, then k div 3; every eleventh is described."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
     described = parts.where("key % 11 = 3").select("key", F.col("p_name").alias("description"))
     edges = parts.where("key > 0").select("key", F.explode(F.array(F.struct(F.lit(0).alias("ref_ord"), F.expr("key div 2").alias("ref")), F.struct(F.lit(1).alias("ref_ord"), F.expr("key div 3").alias("ref")))).alias("e")).select("key", "e.*")
     return enrich.describe_recursively(parts.select("key"), described, edges).select("key", "description", F.col("level").cast("long").alias("level"))
 
 
+# A search of one root as a stack machine: the top of the stack is entered, or dropped if it was met before or lies too deep.
 SQL["q37_recursive_desc"] = """
-WITH RECURSIVE d AS (SELECT p_partkey AS key, p_name FROM part WHERE p_partkey % 11 = 3),
-f AS (
-  SELECT p_partkey AS root, p_partkey AS cur, ''::VARCHAR AS path, [p_partkey] AS seen, 0::BIGINT AS level FROM part
+WITH RECURSIVE m AS (
+  SELECT p_partkey AS root, [{'k': p_partkey, 'l': 0::BIGINT}] AS stack, []::BIGINT[] AS seen, NULL::BIGINT AS hit, NULL::BIGINT AS level FROM part
   UNION ALL
-  SELECT root, r.ref, path || r.o, list_append(seen, r.ref), level + 1 FROM f, LATERAL (SELECT '0' AS o, cur // 2 AS ref UNION ALL SELECT '1', cur // 3) r
-  WHERE level < 4 AND cur > 0 AND cur % 11 <> 3 AND NOT list_contains(seen, r.ref)),
-b AS (SELECT root, p_name, level FROM f JOIN d ON cur = key QUALIFY row_number() OVER (PARTITION BY root ORDER BY path) = 1)
-SELECT p_partkey AS key, b.p_name AS description, level FROM part LEFT JOIN b ON p_partkey = root
+  SELECT root,
+    CASE WHEN list_contains(seen, stack[1].k) OR stack[1].l > 4 OR stack[1].k = 0 THEN stack[2:]
+         ELSE list_concat([{'k': stack[1].k // 2, 'l': stack[1].l + 1}, {'k': stack[1].k // 3, 'l': stack[1].l + 1}], stack[2:]) END,
+    CASE WHEN stack[1].l > 4 THEN seen ELSE list_append(seen, stack[1].k) END,
+    CASE WHEN stack[1].k % 11 = 3 AND stack[1].l <= 4 AND NOT list_contains(seen, stack[1].k) THEN stack[1].k END,
+    CASE WHEN stack[1].k % 11 = 3 AND stack[1].l <= 4 AND NOT list_contains(seen, stack[1].k) THEN stack[1].l END
+  FROM m WHERE hit IS NULL AND len(stack) > 0)
+SELECT p.p_partkey AS key, d.p_name AS description, h.level FROM part p LEFT JOIN (SELECT root, hit, level FROM m WHERE hit IS NOT NULL) h ON p.p_partkey = root LEFT JOIN part d ON d.p_partkey = hit
 """
 
 
@@ -210,14 +213,12 @@ SQL["q40_remaining_top"] = _THETA + "SELECT p_brand, count(*) AS n FROM part WHE
 
 
 def q51_enrich_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache before pages before the default, with the provider that answered."""
+    """Cache before pages before the default, with the provider that answered; a blank answer is none."""
     key = F.col("p_partkey")
     parts = table(spark, sf_dir, "part")
-    cache = parts.where(key % 3 == 0).select(key, F.when(key % 2 == 0, F.col("p_name")).otherwise("").alias("c"))
-    pages = parts.where(key % 5 < 2).select(key, F.col("p_brand").alias("p"))
-    joined = parts.select(key).join(cache, "p_partkey", "left").join(pages, "p_partkey", "left")
-    c, p = F.nullif("c", F.lit("")), F.nullif("p", F.lit(""))
-    return joined.select("p_partkey", F.coalesce(c, p, F.lit("N/A")).alias("description"), F.when(c.isNotNull(), "cache").when(p.isNotNull(), "pages").otherwise("default").alias("provider"))
+    cache = parts.where(key % 3 == 0).select(key, F.when(key % 2 == 0, F.col("p_name")).otherwise(" ").alias("description"))
+    found = parts.where(key % 5 < 2).select(key, F.col("p_brand").alias("description"))
+    return pages.cascade(parts, "p_partkey", [("cache", cache), ("pages", found)])
 
 
 SQL["q51_enrich_cascade"] = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.operators import scope
@@ -16,7 +16,7 @@ TOKENS = ["THATH", "ENTI", "RING"]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.blocks(table(spark, sf_dir, "documents"))
+    return scope.blocks_with_size(table(spark, sf_dir, "documents"))
 
 
 _BLOCKS = """
@@ -56,8 +56,8 @@ def q12_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for gap in (scope.RELEVANT_GAP, scope.ANCHOR_GAP):
         found = scope.clusters(anchors, gap, ("doc_id", "name"))
-        main = scope.primary(found, ("doc_id", "name")).select("doc_id", "name", F.col("cluster").alias("main"))
-        part = found.join(main, ["doc_id", "name"]).select("doc_id", "name", F.lit(gap).cast("long").alias("gap"), "first", "last", "size", (F.col("cluster") == F.col("main")).alias("is_primary"))
+        order = Window.partitionBy("doc_id", "name").orderBy(F.desc("size"), "first")
+        part = found.select("doc_id", "name", F.lit(gap).cast("long").alias("gap"), "first", "last", "size", (F.row_number().over(order) == 1).alias("is_primary"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -79,8 +79,7 @@ def q13_anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(pages: DataFrame) -> DataFrame:
-    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    return scope.anchor_windows(scope.find_pages(pages, WORDS), sizes, len(WORDS))
+    return scope.anchor_windows(scope.find_pages(pages, WORDS, keep=("n_pages",)), None, len(WORDS))
 
 
 SQL["q13_anchor_windows"] = _BLOCKS + _ISLANDS + "SELECT doc_id, name, window_start, window_end FROM windows"

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.functions import text
-from concordia.operators import enrich, lineage
+from concordia.operators import lineage, pages
 from concordia.plans.inputs import table
 
 SQL: dict[str, str] = {}
@@ -151,11 +150,7 @@ SQL["q48_stage2_lineage"] = _expected(
 def q49_pick_sql_from_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest <pre> that holds SELECT and FROM."""
     page = "<pre>no query here, however long it may be, only words and words</pre><p>x</p><pre class='q'>select 1 from {t}</pre><pre>\nSELECT a.c_{k}\nFROM {t} a, area_{r} b</pre>"
-    pages = table(spark, sf_dir, "nation").select("n_nationkey", _fill(page).alias("html"))
-    blocks = pages.select("n_nationkey", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<pre[^>]*>(.*?)</pre>"), F.lit(1))).alias("i", "b"))
-    found = blocks.where(F.contains(F.upper("b"), F.lit("SELECT")) & F.contains(F.upper("b"), F.lit("FROM")))
-    best = found.groupBy("n_nationkey").agg(F.max_by("b", F.struct(F.length("b"), -F.col("i"))).alias("sql"))
-    return best.select("n_nationkey", text.normalize_ws(F.col("sql")).alias("sql"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", _fill(page).alias("html")).select("n_nationkey", pages.query_text(F.col("html")).alias("sql"))
 
 
 SQL["q49_pick_sql_from_html"] = "SELECT n_nationkey, 'SELECT a.c_' || n_nationkey || ' FROM ' || n_name || ' a, area_' || n_regionkey || ' b' AS sql FROM nation"
@@ -164,13 +159,7 @@ SQL["q49_pick_sql_from_html"] = "SELECT n_nationkey, 'SELECT a.c_' || n_nationke
 def q50_headerless_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row that holds the column: its type cell, and its first other cell of eight characters or more."""
     page = F.concat(F.lit("<tr><td>zz</td></tr><tr><td>P_NAME</td><td>short</td><td>NUMBER("), F.col("p_size").cast("string"), F.lit(")</td><td>described as "), F.col("p_name"), F.lit("</td></tr>"))
-    rows = enrich.html_rows(table(spark, sf_dir, "part").select("p_partkey", page.alias("html")))
-    kind = r"^(?:NUMBER|VARCHAR2|NVARCHAR2|DATE|TIMESTAMP|CHAR|CLOB|BLOB)(?:\(\d+(?:,\d+)?\))?$"
-    cells = F.filter("cells", lambda c: text.normalize_token(c) != "PNAME")
-    hit = rows.where(F.exists("cells", lambda c: text.normalize_token(c) == "PNAME"))
-    type_ = F.coalesce(F.get(F.filter(cells, lambda c: c.rlike(kind)), 0), F.lit(""))
-    desc = F.coalesce(F.get(F.filter(cells, lambda c: ~c.rlike(kind) & (F.length(c) >= 8)), 0), F.lit(""))
-    return hit.groupBy("p_partkey").agg(F.min_by(F.struct(desc.alias("description"), type_.alias("data_type")), F.col("row_no")).alias("m")).select("p_partkey", "m.*")
+    return pages.column_metadata(table(spark, sf_dir, "part").select("p_partkey", page.alias("html"), F.lit("p_name").alias("column")), "p_partkey")
 
 
 SQL["q50_headerless_metadata"] = "SELECT p_partkey, 'described as ' || p_name AS description, 'NUMBER(' || p_size || ')' AS data_type FROM part"

@@ -1,63 +1,55 @@
-"""Golden cases of the SQL lineage parser and of the file readers; and the catalogue against its own SQL on the smallest tables."""
+"""Lineage of SQL text: parsed sources of queries over schemas of our own."""
 
-import io
-import zipfile
-
-import duckdb
 import pytest
 
-from concordia.operators.lineage import parse
-from concordia.plans import catalogue
-from concordia.sources.files import docx_blocks, xlsx_rows
-
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize(
-    ("sql", "alias", "want"),
-    [
-        ("SELECT r.org_id org_id_link FROM lines_all r", "ORG_ID_LINK", ("LINES_ALL", "ORG_ID", "ALIAS", "HIGH")),
-        ("SELECT r.org_id AS o FROM trx_all r, other x", "O", ("TRX_ALL", "ORG_ID", "ALIAS", "HIGH")),
-        ("SELECT CASE WHEN a.x = 1 THEN a.y ELSE b.z END v FROM t1 a JOIN t2 b ON a.i = b.i", "V", ("MULTI_SOURCE", "MULTI_SOURCE", "MULTI_SOURCE", "LOW")),
-        ("SELECT NVL(a.col1, 'x') v FROM t1 a", "V", ("T1", "COL1", "EXPRESSION", "MEDIUM")),
-        ("SELECT s.org FROM (SELECT l.org_id org FROM lines_all l) s", "ORG", ("LINES_ALL", "ORG_ID", "ALIAS", "HIGH")),
-        ("SELECT DECODE(a.k, 'q', loc.name, 'r', loc.name) n FROM t a, locs loc", "N", ("LOCS", "NAME", "EXPRESSION", "MEDIUM")),
-        ("WITH c AS (SELECT f.name FROM details f) SELECT c.name FROM c", "NAME", ("DETAILS", "NAME", "DIRECT", "HIGH")),
-    ],
-)
-def test_lineage(sql, alias, want):
-    s = parse(sql)[0][alias]
-    assert (s.table, s.column, s.mode, s.confidence) == want
-
-
-def _zip(**members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in members.items():
-            z.writestr(name.replace("__", "/"), text)
-    return out.getvalue()
-
-
-def test_docx():
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
-    body = p("FIRST") + p("") + f"<w:tbl><w:tr><w:tc>{p('T1')}</w:tc><w:tc>{p('T2')}</w:tc></w:tr></w:tbl>" + p("LAST")
-    got = docx_blocks(_zip(**{"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"}))
-    assert got == [("FIRST", ""), ("T1 | T2", "T1 | T2"), ("LAST", "")]
-
-
-def test_xlsx():
-    c = lambda r, t: f'<c r="{r}" t="inlineStr"><is><t>{t}</t></is></c>'
-    sheet = f'<worksheet><sheetData><row r="1">{c("A1", "tag")}{c("C1", "type")}</row><row r="2">{c("A2", "x,y,z")}</row><row r="3"/></sheetData></worksheet>'
-    assert xlsx_rows(_zip(**{"xl/worksheets/sheet1.xml": sheet})) == [["tag", "", "type"], ["x", "y", "z"]]
-
-
-@pytest.mark.parametrize("name", ["q07_candidate_classify", "q14_select_pages", "q16_status", "q23_lineage_expr", "q27_post_resolution", "q36_prefix_match"])
-def test_catalogue(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "part", "nation", "region"):
-        con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
-    df = catalogue.queries()[name](spark, SF)
-    columns = sorted(df.columns)
-    theirs = con.sql(catalogue.oracle_sql()[name]).project(", ".join(columns)).fetchall()
-    assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, theirs))
+from concordia.operators import lineage
+
+
+def found(sql):
+    return {a: (s.table, s.column, s.mode, s.confidence) for a, s in lineage.parse(sql)[0].items()}
+
+
+def test_plain_and_renamed_columns():
+    got = found("select t.seat, t.price as cost, venue.\"city\" from tickets t join venue on venue.id = t.venue_id")
+    assert got == {"SEAT": ("TICKETS", "SEAT", "DIRECT", "HIGH"), "COST": ("TICKETS", "PRICE", "ALIAS", "HIGH"), "CITY": ("VENUE", "CITY", "DIRECT", "HIGH")}
+
+
+@pytest.mark.parametrize("expr", ["upper(trim(m.title))", "m.title || ', ' || 'x.y'", "coalesce(m.title, '(a, b)')", "cast(m.title as varchar(20))"])
+def test_expressions_over_one_column(expr):
+    assert found(f"SELECT {expr} AS shown FROM movies m")["SHOWN"] == ("MOVIES", "TITLE", "EXPRESSION", "MEDIUM")
+
+
+def test_expressions_over_several_columns():
+    got = found("SELECT a.w * b.h AS area, 7 AS seven, sysdate now_ FROM boxes a, lids b")
+    assert got["AREA"][2] == "MULTI_SOURCE" and got["SEVEN"][:3] == ("N/A", "UNKNOWN_SOURCE_COLUMN", "UNKNOWN")
+    assert got["NOW_"][:2] == ("N/A", "SYSDATE")
+
+
+def test_subquery_in_subquery():
+    got = found("SELECT o.total FROM (SELECT i.sum_ AS total FROM (SELECT p.amount AS sum_ FROM payments p) i) o")
+    assert got["TOTAL"][:2] == ("PAYMENTS", "AMOUNT")
+
+
+def test_common_tables_see_earlier_ones():
+    got = found("WITH base AS (SELECT r.km FROM rides r), twice AS (SELECT b.km AS far FROM base b) SELECT z.far AS distance FROM twice z")
+    assert got["DISTANCE"][:2] == ("RIDES", "KM")
+
+
+def test_first_select_of_a_union_counts():
+    got = found("SELECT l.code FROM left_side l WHERE l.n > 1 UNION ALL SELECT r.other FROM right_side r")
+    assert got == {"CODE": ("LEFT_SIDE", "CODE", "DIRECT", "HIGH")}
+
+
+def test_comments_quotes_and_commas_in_literals():
+    got = found("SELECT /* k.gone, */ k.name -- , k.lost\n, 'a, k.text, b' AS note FROM keys k")
+    assert set(got) == {"NAME", "NOTE"} and got["NOTE"][0] == "N/A"
+
+
+@pytest.mark.parametrize("sql", [None, "", "   ", "UPDATE x SET y = 1", "SELECT 1", "SELECT (", "WITH a AS (", "FROM a SELECT b"])
+def test_what_is_no_query_has_no_sources(sql):
+    assert found(sql) == {} and lineage.references_by_output(sql) == {}
+
+
+def test_references_by_output():
+    got = lineage.references_by_output("SELECT a.x, f(b.y, a.z) AS m, q.lost, 1 AS one FROM s.one a LEFT JOIN two b ON b.i = a.i")
+    assert got == {"X": [("ONE", "X")], "M": [("TWO", "Y"), ("ONE", "Z")], "LOST": [], "ONE": []}
