@@ -6,6 +6,9 @@ next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +25,48 @@ SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS = 5, 3, 7, 9, 32
 WIDE_RADIUS, WIDE_BITS, SIMILARITY = 24, 52, 0.8
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told: not 'und', and a score of LEAST_SCORE at least."""
+#: The columns that stages look at. Others only travel along, under names that clash with nothing.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage over docs whose other columns are renamed on the way in and named again on the way out."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[c if c in COLUMNS else f"extra{i}" for i, c in enumerate(docs.columns)])
+        return stage(plain).toDF(*docs.columns)
+
+    return run_stage
+
+
+@apart
+def language_stage(docs: DataFrame) -> DataFrame:
+    """Keeps documents whose language can be told: not 'und', and a score of LEAST_SCORE at least.
+
+    Null, empty and letterless texts go; texts are read whole; repeated rows and ids are judged one by one; a tie of languages
+    goes to the first in order; without labels, or from an empty table, nothing is kept.
+    """
     told = language.identify(docs, language.fit(docs), pred="__pred", score="__score")
     return told.where((F.col("__pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the same text, the one with the smallest doc_id stays."""
+@apart
+def exact_stage(docs: DataFrame) -> DataFrame:
+    """Of rows with the same text, the one with the smallest doc_id stays: one row, null ids last, then by the other columns.
+
+    A null text equals an empty one; repeated rows become one; an empty table gives an empty one.
+    """
     return exact_dedup.exact_dedup(docs, keep="min")
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that pairs of at least SIMILARITY join, the row with the smallest doc_id stays (null last, then by row)."""
+@apart
+def near_stage(docs: DataFrame) -> DataFrame:
+    """Of each group that pairs of at least SIMILARITY join, the row with the smallest doc_id stays (null last, then by row).
+
+    Rows are dropped, never ids. Null, empty and blank texts are one group; texts shorter than a shingle are one shingle;
+    repeated rows are one group; an empty table gives an empty one.
+    """
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col("__row").alias("row"), "text")
     found = simhash_dedup.similar_groups(texts, SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS, WIDE_RADIUS, WIDE_BITS, SIMILARITY)
@@ -44,12 +76,18 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(copies, F.col("__row") == F.col("__copy"), "left_anti").select(*docs.columns)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of the documents by source, weights growing as the root of a source's size, in a new order."""
+@apart
+def mixing_stage(docs: DataFrame) -> DataFrame:
+    """Copies of the documents by source, weights growing as the root of a source's size, in a new order.
+
+    A null source is one of its own; null and empty texts count like others; rows that repeat an id, or have none, get the
+    same number of copies; an empty table gives an empty one.
+    """
     return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the documents' ids, as op7: a null or empty text is its end id; copies are packed one by one."""
     return packing.pack(materialize(packing.pieces(docs), "pieces"))
 
 
