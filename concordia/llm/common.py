@@ -21,7 +21,7 @@ def whole_text(name: str = "text") -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a local folder is made and used instead.
+    Only where that is unset, and driver and executors are one process (tests), a local folder is made and used instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -29,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
     hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
     if hadoop.isDefined():
         return hadoop.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="concordia-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

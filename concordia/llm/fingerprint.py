@@ -1,13 +1,17 @@
 """Document fingerprints: SimHash of weighted terms, and a search of fingerprints within a Hamming radius.
 
 Terms are pairs of neighbouring words in lower case; a term weighs as many votes as it has bytes (at most
-64), since short words are common ones and say little. Null texts count as empty and have fingerprint zero; equal texts have equal
-fingerprints. Documents are ordered by doc_id, null first, then by a hash of the text.
-Only built-in functions are used.
+64), since short words are common ones and say little. Only built-in functions are used.
+
+Defined results: null texts count as empty and have fingerprint zero; equal texts have equal fingerprints; very long texts are
+read whole; documents are ordered by doc_id, null first, then by a hash of the text, so rows that repeat an id or a whole row follow each
+other; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +46,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
+    # In decimals: ids may lie further apart than a long can tell.
+    exact = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")
+    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - exact(low or 0)) / exact(width)), F.lit(-1)).cast("long"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     heads = rows.select("range", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.xxhash64("text").alias("h")).alias("head")).groupBy("range").agg(F.min("head").alias("head"))
     chain = Window.orderBy("range")  # one row for each range, MAX_RANGES at most

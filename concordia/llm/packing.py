@@ -5,8 +5,8 @@ longest first, into the tightest open window that has room. The tree's leaves ar
 its nodes hold how many open windows lie below. Pieces are dealt by a hash into groups of about GROUP
 pieces, each packed by itself, so memory is bounded and every group wastes at most its last windows.
 
-Defined results: null text counts as empty, which leaves the end id alone; rows that repeat an id are packed one by
-one; an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty, which leaves the end id alone; very long texts are encoded whole, in parts cut
+where the pretokenizer parts as well; pieces of equal length keep the order of doc_id, start; rows that repeat an id are packed one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -250,3 +250,16 @@ def test_shard_groups(least):
     assert [(a.as_py(), c.as_py()) for g in groups for a, c in zip(g["m"], g["content"])] == rows
     shards = [set(g["m"].to_pylist()) for g in groups]
     assert all(not a & b for i, a in enumerate(shards) for b in shards[:i])
+
+
+def test_op1_ids_far_apart(spark, tmp_path):
+    """Ids from the smallest to the largest long, missing and repeated ones, in one order."""
+    from concordia.llm import fingerprint
+
+    ids = [-(2**63), -5, None, None, 7, 7, 2**63 - 1, 0]
+    rows = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    got = [r for r in fingerprint.with_next(rows).collect() if not r["guest"]]
+    assert len(got) == len(ids)
+    after = {r["text"]: r["next_text"] for r in got}
+    assert after["text 0"] == "text 1" and after["text 1"] == "text 7" and after["text 7"] in ("text 4", "text 5") and after["text 6"] in ("text 2", "text 3")
+    assert sorted(after.values()) == sorted(after)
