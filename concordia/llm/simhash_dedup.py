@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from concordia.llm.common import ascii_lower, documents, hex64, materialize, space_words, whole_text
 from concordia.llm.components import components, spanning_links
 from concordia.llm.gray_index import hamming_links, wide_links
-from concordia.llm.votes import shingles, vote
+from concordia.llm.votes import majority, shingles, vote
+
+#: Times that the rows of a group are measured against its hub.
+HUBS = 2
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,6 +71,22 @@ def verified(rows: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFra
     return materialize(pairs.where(both / (F.size("sa") + F.size("sb") - both) >= least).select("a", "b"), "verified")
 
 
+def hub_links(rows: DataFrame, nodes: DataFrame, names: list[str], groups: DataFrame, k: int, least: float) -> DataFrame:
+    """Verified links of each group's rows to its hub, the row whose prints are nearest to the majority of the group's bits.
+
+    groups: (row, root). Copies of one text with edits of their own are often nearer to it than to each other; a group costs
+    as many pairs as it has rows.
+    """
+    members = materialize(nodes.join(groups, "row"), "members")
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(n).alias("fp")) for i, n in enumerate(names)])).alias("x")
+    bits = majority(members.select("root", parts).select("root", "x.part", F.col("x.fp").alias("__h"), F.lit(1).cast("long").alias("__w")), ["root", "part"], "fp")
+    middle = bits.groupBy("root").agg(*[F.max(F.when(F.col("part") == i, F.col("fp"))).alias(f"m{i}") for i in range(len(names))])
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(n).bitwiseXOR(F.col(f"m{i}"))) for i, n in enumerate(names)])
+    hubs = members.join(middle, "root").groupBy("root").agg(F.min(F.struct(apart.alias("d"), "row")).alias("hub"))
+    pairs = members.join(hubs, "root").select(F.col("hub.row").alias("a"), F.col("row").alias("b")).where("a <> b")
+    return verified(rows, materialize(pairs, "hub-pairs"), k, least)
+
+
 def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int, blocks: int, most_bits: int, wide_radius: int, wide_bits: int, least: float) -> DataFrame:
     """(row, root) of every row of rows (row, text) that links of a Jaccard similarity of at least least join to another.
 
@@ -75,7 +94,8 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     pair is measured on its shingles before it links. Three rounds keep the pairs few, though no pair goes unmeasured
     but within a component:
     1. rows with equal prints against the smallest of them; those with the same set become one node;
-    2. a spanning forest of pairs within radius (one print) and most_bits (all prints), which joins large groups;
+    2. pairs within radius (one print) and most_bits (all prints) make groups; a spanning forest of these pairs is measured, and
+       every row against the hub of its group, twice: the second time only rows that no link has joined to another yet;
     3. all pairs within wide_radius and wide_bits whose nodes are not in one component yet.
     """
     names, keys = [f"fp{s}" for s in range(parts)], blocks - radius
@@ -85,7 +105,13 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     same = verified(rows, alike, shingle_words, 1.0)
     nodes = materialize(prints.join(same, prints.row == same.b, "left_anti"), "nodes")
     links = reduce(DataFrame.unionAll, [wide_links(nodes, "row", names, s, keys, blocks, radius, most_bits) for s in range(parts)])
-    sure = verified(rows, spanning_links(links), shingle_words, least)
+    forest = materialize(spanning_links(links), "forest")
+    sure = verified(rows, forest, shingle_words, least)
+    groups = components(forest).select(F.col("node").alias("row"), "root")
+    for _ in range(HUBS):
+        sure = materialize(sure.unionAll(hub_links(rows, nodes, names, groups, shingle_words, least)), "sure")
+        joined = sure.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        groups = groups.join(joined, "row", "left_anti")
     roots = components(sure)
     known = nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, F.coalesce("root", "row").alias("root"))
     known = materialize(known, "known")

@@ -36,7 +36,11 @@ def vote(terms: DataFrame, keys: list[str], term: str = "__term", weight: Column
     Terms '' have no vote; without votes the fingerprint is zero. seed: a column that, hashed first, seeds the terms' hash.
     """
     w = F.when(F.col(term) == "", F.lit(0)).otherwise(F.lit(1) if weight is None else weight).cast("long")
-    rows = terms.select(*keys, F.xxhash64(*([seed] if seed else []), term).alias("__h"), w.alias("__w"))
+    return majority(terms.select(*keys, F.xxhash64(*([seed] if seed else []), term).alias("__h"), w.alias("__w")), keys, out)
+
+
+def majority(rows: DataFrame, keys: list[str], out: str = "__fp") -> DataFrame:
+    """One row per keys with the bits that over half the weight of rows (keys, __h, __w) has set."""
     lanes = [F.sum(F.shiftrightunsigned("__h", j).bitwiseAND(F.lit(_LANES)) * F.col("__w")).alias(f"__s{j}") for j in range(32)]
     sums = rows.groupBy(*keys).agg(F.sum("__w").alias("__n"), *lanes)
 
