@@ -61,6 +61,15 @@ def wide_prints(rows: DataFrame, k: int, parts: int) -> DataFrame:
     return voted.groupBy("row").agg(*[F.max(F.when(F.col("__part") == s, F.col("fp"))).alias(f"fp{s}") for s in range(parts)])
 
 
+def set_sketches(rows: DataFrame, k: int) -> DataFrame:
+    """(row, n, b0 .. b3): the number of distinct shingles of each row, and a bitmap of 256 bits with one for each shingle's hash."""
+    hashes = F.transform("terms", lambda t: F.xxhash64(t))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda i: F.filter("h", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == i)
+    bits = [F.aggregate(mine(i), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(one(h))).alias(f"b{i}") for i in range(4)]
+    return _sets(rows, k).select("row", hashes.alias("h")).select("row", F.size("h").alias("n"), *bits)
+
+
 def verified(rows: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (by 64-bit hashes of the shingles) have a Jaccard similarity of at least least."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -96,7 +105,7 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     1. rows with equal prints against the smallest of them; those with the same set become one node;
     2. pairs within radius (one print) and most_bits (all prints) make groups; a spanning forest of these pairs is measured, and
        every row against the hub of its group, twice: the second time only rows that no link has joined to another yet;
-    3. all pairs within wide_radius and wide_bits whose nodes are not in one component yet.
+    3. all pairs that their sketches do not rule out within wide_radius and wide_bits whose nodes are not in one component yet.
     """
     names, keys = [f"fp{s}" for s in range(parts)], blocks - radius
     prints = materialize(wide_prints(rows, shingle_words, parts), "prints")
@@ -114,8 +123,9 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
         groups = groups.join(joined, "row", "left_anti")
     roots = components(sure)
     known = nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, F.coalesce("root", "row").alias("root"))
-    known = materialize(known, "known")
-    wide = reduce(DataFrame.unionAll, [wide_links(known, "row", names, s, keys, blocks, wide_radius, wide_bits, "root") for s in range(parts)])
+    sketch = ["n", "b0", "b1", "b2", "b3"]
+    known = materialize(known.join(set_sketches(rows, shingle_words), "row"), "known")
+    wide = reduce(DataFrame.unionAll, [wide_links(known, "row", names, s, keys, blocks, wide_radius, wide_bits, "root", sketch, least) for s in range(parts)])
     more = verified(rows, materialize(wide.distinct(), "pairs"), shingle_words, least)
     return components(same.unionAll(sure).unionAll(more)).select(F.col("node").alias("row"), "root")
 
