@@ -216,6 +216,17 @@ def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str =
     return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")
 
 
+def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of places can have a Jaccard similarity of least. sets: sizes, then words of parities.
+
+    Where parities differ, one of the two has an element that the other lacks; sizes tell no less than their difference.
+    """
+    size, parities = sets[0], [m.view(np.uint64) for m in sets[1:]]  # bitwise_count() takes the absolute value of signed numbers
+    total = size[i] + size[j]
+    apart = np.maximum(sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in parities), np.abs(size[i] - size[j]))
+    return total - apart >= least * (total + apart) - 1e-9
+
+
 def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int, blocks: int, radius: int, most_bits: int, group: str | None = None, sketch: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """(a, b), a < b: pairs that agree on a table's keys blocks of names[at], are within the radius there and differ in
     at most most_bits bits of all of names. Every row is such a pair itself.
@@ -223,18 +234,12 @@ def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int
     Without group, those that span the components of all such pairs of a partition and table; with it, every pair
     whose groups differ (a pair may come from several tables).
 
-    sketch: columns with the size of a row's set and bitmaps of its elements' hashes; pairs that cannot have a Jaccard
-    similarity of least are left out: what one has and the other's bitmap lacks is not common to both.
+    sketch: columns with the size of a row's set and the parities of its elements' hashes; pairs that cannot have a Jaccard
+    similarity of least are left out (see possible).
     """
     tables = block_tables(blocks, blocks - keys)
     rows = nodes.select(F.col(names[at]).alias("fp"), F.col(node).alias("node"), *([F.col(group).alias("group")] if group else []), *[F.col(n).alias(f"w{i}") for i, n in enumerate(names) if i != at], *[F.col(c).cast("long").alias(f"s{i}") for i, c in enumerate(sketch or [])])
 
-    def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size, maps = sets[0], [m.view(np.uint64) for m in sets[1:]]  # bitwise_count() takes the absolute value of signed numbers
-        lost = lambda x, y: sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int64) for m in maps)
-        both = np.minimum(size[i] - lost(i, j), size[j] - lost(j, i))
-        return both >= least * (size[i] + size[j] - both) - 1e-9
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if not got:
@@ -252,7 +257,7 @@ def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int
             found = [local_links(codes, bits, radius, more, most_bits)] if groups is None else local_pairs(codes, bits, radius, more, most_bits, groups)
             for i, j in found:
                 if sets and len(i):
-                    can = possible(sets, i, j)
+                    can = possible(sets, i, j, least)
                     i, j = i[can], j[can]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine[i], mine[j])), pa.array(np.maximum(mine[i], mine[j]))], names=["a", "b"])

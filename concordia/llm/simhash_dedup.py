@@ -62,11 +62,15 @@ def wide_prints(rows: DataFrame, k: int, parts: int) -> DataFrame:
 
 
 def set_sketches(rows: DataFrame, k: int) -> DataFrame:
-    """(row, n, b0 .. b3): the number of distinct shingles of each row, and a bitmap of 256 bits with one for each shingle's hash."""
+    """(row, n, b0 .. b3): the number of distinct shingles of each row, and 256 parities: of the shingles whose hash falls on each.
+
+    The exclusive or of two rows' parities is that of the shingles only one of them has, so it bounds their number from
+    below and, unlike a bitmap of the sets, does not fill up as texts grow, only as they differ.
+    """
     hashes = F.transform("terms", lambda t: F.xxhash64(t))
     one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     mine = lambda i: F.filter("h", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == i)
-    bits = [F.aggregate(mine(i), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(one(h))).alias(f"b{i}") for i in range(4)]
+    bits = [F.aggregate(mine(i), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h))).alias(f"b{i}") for i in range(4)]
     return _sets(rows, k).select("row", hashes.alias("h")).select("row", F.size("h").alias("n"), *bits)
 
 

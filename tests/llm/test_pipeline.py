@@ -3,11 +3,13 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline as cp
+from concordia.llm import gray_index, simhash_dedup
 from concordia.llm.common import documents
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
@@ -127,6 +129,23 @@ def test_near_is_exact_jaccard(spark, at):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(near_survivors(rows))
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    """Against exact sets; and of texts of one length that share a long passage, nearly all below 0.75 are ruled out."""
+    base, texts = [f"s{i}" for i in range(150)], ["", "one two", "one two three four five six"]
+    for n in range(80):
+        texts.append(" ".join(f"e{n}y{i}" if (i * 37 + n) % 150 < n // 16 else w for i, w in enumerate(base[: 150 - n % 3])))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = sorted(simhash_dedup.set_sketches(rows, cp.SHINGLE).collect())
+    sets = [np.array([r[c] for r in got], np.int64) for c in ("n", "b0", "b1", "b2", "b3")]
+    shingles = [shingle_set(t) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    can = gray_index.possible(sets, i, j, cp.SIMILARITY)
+    alike = np.array([len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a, b in zip(i, j)])
+    assert [len(s) for s in shingles] == sets[0].tolist()
+    assert can[alike >= cp.SIMILARITY].all() and (alike >= cp.SIMILARITY).sum() > 100
+    assert (alike < 0.75).sum() > 100 and can[alike < 0.75].mean() < 0.1
+
+
 def test_near_drops_rows_not_ids(spark, at):
     a, b, c = ([f"{p}{i}" for i in range(200)] for p in "abc")
     texts = [(1, a), (None, [*a, "end"]), (None, b), (None, c), (7, ["x", *b]), (7, [*c, "end"]), (None, [*map(str, range(90))]), (7, [*map(str, range(300, 390))])]
