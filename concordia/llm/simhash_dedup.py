@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from concordia.llm.common import ascii_lower, documents, hex64, materialize, space_words, whole_text
 from concordia.llm.components import components, spanning_links
 from concordia.llm.gray_index import hamming_links, wide_links
+from concordia.llm.shingle_sets import hash_sets, prints_and_sketches
 from concordia.llm.votes import majority, shingles, vote
 
 #: Times that the rows of a group are measured against its hub.
@@ -46,38 +47,15 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 3,
     return near_groups(prints, radius, blocks)
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(row, terms) of rows (row, text): distinct k-word shingles; a shorter text is one, a text without words has ''."""
-    places = F.sequence(F.lit(0), F.greatest(F.size("__words") - k, F.lit(0)))
-    terms = F.transform(places, lambda i: F.concat_ws(" ", F.slice("__words", i + 1, k)))
-    return rows.select("row", space_words(ascii_lower(whole_text("text"))).alias("__words")).select("row", F.array_distinct(terms).alias("terms"))
-
-
-def wide_prints(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """(row, fp0, fp1, ..): independent SimHashes of each row's shingle set, whose hashes are seeded by the number of the part."""
-    # Outer: the filter that explode() infers would split the text again for each shingle. There is always a term.
-    terms = _sets(rows, k).select("row", F.explode_outer("terms").alias("__term")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    voted = vote(terms, ["row", "__part"], out="fp", seed="__part")
-    return voted.groupBy("row").agg(*[F.max(F.when(F.col("__part") == s, F.col("fp"))).alias(f"fp{s}") for s in range(parts)])
-
-
 def set_sketches(rows: DataFrame, k: int) -> DataFrame:
-    """(row, n, b0 .. b3): the number of distinct shingles of each row, and 256 parities: of the shingles whose hash falls on each.
-
-    The exclusive or of two rows' parities is that of the shingles only one of them has, so it bounds their number from
-    below and, unlike a bitmap of the sets, does not fill up as texts grow, only as they differ.
-    """
-    hashes = F.transform("terms", lambda t: F.xxhash64(t))
-    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    mine = lambda i: F.filter("h", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == i)
-    bits = [F.aggregate(mine(i), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h))).alias(f"b{i}") for i in range(4)]
-    return _sets(rows, k).select("row", hashes.alias("h")).select("row", F.size("h").alias("n"), *bits)
+    """(row, n, b0 .. b3): the number of distinct shingles of each row, and 256 parities: of the shingles whose hash falls on each."""
+    return prints_and_sketches(rows, k, 0)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (by 64-bit hashes of the shingles) have a Jaccard similarity of at least least."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = materialize(_sets(rows.join(wanted, "row", "left_semi"), k).select("row", F.transform("terms", lambda t: F.xxhash64(t)).alias("s")), "sets")
+    sets = materialize(hash_sets(rows.join(wanted, "row", "left_semi"), k), "sets")
     for c in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")), c)
     both = F.size(F.array_intersect("sa", "sb"))
@@ -112,7 +90,7 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     3. all pairs that their sketches do not rule out within wide_radius and wide_bits whose nodes are not in one component yet.
     """
     names, keys = [f"fp{s}" for s in range(parts)], blocks - radius
-    prints = materialize(wide_prints(rows, shingle_words, parts), "prints")
+    prints = materialize(prints_and_sketches(rows, shingle_words, parts), "prints")
     firsts = prints.groupBy(*names).agg(F.min("row").alias("a"))
     alike = materialize(prints.join(firsts, names).where("a <> row").select("a", F.col("row").alias("b")), "alike")
     same = verified(rows, alike, shingle_words, 1.0)
@@ -126,9 +104,8 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
         joined = sure.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         groups = groups.join(joined, "row", "left_anti")
     roots = components(sure)
-    known = nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, F.coalesce("root", "row").alias("root"))
     sketch = ["n", "b0", "b1", "b2", "b3"]
-    known = materialize(known.join(set_sketches(rows, shingle_words), "row"), "known")
+    known = materialize(nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, *sketch, F.coalesce("root", "row").alias("root")), "known")
     wide = reduce(DataFrame.unionAll, [wide_links(known, "row", names, s, keys, blocks, wide_radius, wide_bits, "root", sketch, least) for s in range(parts)])
     more = verified(rows, materialize(wide.distinct(), "pairs"), shingle_words, least)
     return components(same.unionAll(sure).unionAll(more)).select(F.col("node").alias("row"), "root")
