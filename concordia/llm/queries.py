@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordia.llm import exact_dedup, fingerprint, language, licenses, mixing, packing, personal, simhash_dedup, suffix_dedup, window_dedup
+from concordia.llm import exact_dedup, fingerprint, intervals, language, licenses, mixing, packing, personal, prefix_trie, simhash_dedup, suffix_dedup, toxicity, window_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": window_dedup.op8_substring_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_personal_data": personal.op10_personal_data,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_interval_join": intervals.op12_interval_join,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_interval_join": intervals.SQL}

@@ -42,6 +42,8 @@ def at(table, tmp_path_factory):
     pq.write_table(pa.Table.from_pylist(rows, schema), d / "documents.parquet", row_group_size=50)
     empty = tmp_path_factory.mktemp("empty")
     pq.write_table(schema.empty_table(), empty / "documents.parquet")
+    for name in ("labels", "conversations", "clicks", "sales", "sale_lines"):
+        pq.write_table(pq.read_table(DATA.replace("documents", name)).slice(0, 0), empty / f"{name}.parquet")
     return {"odd": str(d), "empty": str(empty)}
 
 
