@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -48,12 +49,14 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch eu
 FOLDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: A word with a digit or sign between or before letters, or single letters apart by one sign.
-_ODD = re.compile(r"[^\W_]*[@$!|€*\d][@$!|€*\w]*[^\W\d_]+|(?<!\w)(?:[^\W\d_][.\-*_ ]){2,}[^\W\d_](?!\w)")
-_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
-_PUNCT = re.compile(r"[^\w\s]")
-_CAPITAL = re.compile(r"\b[^\W\d_a-zà-öø-ÿ]{2,}\b")
+#: A letter beside a digit or a sign that stands for one; letters apart by one sign; letters apart by spaces.
+_MIXED = re.compile(r"[^\W\d_][@$!|€*\d]|[@$!|€*\d][^\W\d_]")
+_PARTED = re.compile(r"(?:[^\W\d_][.\-*_]){2,}[^\W\d_]")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
+EDGES = ".,;:!?\"'()[]{}<>*-_%&#~`/\\|+=«»„“”‘’…¿¡"
 N_FEATURES = 14
+_ASCII_LETTERS = [*range(65, 91), *range(97, 123)]
+_ASCII_SIGNS = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 
 
 def spread(word: str) -> str:
@@ -61,49 +64,74 @@ def spread(word: str) -> str:
     return re.sub(r"[\W\d_]+", "", word.lower().translate(FOLDS))
 
 
+def token_words(token: str) -> tuple[list[str], str]:
+    """Lower-case words of a token between white space, and what it spells if it is obfuscated (else the empty string)."""
+    core = token.rstrip(EDGES + "$").lstrip(EDGES)
+    if core.isalpha():
+        return [core.lower()], ""
+    return _WORD.findall(core.lower()), spread(core) if _MIXED.search(core) or _PARTED.fullmatch(core) else ""
+
+
 def entries(word: str) -> list[str]:
     """What a lexicon may hold of a word: the word, and its beginnings."""
     return [word, *(f"{word[:k]}*" for k in STEMS if k <= len(word))]
 
 
-class Weights(dict[str, float]):
-    """Weights of words, 0 for words without an entry; remembers what it was asked, up to MEMO words."""
+#: weight, words of the learned lexicon, of the general one, in capitals, of the second person, obfuscated, obfuscated words of a lexicon
+Told = tuple[float, int, int, int, int, int, int]
+
+
+class Tokens(dict[str, Told | None]):
+    """What tokens say, None for plain words; remembers what it was asked, up to MEMO tokens."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> float:
+    def weight(self, word: str) -> float:
+        return max((self.lexicon[e] for e in entries(word) if e in self.lexicon), default=0.0)
+
+    def __missing__(self, token: str) -> Told | None:
+        words, hidden = token_words(token)
+        weights = [self.weight(w) for w in words]
+        loud = len(token) > 1 and token.isupper() and any(len(w) > 1 for w in words)
+        told = (max(weights, default=0.0), sum(map(bool, weights)), sum(w in INSULTS for w in words), int(loud), int(any(w in YOU for w in words)), int(bool(hidden)), int(hidden in INSULTS or bool(hidden and self.weight(hidden))))
         if len(self) >= MEMO:
             self.clear()
-        self[word] = found = max((self.lexicon[e] for e in entries(word) if e in self.lexicon), default=0.0)
+        self[token] = found = told if any(told) else None
         return found
 
 
-def features(text: str | None, weights: Weights) -> list[float]:
+def features(text: str | None, told: Tokens) -> list[float]:
     """Dense features of a whole text."""
     if not text:
         return [0.0] * N_FEATURES
-    words = _WORD.findall(text.lower())
-    counts, n = Counter(words), max(len(words), 1)
-    learned = {w: c for w, c in counts.items() if weights[w]}
-    general = {w: c for w, c in counts.items() if w in INSULTS}
-    odd = _ODD.findall(text)
-    hidden = sum(1 for w in map(spread, odd) if w in INSULTS or weights[w])
+    tokens = text.split()
+    counts, n = Counter(tokens), max(len(tokens), 1)
+    odd = [(t, c, x) for t, c in counts.items() if (x := told[t])]
+    total = [sum(c * x[k] for _, c, x in odd) for k in range(7)]
+    hits = {t for t, _, x in odd if x[1] or x[2]}
+    hidden, spaced = total[6], 0
+    if sum(c for t, c in counts.items() if len(t) == 1) > 2:
+        for m in _SPACED.finditer(text):
+            word = spread(m[0])
+            spaced, hidden = spaced + 1, hidden + (word in INSULTS or told.weight(word) > 0)
     near = 0
-    if (learned or general) and not YOU.isdisjoint(counts):
-        you = [i for i, w in enumerate(words) if w in YOU]
-        hits, k = [i for i, w in enumerate(words) if w in learned or w in general], 0
-        for i in hits:
+    if hits and total[4]:
+        marks = {t for t, _, x in odd if x[4]}
+        you, k = [i for i, t in enumerate(tokens) if t in marks], 0
+        for i in (i for i, t in enumerate(tokens) if t in hits):
             while k + 1 < len(you) and abs(you[k + 1] - i) <= abs(you[k] - i):
                 k += 1
             near += abs(you[k] - i) <= NEAR
-    size = len(text)
-    letters = sum(map(len, words)) or 1
-    found, plain = sum(learned.values()), sum(general.values())
-    capitals = sum(1 for c in text if c.isupper())
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    of = np.bincount(raw, minlength=256)
+    wide = of[0xC3 : 0xF5].sum()  # characters beyond ASCII count as letters
+    capitals = of[65:91].sum() + np.count_nonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E))
+    ends = np.flatnonzero(raw[1:] != raw[:-1])
+    run = np.diff(np.concatenate(([-1], ends, [len(raw) - 1]))).max()
     return [
-        sum(weights[w] * c for w, c in learned.items()) / n, 100 * found / n, math.log1p(found), max((weights[w] for w in learned), default=0.0), 100 * plain / n, math.log1p(plain), math.log1p(near),
-        math.log1p(hidden), 100 * len(odd) / n, capitals / letters, len(_CAPITAL.findall(text)) / n, len(_PUNCT.findall(text)) / size, 100 * (text.count("!") + text.count("?")) / size, math.log1p(max((m.end() - m.start() for m in _RUN.finditer(text)), default=0)) + math.log1p(n) / 100,
+        total[0] / n, 100 * total[1] / n, math.log1p(total[1]), max((x[0] for _, _, x in odd), default=0.0), 100 * total[2] / n, math.log1p(total[2]), math.log1p(near), math.log1p(hidden),
+        100 * (total[5] + spaced) / n, float(capitals / max(of[_ASCII_LETTERS].sum() + wide, 1)), total[3] / n, float(of[_ASCII_SIGNS].sum() / len(raw)), float(100 * (of[33] + of[63]) / len(raw)), math.log1p(float(run)) + math.log1p(n) / 100,
     ]
 
 
@@ -127,8 +155,10 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for b in batches:
         for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            t = text.as_py().lower()
-            words = {*_WORD.findall(t), *map(spread, _ODD.findall(t))} - {""}
+            words: set[str] = set()
+            for token in set(text.as_py().split()):
+                plain, hidden = token_words(token)
+                words.update(plain, [hidden] if hidden else [])
             counts.update((e, toxic) for e in {e for w in words for e in entries(w)})
             if len(counts) > 200_000:
                 yield flush()
@@ -160,25 +190,38 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "t
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(held.value)
+        told = Tokens(held.value)
         for b in batches:
-            got = pa.array([features(x.as_py(), weights) for x in b.column(0)], pa.list_(pa.float64()))
+            got = pa.array([features(x.as_py(), told) for x in b.column(0)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], got], names=[*others, name])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{name}` array<double>"])
     return rows.select(text_col, *others).mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> Model:
-    """Fit on (doc_id, text, toxic); rows with a null text or a label other than 0 and 1 are ignored."""
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("text IS NOT NULL AND toxic IN (0, 1)")
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+def draw(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, toxic) of about `sample` documents of each label, and how many documents have each label.
+
+    What is drawn is known from ids alone: some 2 * sample ids at most are broadcast, and only their texts are shuffled. Of rows
+    that repeat an id, the smallest text is drawn. Rows with a null id or text, or a label other than 0 and 1, are ignored.
+    """
+    marks = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct()
+    known = materialize(ids.join(marks, "doc_id"), "known")
+    sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes.get(1, 1))).otherwise(min(1.0, sample / sizes.get(0, 1)))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), sizes
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> Model:
+    """Fit on docs (doc_id, text) that have labels (doc_id, toxic)."""
+    drawn, sizes = draw(docs, labels, sample)
     if len(sizes) < 2:
         return Model({}, None, None, float(1 in sizes))
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     weight = F.when(F.col("toxic") == 1, max(1.0, sizes[1] / sample)).otherwise(max(1.0, sizes[0] / sample))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = materialize(rows.where(drawn < share * float(1 << 30)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))).withColumn("weight", weight.cast("double")), "labelled")
+    rows = materialize(drawn.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))).withColumn("weight", weight.cast("double")), "labelled")
     least = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     parted = len(least) == 2 and min(least.values()) >= 3 * LEAST_ROWS
     part = lambda k: rows.where(F.col("part") == k) if parted else rows
@@ -211,7 +254,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs.where(~held_out()).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy, and features counted by hand."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from concordia.llm import toxicity
@@ -8,13 +10,13 @@ DATA = "/root/testdata/sf0.1"
 
 
 def test_features_by_hand():
-    weights = toxicity.Weights({"glorp": 2.0, "vequ*": 3.0})
-    f = toxicity.features("You GLORP, vequta!! 1d10t m.o.r.o.n and more", weights)
-    assert f[1] == 100 * 2 / 12 and f[3] == 3.0 and weights["vequta"] == 3.0 and weights["veq"] == 0.0
-    assert f[6] > 0 and f[7] > 0 and f[8] > 0 and f[12] > 0
-    assert toxicity.features(None, weights) == toxicity.features("", weights) == [0.0] * toxicity.N_FEATURES
-    assert [toxicity.spread(w) for w in ("1d10t", "m.o.r.o.n", "$cum")] == ["idiot", "moron", "scum"]
-    assert len(toxicity.features("a " * 200_000 + "\x00!", weights)) == toxicity.N_FEATURES
+    told = toxicity.Tokens({"glorp": 2.0, "vequ*": 3.0})
+    f = toxicity.features("You GLORP, vequta!! 1d10t m.o.r.o.n and s c u m more", told)
+    assert f[1] == 100 * 2 / 11 and f[3] == 3.0 and told.weight("vequta") == 3.0 and told.weight("veq") == 0.0
+    assert f[6] > 0 and f[7] == math.log1p(3) and f[8] == 100 * 3 / 11 and f[10] == 1 / 11 and f[12] > 0
+    assert toxicity.features(None, told) == toxicity.features("", told) == [0.0] * toxicity.N_FEATURES
+    assert [toxicity.token_words(w)[1] for w in ("1d10t!", "m.o.r.o.n", "$cum", "plain,", "don't")] == ["idiot", "moron", "scum", "", ""]
+    assert len(toxicity.features("a " * 200_000 + "\x00!", told)) == len(toxicity.features(" ", told)) == toxicity.N_FEATURES
 
 
 def test_held_out_accuracy(spark):
@@ -30,14 +32,14 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     rows = [(i, "you stupid loser" if i % 2 else "a kind word", i % 2) for i in range(60)] + [(61, None, 1), (62, "x", None), (None, "scum you scum", 1)]
-    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(labelled, trees=3)
+    known = spark.createDataFrame([r[:2] for r in rows] + [(1, "you stupid loser"), (1, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 9, r[2]) for r in rows] + [(0, 1, None), (0, 1, 0), (63, 1, 1), (64, 1, 7)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(known, labels, trees=3)
     docs = spark.createDataFrame([(1, "you loser", 5, 6.0), (1, "you loser", 5, 6.0), (None, None, None, None), (2, "", 1, 1.0), (3, "kind", 1, 1.0)], "doc_id long, text string, prediction int, `features.x` double")
     got = toxicity.score(docs, model)
     assert got.columns == ["doc_id", "prediction", "features.x", "score"]
     scores = sorted(((r.doc_id or 0), r.score) for r in got.collect())
     assert len(scores) == 5 and [s > 0.5 for _, s in scores] == [False, True, True, False, False]
-    for none in (labelled.where("false"), labelled.where("toxic = 1")):
-        share = float(none.count() > 0)
-        assert {r.score for r in toxicity.score(docs, toxicity.fit(none)).collect()} == {share}
+    for some, share in (("false", 0.0), ("toxic = 1", 1.0), ("toxic = 0", 0.0)):
+        assert {r.score for r in toxicity.score(docs, toxicity.fit(known, labels.where(some))).collect()} == {share}
     assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
