@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concordia.functions import text
 
 FAIL_COUNT, FAIL_RATIO = 500, 0.5
-#: Of a list of fields that is broadcast.
-MOST_BYTES = 8 << 20
+#: Of a shard of fields that is broadcast and becomes an automaton (some thirty times as large).
+MOST_BYTES = 2 << 20
 
 
 def present(raw: Column, norm: Column, field: Column) -> Column:
@@ -40,24 +47,76 @@ def missing_fields(scoped: DataFrame, fields: DataFrame) -> DataFrame:
     return met.where(~present(F.col("__raw"), F.col("__norm"), F.col("field"))).select(*fields.columns)
 
 
-def missing_of_table(docs: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """(key, missing): for each of docs (key, norm) the sorted fields of a table (field) that its normalised text does not hold.
+class FieldAutomaton:
+    """Aho-Corasick automaton over the normalised forms of a shard of fields; tells the fields that a text does not hold."""
 
-    The fields go to every task as one sorted list of (field, normalised form), made once; that list is refused beyond
-    MOST_BYTES, and the fields are joined in as plain rows instead, so what is broadcast has a bound. Each text is searched in its row.
-    """
-    bare = fields.select("field", text.normalize_token(F.col("field")).alias("bare")).distinct()
+    def __init__(self, fields: list[tuple[str, str]]) -> None:
+        self.fields = [f for f, _ in fields]
+        self.places: dict[str, list[int]] = {}
+        for i, (_, bare) in enumerate(fields):
+            if bare:
+                self.places.setdefault(bare, []).append(i)
+        self.found_by = None
+        if self.places:
+            self.found_by = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for bare, places in self.places.items():
+                self.found_by.add_word(bare, places)
+            self.found_by.make_automaton()
+
+    def missing(self, norm: str | None) -> list[str]:
+        found: set[int] = set()
+        if norm and self.found_by is not None:
+            for _, places in self.found_by.iter(norm):
+                found.update(places)
+        return [f for i, f in enumerate(self.fields) if i not in found]
+
+
+#: Automata of this worker, by shard: built once for all its tasks.
+_BUILT: dict[str, FieldAutomaton] = {}
+KEPT_AUTOMATA = 4
+
+
+def _automaton(name: str, fields: list[tuple[str, str]]) -> FieldAutomaton:
+    if name not in _BUILT:
+        if len(_BUILT) >= KEPT_AUTOMATA:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = FieldAutomaton(fields)
+    return _BUILT[name]
+
+
+def field_shards(fields: DataFrame, most_bytes: int = MOST_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The distinct fields (field) and their normalised forms, in shards of about most_bytes, one after the other."""
+    bare = fields.where("field IS NOT NULL").select("field", text.normalize_token(F.col("field")).alias("bare")).distinct()
     size = bare.agg(F.coalesce(F.sum(F.octet_length("field") + F.octet_length("bare") + 32), F.lit(0))).first()[0]
-    if size > MOST_BYTES:  # blocks of fields, each a list of its own, dealt over the tasks with the texts
-        parts = -(-size // MOST_BYTES)
-        lists = bare.groupBy(F.pmod(F.xxhash64("field"), F.lit(parts)).alias("__part")).agg(F.collect_list(F.struct("field", "bare")).alias("__fields"))
-        dealt = docs.select(key, "norm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("__part")).join(lists.hint("shuffle_hash"), "__part", "left")
-        absent = F.filter("__fields", lambda f: (f["bare"] == "") | ~F.contains(F.col("norm"), f["bare"]))
-        found = dealt.select(key, F.transform(absent, lambda f: f["field"]).alias("m"))
-        return found.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("missing"))
-    one = bare.agg(F.array_sort(F.collect_list(F.struct("field", "bare"))).alias("__fields"))
-    absent = F.filter("__fields", lambda f: (f["bare"] == "") | ~F.contains(F.col("norm"), f["bare"]))
-    return docs.join(F.broadcast(one)).select(key, F.transform(absent, lambda f: f["field"]).alias("missing"))
+    parts = -(-size // most_bytes)
+    for k in range(parts):
+        yield [(r["field"], r["bare"]) for r in bare.where(F.pmod(F.xxhash64("field"), F.lit(parts)) == k).collect()]
+
+
+def missing_of_table(docs: DataFrame, fields: DataFrame, key: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(key, missing): for each row of docs (key, norm) the sorted fields of a table (field) that its normalised text lacks.
+
+    A shard of fields goes to every task, bounded by most_bytes, and becomes one automaton in each worker. A text passes
+    once through each shard's automaton, however many fields there are; shards follow each other in the same stage, so no text
+    is shuffled. Rows that repeat a key, or have none, stay apart; a null text lacks every field, and a field without a
+    normalised form is in no text. No fields: nothing is missing.
+    """
+    context, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("key"), "norm", F.array().cast("array<string>").alias("missing"))
+    schema = T.StructType([T.StructField("key", kind), T.StructField("norm", T.StringType()), T.StructField("missing", T.ArrayType(T.StringType()))])
+    for shard in field_shards(fields, most_bytes):
+        rows = rows.mapInArrow(_searcher(context.broadcast(shard), uuid.uuid4().hex), schema)
+    return rows.select(F.col("key").alias(key), F.array_sort("missing").alias("missing"))
+
+
+def _searcher(held: Broadcast, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, held.value)
+        for b in batches:
+            lacks = [before + automaton.missing(norm) for norm, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lacks, pa.list_(pa.string()))], names=["key", "norm", "missing"])
+
+    return search
 
 
 def status(pages: Column, missing: Column, fields: Column) -> Column:

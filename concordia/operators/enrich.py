@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from concordia.functions import text
 
 BLANK = ["", "N/A"]
 MAX_DEPTH = 4
+#: Characters of a part of a name in the index of names.
+GRAM = 3
 
 
 def filled(x: Column) -> Column:
@@ -40,16 +44,43 @@ def overlay(fields: DataFrame, metadata: DataFrame, key: str = "tag") -> DataFra
     return joined.withColumns(stronger | weaker).drop(*[c for c in joined.columns if c.startswith("m_")])
 
 
+def grams(value: Column, length: Column) -> Column:
+    """Distinct parts of that many characters; none if the value is shorter."""
+    starts = F.when(F.length(value) >= length, F.sequence(F.lit(1), F.length(value) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, length)))
+
+
+def substring_matches(texts: DataFrame, names: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(text, column, name) for texts (text, column) that hold a name (name, column) of their column, in any case. Both distinct.
+
+    An inverted index of grams finds the pairs: each name stands under its gram that is rarest in the texts of its column (a
+    name shorter than a gram under itself), and a text looks up each of its grams. A name with a gram that no text has is left
+    out; pairs that share the rarest gram are tested for the whole name.
+    """
+    size = F.least(F.length("upper"), F.lit(gram))
+    named = names.where("name <> ''").select("name", "column", F.upper("name").alias("upper"))
+    lengths = named.agg(F.array_sort(F.collect_set(size)).alias("lengths"))  # one row of at most `gram` numbers
+    held = texts.select("text", "column", F.upper("text").alias("in_text")).join(F.broadcast(lengths))
+    held = held.select("text", "column", "in_text", F.explode(F.flatten(F.transform("lengths", lambda n: grams(F.col("in_text"), n)))).alias("gram"))
+    seen = held.groupBy("column", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    parts = named.select("name", "column", "upper", F.explode(grams(F.col("upper"), size)).alias("gram"))
+    rarest = parts.join(seen, ["column", "gram"], "left").groupBy("name", "column", "upper").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rare"))
+    keys = rarest.where("rare.texts > 0").select("name", "column", "upper", F.col("rare.gram").alias("gram"))
+    return held.join(keys, ["column", "gram"]).where(F.contains("in_text", "upper")).select("text", "column", "name")
+
+
 def substring_update(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Each row (row_id, table_text, column) takes the description of the first table, in order, whose name its text holds
     and that describes the column. tables (name, ord, column, description).
 
-    The column is an equal key, so the substring test runs on the rows of one column only.
+    Equal texts of a column are matched once. Rows are told apart even if they repeat an id.
     """
-    t = tables.select(F.col("name").alias("__name"), F.col("ord").alias("__ord"), F.col("column"), F.col("description").alias("__d"))
-    hits = rows.join(t, "column").where((F.col("__name") != "") & F.contains(F.upper("table_text"), F.upper("__name")) & (F.col("__d") != ""))
-    best = hits.groupBy("row_id").agg(F.min_by(F.struct(F.col("__name").alias("matched_table"), F.col("__d").alias("description")), F.col("__ord")).alias("b"))
-    return rows.join(best, "row_id", "left").select(*rows.columns, "b.matched_table", "b.description")
+    told = tables.where("name <> '' AND description <> ''").groupBy("name", "column").agg(F.min(F.struct("ord", "description")).alias("t"))
+    texts = rows.where("table_text IS NOT NULL").select(F.col("table_text").alias("text"), "column").distinct()
+    hits = substring_matches(texts, told.select("name", "column")).join(told, ["name", "column"])
+    best = hits.groupBy("text", "column").agg(F.min(F.struct(F.col("t.ord"), F.col("name").alias("matched_table"), F.col("t.description"))).alias("b"))
+    best = best.select(F.col("text").alias("__text"), F.col("column").alias("__column"), "b.matched_table", "b.description")
+    return rows.join(best, (F.col("table_text") == F.col("__text")) & (F.col("column") == F.col("__column")), "left").select(*rows.columns, "matched_table", "description")
 
 
 def prefix_match(tags: DataFrame, keys: DataFrame) -> DataFrame:
@@ -69,39 +100,58 @@ def describe_recursively(asked: DataFrame, described: DataFrame, edges: DataFram
 
     described (key, description); edges (key, ref_ord, ref). A key that the search of a root has met is not entered
     again, in whatever depth it was met; level is the depth of the description. First each root's reachable keys are found by
-    depth joins of distinct (root, key) pairs (no paths, so hubs do not multiply them), then each root's small graph is
-    searched in an Arrow group, since the order of visits decides.
+    depth joins of distinct (root, key) pairs (no paths, so hubs do not multiply them). The pairs are then sorted by root, and a
+    task searches root after root in one pass over its rows, since the order of visits decides.
     """
     kind = to_arrow_type(asked.schema["key"].dataType)
     d = described.where("description <> ''").select(F.col("key").alias("at"), "description")
     # A key with a description ends its branch, so only the others lead on.
     open_edges = edges.select(F.col("key").alias("at"), "ref_ord", "ref").join(d, "at", "left_anti")
     lists = open_edges.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "ref"))), lambda r: r["ref"]).alias("refs"))
-    frontier = reach = asked.select(F.col("key").alias("root"), F.col("key").alias("at")).distinct()
+    nodes = d.join(lists, "at", "full")
+    frontier = reach = asked.where("key IS NOT NULL").select(F.col("key").alias("root"), F.col("key").alias("at")).distinct()
     for _ in range(depth):
         frontier = frontier.join(lists, "at").select("root", F.explode("refs").alias("at")).distinct()
         reach = reach.unionAll(frontier)
-    graph = reach.distinct().join(d, "at", "left").join(lists, "at", "left")
-    graph = graph.where("description IS NOT NULL OR refs IS NOT NULL")
+    graph = reach.distinct().join(nodes, "at").select("root", "at", "description", "refs")
+    width = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([T.StructField("root", asked.schema["key"].dataType), T.StructField("description", T.StringType()), T.StructField("level", T.IntegerType())])
+    name = lambda k: tuple(k.items()) if isinstance(k, dict) else k
 
-    def search(table: pa.Table) -> pa.Table:
-        name = lambda k: tuple(k.items()) if isinstance(k, dict) else k
-        roots, found = table.column("root").to_pylist(), table.column("description").to_pylist()
-        nodes = {name(k): (t, [name(r) for r in refs or ()]) for k, t, refs in zip(table.column("at").to_pylist(), found, table.column("refs").to_pylist(), strict=True)}
-        seen, stack = set(), [(name(roots[0]), 0)]
+    def search(root: object, known: dict) -> tuple[str, int] | None:
+        seen, stack = set(), [(name(root), 0)]
         while stack:
             key, level = stack.pop()
             if key in seen or level > depth:
                 continue
             seen.add(key)
-            told, refs = nodes.get(key, (None, []))
+            told, refs = known.get(key, (None, ()))
             if told is not None:
-                return pa.table({"root": pa.array([roots[0]], kind), "description": [told], "level": pa.array([level], pa.int32())})
-            stack += [(r, level + 1) for r in reversed(refs)]
-        return pa.table({"root": pa.array([], kind), "description": pa.array([], pa.string()), "level": pa.array([], pa.int32())})
-
-    best = graph.groupBy("root").applyInArrow(search, schema)
+                return told, level
+            stack += [(name(r), level + 1) for r in reversed(refs or ())]
+        return None
+
+    def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, known, out = None, {}, []
+
+        def made() -> pa.RecordBatch:
+            roots, told = [r for r, _ in out], [t for _, t in out]
+            return pa.RecordBatch.from_arrays([pa.array(roots, kind), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.int32())], names=["root", "description", "level"])
+
+        for b in batches:
+            for of, at, told, refs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if of != root:
+                    if known and (hit := search(root, known)):
+                        out.append((root, hit))
+                    root, known = of, {}
+                known[name(at)] = (told, refs)
+            yield made()
+            out = []
+        if known and (hit := search(root, known)):
+            out.append((root, hit))
+        yield made()
+
+    best = graph.repartition(width, "root").sortWithinPartitions("root").mapInArrow(search_all, schema)
     return asked.join(best, asked["key"] == best["root"], "left").select("key", "description", "level")
 
 

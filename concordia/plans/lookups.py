@@ -137,13 +137,13 @@ def q36_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     name = F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))
     tags = parts.select(F.concat(name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("_X")).alias("tag"))
-    keys = parts.where("p_partkey % 7 < 3").select(F.when(F.col("p_partkey") % 7 == 0, F.substring_index(name, "_", 1)).when(F.col("p_partkey") % 7 == 1, name).otherwise(F.concat(name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("_X"))).alias("key"))
+    keys = parts.select(F.when(F.col("p_size") < 15, F.substring_index(name, "_", 1)).when(F.col("p_size") < 30, name).when(F.col("p_size") < 40, F.concat(name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit("_X"))).alias("key")).where("key IS NOT NULL")
     return enrich.prefix_match(tags, keys)
 
 
 SQL["q36_prefix_match"] = """
-WITH p AS (SELECT p_partkey AS k, upper(replace(p_name, ' ', '_')) AS n FROM part),
-keys AS (SELECT DISTINCT CASE k % 7 WHEN 0 THEN split_part(n, '_', 1) WHEN 1 THEN n ELSE n || '_' || k || '_X' END AS key FROM p WHERE k % 7 < 3),
+WITH p AS (SELECT p_partkey AS k, p_size, upper(replace(p_name, ' ', '_')) AS n FROM part),
+keys AS (SELECT DISTINCT CASE WHEN p_size < 15 THEN split_part(n, '_', 1) WHEN p_size < 30 THEN n ELSE n || '_' || k || '_X' END AS key FROM p WHERE p_size < 40),
 tags AS (SELECT n || '_' || k || '_X' AS tag FROM p)
 SELECT tag, arg_max(key, len(key)) AS key FROM tags LEFT JOIN keys ON tag = key OR starts_with(tag, key || '_') GROUP BY tag
 """

@@ -57,7 +57,7 @@ def _marks(name: str, own: list[str]) -> str:
 
 
 _MARKS = (
-    _BLOCKS[: _BLOCKS.index("names AS")]
+    _BLOCKS[: _BLOCKS.index("bare AS")]
     + f"""names AS (SELECT unnest({list(MODELS)}) AS name),
 norms AS (SELECT *, regexp_replace(upper(replace(block, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS n FROM pages),
 marks AS ({" UNION ALL ".join(_marks(*m) for m in MODELS.items())}),
@@ -138,7 +138,7 @@ def q67_page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q67_page_hits"] = (
-    _BLOCKS[: _BLOCKS.index("names AS")]
+    _BLOCKS[: _BLOCKS.index("bare AS")]
     + """n AS (SELECT doc_id, page_no, regexp_replace(upper(replace(block, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS n FROM pages)
 SELECT doc_id, page_no, array_to_string(list_filter(['RING', 'THATH', 'ENTI'], lambda t: contains(n, t)), ',') AS hits FROM n WHERE contains(n, 'RING') OR contains(n, 'THATH') OR contains(n, 'ENTI')"""
 )

@@ -23,10 +23,14 @@ _BLOCKS = """
 WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM documents),
 pages AS (SELECT doc_id, generate_subscripts(b, 1) AS page_no, unnest(b) AS block FROM lines),
 sizes AS (SELECT doc_id, count(*) AS n_pages FROM pages GROUP BY doc_id),
-names AS (SELECT unnest(['the', 'with', 'anvil', 'tion']) AS name),
-marks AS (SELECT doc_id, name, page_no,
-            regexp_matches(block, '(^|[^\\p{L}\\p{M}\\p{N}_])' || name || '($|[^\\p{L}\\p{M}\\p{N}_])', 'i') AS strict,
-            contains(regexp_replace(upper(replace(block, 'ß', 'ss')), '[^A-Z0-9]', '', 'g'), upper(name)) AS loose FROM pages, names),
+bare AS MATERIALIZED (SELECT *, regexp_replace(upper(replace(block, 'ß', 'ss')), '[^A-Z0-9]', '', 'g') AS n FROM pages),
+marks AS ("""
+# one constant pattern for each word: a pattern made from a column would be compiled for each row
+_BLOCKS += "\n  UNION ALL ".join(
+    f"""SELECT doc_id, '{w}' AS name, page_no, regexp_matches(block, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 'i') AS strict, contains(n, '{w.upper()}') AS loose FROM bare"""
+    for w in WORDS
+)
+_BLOCKS += """),
 best AS (SELECT *, bool_or(strict) OVER (PARTITION BY doc_id, name) AS any_strict FROM marks),
 anchors AS (SELECT doc_id, name, page_no FROM best WHERE CASE WHEN any_strict THEN strict ELSE loose END)
 """
