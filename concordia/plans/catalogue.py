@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordia.plans import audits, lookups, models, round_trips, scopes, sql_text, texts
+from concordia.plans import audits, enrichment, lookups, models, round_trips, scopes, sql_text, texts
 
-_PARTS = (texts, scopes, audits, lookups, sql_text, round_trips, models)
+_PARTS = (texts, scopes, audits, lookups, sql_text, round_trips, models, enrichment)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

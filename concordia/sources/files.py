@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from concordia.operators.enrich import last_wins
 
 ARROW = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string())}
+#: What a file that is cut off, or is something else, raises while it is read.
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, EOFError, zlib.error, NotImplementedError)
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -63,18 +66,42 @@ def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 
 
 def _decoded(files: DataFrame, decode, schema: str) -> DataFrame:
-    """files (path, content) through a function of (path, bytes) that yields rows of the schema."""
+    """files (path, content) through a function of (path, bytes) that yields rows of the schema.
+
+    A file that cannot be read gives no rows; broken() names it.
+    """
     arrow = pa.schema([(name, ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if rows := list(decode(path, content.as_py())):
+                try:
+                    rows = list(decode(path, content.as_py()))
+                except BROKEN:
+                    continue
+                if rows:
                     yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(arrow.names)}, arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def broken(files: DataFrame, decode: Callable[[bytes], object]) -> DataFrame:
+    """(path, error) of files (path, content) that decode, such as docx_blocks, xlsx_rows or package_rows, cannot read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[str, list[str]] = {"path": [], "error": []}
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    decode(content.as_py())
+                except BROKEN as error:
+                    found["path"].append(path)
+                    found["error"].append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_pydict(found, pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, error string")
+
+
 def _clean(text: str) -> str:
     return " ".join(text.split())
 
@@ -104,23 +131,36 @@ def read_docx(files: DataFrame) -> DataFrame:
     return _decoded(files, lambda path, c: [(path, i, *b) for i, b in enumerate(docx_blocks(c), 1)], "path string, page_no int, block string, table_text string")
 
 
-def xlsx_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet, gaps filled with ''; rows without cells are skipped."""
+def sheets(content: bytes) -> Iterator[tuple[str, list[tuple[int, dict[int, str]]]]]:
+    """(name, rows) of each sheet of a workbook, rows as (number from 1, cells by column from 0); an unreadable sheet has none."""
+    local = lambda x: x.tag.rpartition("}")[2]
+    inner = lambda x: "".join(t.text or "" for t in x.iter() if local(t) == "t")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        local = lambda x: x.tag.rpartition("}")[2]
-        inner = lambda x: "".join(t.text or "" for t in x.iter() if local(t) == "t")
-        shared = [inner(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        names = z.namelist()
+        shared = [inner(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
+            out: list[tuple[int, dict[int, str]]] = []
+            try:
+                found = [x for x in ElementTree.fromstring(z.read(name)).iter() if local(x) == "row"]
+            except ElementTree.ParseError:
+                found = []
+            for row in found:
+                cells: dict[int, str] = {}
+                for c in row:
+                    at = 0
+                    for ch in (c.get("r") or "").rstrip("0123456789"):
+                        at = at * 26 + ord(ch.upper()) - 64
+                    value, kind = next((v.text or "" for v in c if local(v) == "v"), ""), c.get("t")
+                    known = kind == "s" and value.strip().isdigit() and int(value) < len(shared)
+                    cells[at - 1 if at else len(cells)] = inner(c) if kind == "inlineStr" else shared[int(value)] if known else "" if kind == "s" else value
+                out.append((int(row.get("r")) if (row.get("r") or "").isdigit() else len(out) + 1, cells))
+            yield name, out
+
+
+def xlsx_rows(content: bytes) -> list[list[str]]:
+    """Cells of the first sheet, gaps filled with ''; rows without cells are skipped. A book without that sheet has no rows."""
     out = []
-    for row in (x for x in sheet.iter() if local(x) == "row"):
-        cells: dict[int, str] = {}
-        for c in row:
-            at = 0
-            for ch in (c.get("r") or "").rstrip("0123456789"):
-                at = at * 26 + ord(ch.upper()) - 64
-            value = next((v.text or "" for v in c if local(v) == "v"), "")
-            kind = c.get("t")
-            cells[at - 1 if at else len(cells)] = inner(c) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value
+    for _, cells in next((rows for name, rows in sheets(content) if name == "xl/worksheets/sheet1.xml"), []):
         if cells:
             values = [cells.get(i, "") for i in range(max(cells) + 1)]
             filled = [v for v in values if v]
@@ -156,7 +196,10 @@ def package_rows(content: bytes) -> list[tuple[str, str, str, str | None, int, s
     local = lambda x: x.tag.rpartition("}")[2].lower()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
-        model = ElementTree.fromstring(z.read(next(n for n in names if n.lower().endswith(".xdm"))))
+        at = next((n for n in names if n.lower().endswith(".xdm")), None)
+        if at is None:  # a package without a model has no datasets
+            return []
+        model = ElementTree.fromstring(z.read(at))
         sample_name = next((n for n in names if n.lower().endswith("sample.xml")), None)
         samples: dict[tuple[str, str], str] = {}
         try:

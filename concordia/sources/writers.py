@@ -70,15 +70,15 @@ def package_bytes(name: str, sql: str, fields: Iterable[tuple[str, str, str]]) -
     return _zipped({f"{name}.xdm": model, "sample.xml": ElementTree.tostring(samples)})
 
 
-def xlsx_update(content: bytes, changes: Iterable[tuple[int, int, str]]) -> bytes:
-    """content with cells of its first sheet set to inline text: changes (row from 1, column from 0, text).
+def xlsx_update(content: bytes, changes: Iterable[tuple[int, int, str]], at_sheet: str = SHEET) -> bytes:
+    """content with cells of a sheet, the first if none is named, set to inline text: changes (row from 1, column from 0, text).
 
     A missing row or cell is appended; every other member of the container stays as it was.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         members = {x.filename: z.read(x) for x in z.infolist()}
     ElementTree.register_namespace("", SHEET_NS)
-    sheet = ElementTree.fromstring(members[SHEET])
+    sheet = ElementTree.fromstring(members[at_sheet])
     ns = sheet.tag.partition("}")[0] + "}" if sheet.tag.startswith("{") else ""
     data = sheet.find(f"{ns}sheetData")
     if data is None:
@@ -96,7 +96,7 @@ def xlsx_update(content: bytes, changes: Iterable[tuple[int, int, str]]) -> byte
             cell.remove(child)
         cell.set("t", "inlineStr")
         ElementTree.SubElement(ElementTree.SubElement(cell, f"{ns}is"), f"{ns}t").text = value
-    members[SHEET] = ElementTree.tostring(sheet)
+    members[at_sheet] = ElementTree.tostring(sheet)
     return _zipped(members)
 
 
