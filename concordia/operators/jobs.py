@@ -53,35 +53,56 @@ def _joined(blocks: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(blocks), lambda b: b["block"]), "\n")
 
 
+def _tables(blocks: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(blocks), lambda b: F.coalesce(b["table_text"], F.lit(""))), "\n")
+
+
 def audit_models(pages: DataFrame, models: DataFrame, datasets: DataFrame, reference: DataFrame | None = None, mode: str = "anchor-window") -> DataFrame:
     """(doc_id, name, status, doc_pages, field_count, missing, suppressed, field_presence): one row for each model.
 
-    pages: blocks_with_size(); models (doc_id, name, names); datasets as for model_fields(); reference (field): fields of the flex
-    reference, few enough to be a literal of the plan (a spreadsheet). A field is looked for in the model's pages, or in the whole
-    document if it has none; a flex field that is not there may be anywhere in the document; a flex field that the reference
-    describes is never reported.
+    pages: blocks_with_size(), with table_text if blocks have tables; models (doc_id, name, names); datasets as for model_fields();
+    reference (field): fields of the flex reference, of any number. A field is looked for in the texts and tables of the model's
+    pages, or of the whole document where those are empty; a flex field that is not there may be anywhere in the document; a flex
+    field that the reference describes is never reported. The whole document goes only to models that need it, normalised once.
     """
     fields = model_fields(datasets)
     picked = chosen_pages(pages, models, fields, mode)
-    block = F.struct("page_no", "block")
+    pages = pages if "table_text" in pages.columns else pages.withColumn("table_text", F.lit(None).cast("string"))
+    block = F.struct("page_no", "block", "table_text")
+    texts = [_joined(F.col("b")).alias("text"), _tables(F.col("b")).alias("tables")]
     spread = picked.select("doc_id", "name", F.explode("pages").alias("page_no"))
-    scoped = spread.join(pages.select("doc_id", "page_no", "block"), ["doc_id", "page_no"]).groupBy("doc_id", "name").agg(_joined(F.collect_list(block)).alias("scoped"), F.array_sort(F.collect_set("page_no")).alias("doc_pages"))
-    whole = pages.groupBy("doc_id").agg(_joined(F.collect_list(block)).alias("whole"))
-    rows = models.select("doc_id", "name").join(fields, ["doc_id", "name"], "left").join(whole, "doc_id", "left").join(scoped, ["doc_id", "name"], "left")
+    scoped = spread.join(pages.select("doc_id", "page_no", "block", "table_text"), ["doc_id", "page_no"]).groupBy("doc_id", "name").agg(F.collect_list(block).alias("b"), F.array_sort(F.collect_set("page_no")).alias("doc_pages"))
+    scoped = scoped.select("doc_id", "name", "doc_pages", *texts)
+    whole = pages.groupBy("doc_id").agg(F.collect_list(block).alias("b")).select("doc_id", *texts)
+    norm = lambda c: text.normalize_token(F.col(c))
+    whole = whole.select(F.col("doc_id").alias("__needs"), F.struct(F.col("text").alias("raw"), norm("text").alias("norm"), F.col("tables").alias("table_raw"), norm("tables").alias("table_norm")).alias("whole"))
     none = F.array().cast("array<string>")
-    known = F.array(*[F.lit(r[0].upper()) for r in reference.select("field").distinct().collect()]).cast("array<string>") if reference is not None else none
+    rows = models.select("doc_id", "name").join(fields, ["doc_id", "name"], "left").join(scoped, ["doc_id", "name"], "left")
+    alone = (F.coalesce("text", F.lit("")) == "") | (F.coalesce("tables", F.lit("")) == "") | (F.size(F.coalesce("flex_fields", none)) > 0)
+    rows = rows.withColumn("__needs", F.when(alone, F.col("doc_id"))).join(whole, "__needs", "left")
+    if reference is None:
+        rows = rows.withColumn("described", none)
+    else:  # the flex fields of each model that the reference holds
+        flexed = fields.select("doc_id", "name", F.explode("flex_fields").alias("__f")).join(reference.select(F.upper("field").alias("__f")).distinct(), "__f", "left_semi")
+        rows = rows.join(flexed.groupBy("doc_id", "name").agg(F.collect_set("__f").alias("described")), ["doc_id", "name"], "left")
+    known = F.coalesce("described", none)
+    side = lambda own, raw, bare: F.when(F.coalesce(own, F.lit("")) != "", F.struct(F.col(own).alias("raw"), norm(own).alias("norm"))).otherwise(F.struct(F.coalesce(F.col(f"whole.{raw}"), F.lit("")).alias("raw"), F.coalesce(F.col(f"whole.{bare}"), F.lit("")).alias("norm")))
     rows = rows.select(
         "doc_id",
         "name",
         F.coalesce("doc_pages", F.array().cast("array<bigint>")).alias("doc_pages"),
         F.coalesce("fields", none).alias("fields"),
         F.coalesce("flex_fields", none).alias("flex_fields"),
-        F.coalesce(F.nullif("scoped", F.lit("")), "whole", F.lit("")).alias("scoped"),
-        F.coalesce("whole", F.lit("")).alias("whole"),
+        known.alias("described"),
+        side("text", "raw", "norm").alias("scoped"),
+        side("tables", "table_raw", "table_norm").alias("scoped_tables"),
+        F.coalesce("whole.raw", F.lit("")).alias("whole_raw"),
+        F.coalesce("whole.norm", F.lit("")).alias("whole_norm"),
     )
-    seen = F.struct("scoped", text.normalize_token(F.col("scoped")).alias("scoped_norm"), "whole", text.normalize_token(F.col("whole")).alias("whole_norm"))
+    seen = F.struct("scoped", "scoped_tables", "whole_raw", "whole_norm")
     own = lambda f: F.array_contains("flex_fields", F.upper(f))
-    absent = text.let(seen, lambda t: F.filter("fields", lambda f: ~audit.present(t["scoped"], t["scoped_norm"], f) & ~(own(f) & audit.present(t["whole"], t["whole_norm"], f))))
+    inside = lambda t, f: audit.present(t["scoped"]["raw"], t["scoped"]["norm"], f) | audit.present(t["scoped_tables"]["raw"], t["scoped_tables"]["norm"], f)
+    absent = text.let(seen, lambda t: F.filter("fields", lambda f: ~inside(t, f) & ~(own(f) & audit.present(t["whole_raw"], t["whole_norm"], f))))
 
     def judged(gone: Column) -> Column:
         def report(missing: Column) -> Column:
@@ -89,7 +110,7 @@ def audit_models(pages: DataFrame, models: DataFrame, datasets: DataFrame, refer
             shown = F.transform("fields", lambda f: F.struct(f.alias("field"), F.when(F.array_contains(missing, f), "missing").otherwise("present").alias("presence")))
             return F.struct(audit.status(F.size("doc_pages"), m, n).alias("status"), n.alias("field_count"), missing.alias("missing"), F.array_except(gone, missing).alias("suppressed"), shown.alias("field_presence"))
 
-        return text.let(audit.suppress_in_row(gone, F.col("flex_fields"), known), report)
+        return text.let(audit.suppress_in_row(gone, F.col("flex_fields"), F.col("described")), report)
 
     rows = rows.select("doc_id", "name", "doc_pages", text.let(absent, judged).alias("r"))
     return rows.select("doc_id", "name", "r.status", "doc_pages", "r.field_count", "r.missing", "r.suppressed", "r.field_presence")
