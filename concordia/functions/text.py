@@ -142,13 +142,16 @@ def score(official: Column, version_: Column, modified: Column) -> Column:
     return F.when(official, OFFICIAL).otherwise(0) + F.when(version_ == 0, BASELINE).otherwise(0) + F.unix_micros(modified) / F.lit(1e9) - version_
 
 
+#: What a name may be known without: Dm before a mark or the end, or anywhere; and the word Extract.
+DM_RULES, EXTRACT = ("", r"(?i)Dm(?=(_|$))", "(?i)Dm"), r"(?i)(^|[_-])Extract(?=[_-]|$)"
+
+
 def name_variants(key: Column) -> Column:
-    """Names to look for in a document, in order, each once."""
-    base = clean_base(key)
-    end, any_, word = r"(?i)Dm(?=(_|$))", "(?i)Dm", r"(?i)(^|[_-])Extract(?=[_-]|$)"
-    bare = F.regexp_replace(base, word, "_")
-    forms = [base, F.regexp_replace(base, end, ""), F.regexp_replace(base, any_, ""), bare, F.regexp_replace(bare, end, ""), F.regexp_replace(bare, any_, "")]
-    return F.filter(F.array_distinct(F.array(*[_trim_marks(F.regexp_replace(f, "__+", "_")) for f in forms])), lambda x: x != "")
+    """Names to look for in a document, in order, each once: the base and the base without Extract, under each Dm rule."""
+    bases = [clean_base(key)]
+    bases.append(F.regexp_replace(bases[0], EXTRACT, "_"))
+    found = [_trim_marks(F.regexp_replace(F.regexp_replace(base, rule, "") if rule else base, "__+", "_")) for base in bases for rule in DM_RULES]
+    return F.filter(F.array_distinct(F.array(*found)), lambda x: x != "")
 
 
 def table_name(x: Column) -> Column:

@@ -39,11 +39,12 @@ def find_pages(pages: DataFrame, names: list[str] | dict[str, list[str]], by: tu
     def entry(group: str, own: list[str]):
         own = [n for n in own if n]
         word = "|".join(rf"\Q{n}\E" for n in own)
-        strict = F.col("block").rlike(rf"(?i)\b(?:{word})\b") if own else F.lit(False)
-        loose = F.lit(False)
+        loose = odd = F.lit(False)
         for n in own:
             bare = text.normalize_token(F.lit(n))
-            loose = loose | ((bare != "") & F.contains(F.col("__norm"), bare))
+            loose, odd = loose | ((bare != "") & F.contains(F.col("__norm"), bare)), odd | (bare == "")
+        # a whole word is also there in normalised form, so only blocks with that are searched by pattern
+        strict = F.when(loose | odd, F.col("block").rlike(rf"(?i)\b(?:{word})\b")).otherwise(False) if own else F.lit(False)
         return F.struct(F.lit(group).alias("name"), strict.alias("strict"), loose.alias("loose"))
 
     hits = pages.withColumn("__norm", text.normalize_token(F.col("block"))).select(*by, "page_no", *keep, F.explode(F.array(*[entry(*g) for g in groups.items()])).alias("h"))
@@ -59,9 +60,12 @@ def find_group_pages(pages: DataFrame, groups: DataFrame) -> DataFrame:
     """
     word = F.array_join(F.transform(F.filter("names", lambda n: n != ""), lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
     bare = F.filter(F.transform("names", text.normalize_token), lambda n: n != "")
-    asked = groups.select("doc_id", "name", F.concat(F.lit("(?i)\\b(?:"), word, F.lit(")\\b")).alias("__word"), (word != "").alias("__any"), bare.alias("__bare"))
+    odd = F.exists("names", lambda n: (n != "") & (text.normalize_token(n) == ""))
+    asked = groups.select("doc_id", "name", F.concat(F.lit("(?i)\\b(?:"), word, F.lit(")\\b")).alias("__word"), (word != "").alias("__any"), bare.alias("__bare"), odd.alias("__odd"))
     met = pages.withColumn("__norm", text.normalize_token(F.col("block"))).join(asked, "doc_id")
-    marked = met.select("doc_id", "name", "page_no", (F.col("__any") & F.regexp_like("block", F.col("__word"))).alias("strict"), F.exists("__bare", lambda n: F.contains(F.col("__norm"), n)).alias("loose"))
+    # A whole word is also there in normalised form: only such blocks, or those of names without one, are searched by pattern.
+    met = met.withColumn("loose", F.exists("__bare", lambda n: F.contains(F.col("__norm"), n))).where(F.col("loose") | F.col("__odd"))
+    marked = met.select("doc_id", "name", "page_no", (F.col("__any") & F.regexp_like("block", F.col("__word"))).alias("strict"), "loose")
     best = F.max("strict").over(Window.partitionBy("doc_id", "name"))
     hits = marked.where("strict OR loose").withColumn("__best", best)
     return hits.where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select("doc_id", "name", "page_no")

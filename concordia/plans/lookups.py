@@ -73,24 +73,24 @@ SQL["q31_html_table_desc"] = "SELECT p_partkey, p_name AS description, 'VARCHAR2
 
 
 def q33_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    fields = table(spark, sf_dir, "nation").select(
-        F.col("n_regionkey").alias("tag"),
-        "n_nationkey",
-        F.when(key % 2 == 0, F.col("n_name")).otherwise("").alias("description"),
+    key = F.col("c_custkey")
+    fields = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("tag"),
+        "c_custkey",
+        F.when(key % 2 == 0, F.col("c_name")).otherwise("").alias("description"),
         F.lit("VARCHAR2").alias("data_type"),
-        F.when(key % 3 == 0, F.lit("N/A")).otherwise(F.col("n_name")).alias("source_table"),
+        F.when(key % 3 == 0, F.lit("N/A")).otherwise(F.col("c_name")).alias("source_table"),
         F.when(key % 5 == 0, F.lit("")).otherwise(F.lit("COL")).alias("source_column"),
     )
-    r = F.col("r_regionkey")
-    meta = table(spark, sf_dir, "region").select(r.alias("tag"), F.when(r % 2 == 0, F.col("r_name")).otherwise("").alias("description"), F.lit("").alias("data_type"), F.col("r_name").alias("source_table"), F.when(r > 2, F.lit("RC")).alias("source_column"))
-    return enrich.overlay(fields, meta).select("n_nationkey", "description", "data_type", "source_table", "source_column")
+    r = F.col("n_nationkey")
+    meta = table(spark, sf_dir, "nation").select(r.alias("tag"), F.when(r % 2 == 0, F.col("n_name")).otherwise("").alias("description"), F.lit("").alias("data_type"), F.col("n_name").alias("source_table"), F.when(r > 2, F.lit("RC")).alias("source_column"))
+    return enrich.overlay(fields, meta).select("c_custkey", "description", "data_type", "source_table", "source_column")
 
 
 SQL["q33_table_lookup"] = """
-SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 0 THEN r_name WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS description, 'VARCHAR2' AS data_type,
-  CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE n_name END AS source_table, CASE WHEN n_nationkey % 5 <> 0 THEN 'COL' WHEN n_regionkey > 2 THEN 'RC' ELSE '' END AS source_column
-FROM nation JOIN region ON n_regionkey = r_regionkey
+SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN n_name WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS description, 'VARCHAR2' AS data_type,
+  CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE c_name END AS source_table, CASE WHEN c_custkey % 5 <> 0 THEN 'COL' WHEN c_nationkey > 2 THEN 'RC' ELSE '' END AS source_column
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 
 

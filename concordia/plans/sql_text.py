@@ -10,56 +10,62 @@ from concordia.operators import lineage, pages
 from concordia.plans.inputs import table
 
 SQL: dict[str, str] = {}
+#: Each part is a query of its own: key, size and a table named after it.
+_PARTS = "(SELECT p_partkey AS part_no, p_size AS part_size, upper(replace(p_name, ' ', '_')) AS part_table FROM part)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_no"), F.col("p_size").alias("part_size"), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("part_table"))
 
 
 def _fill(template: str) -> Column:
-    """{t}: the nation's table, {r}: its region's number, {k}: its key."""
+    """{t}: the part's table, {r}: its size, {k}: its key."""
     out = F.lit(template)
-    for mark, value in (("{t}", F.col("n_name")), ("{r}", F.col("n_regionkey").cast("string")), ("{k}", F.col("n_nationkey").cast("string"))):
+    for mark, value in (("{t}", F.col("part_table")), ("{r}", F.col("part_size").cast("string")), ("{k}", F.col("part_no").cast("string"))):
         out = F.replace(out, F.lit(mark), value)
     return out
 
 
 def _queries(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", _fill(template).alias("sql"))
+    return _parts(spark, sf_dir).select("part_no", _fill(template).alias("sql"))
 
 
 def _map(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    rows = lineage.lineage(_queries(spark, sf_dir, template), "n_nationkey")
-    return rows.select("n_nationkey", "out_alias", "source_table", "source_column", "source_mode", "source_confidence")
+    rows = lineage.lineage(_queries(spark, sf_dir, template), "part_no")
+    return rows.select("part_no", "out_alias", "source_table", "source_column", "source_mode", "source_confidence")
 
 
 def _expected(*rows: tuple[str, str, str, str, str]) -> str:
-    """SELECT of rows (alias, table, column, mode, confidence), each an SQL expression over nation."""
-    return " UNION ALL ".join(f"SELECT n_nationkey, {a} AS out_alias, {t} AS source_table, {c} AS source_column, '{m}' AS source_mode, '{x}' AS source_confidence FROM nation" for a, t, c, m, x in rows)
+    """SELECT of rows (alias, table, column, mode, confidence), each an SQL expression over _PARTS."""
+    return " UNION ALL ".join(f"SELECT part_no, {a} AS out_alias, {t} AS source_table, {c} AS source_column, '{m}' AS source_mode, '{x}' AS source_confidence FROM " + _PARTS for a, t, c, m, x in rows)
 
 
 _FROM = "SELECT a.c1, b.c2 /* FROM no_table z */ FROM {t} a, s{r}.area_{r} AS b -- , gone g\n LEFT JOIN extra_{k} e ON e.id = a.id WHERE a.x IN (SELECT 1 FROM inner_t q)"
 
 
 def q20_sql_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.sources(_queries(spark, sf_dir, _FROM), "n_nationkey").select("n_nationkey", F.array_join("tables", ",").alias("tables"))
+    return lineage.sources(_queries(spark, sf_dir, _FROM), "part_no").select("part_no", F.array_join("tables", ",").alias("tables"))
 
 
-SQL["q20_sql_tables"] = "SELECT n_nationkey, n_name || ',AREA_' || n_regionkey || ',EXTRA_' || n_nationkey AS tables FROM nation"
+SQL["q20_sql_tables"] = "SELECT part_no, part_table || ',AREA_' || part_size || ',EXTRA_' || part_no AS tables FROM " + _PARTS
 
 
 def q21_sql_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lineage.sources(_queries(spark, sf_dir, _FROM), "n_nationkey")
-    return found.select("n_nationkey", F.explode("aliases").alias("alias", "table_name"))
+    found = lineage.sources(_queries(spark, sf_dir, _FROM), "part_no")
+    return found.select("part_no", F.explode("aliases").alias("alias", "table_name"))
 
 
-SQL["q21_sql_aliases"] = "SELECT n_nationkey, unnest(['A', 'B', 'E']) AS alias, unnest([n_name, 'AREA_' || n_regionkey, 'EXTRA_' || n_nationkey]) AS table_name FROM nation"
+SQL["q21_sql_aliases"] = "SELECT part_no, unnest(['A', 'B', 'E']) AS alias, unnest([part_table, 'AREA_' || part_size, 'EXTRA_' || part_no]) AS table_name FROM " + _PARTS
 
 
 def q22_lineage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _map(spark, sf_dir, "select x.col_{k}, x.org_id org_id_link, X.Name as \"label\", lone from {t} x where 1 = 1")
+    return _map(spark, sf_dir, "select x.col_{k}, x.depot_no depot_no_link, X.Name as \"label\", lone from {t} x where 1 = 1")
 
 
 SQL["q22_lineage_direct"] = _expected(
-    ("'COL_' || n_nationkey", "n_name", "'COL_' || n_nationkey", "DIRECT", "HIGH"),
-    ("'ORG_ID_LINK'", "n_name", "'ORG_ID'", "ALIAS", "HIGH"),
-    ("'LABEL'", "n_name", "'NAME'", "ALIAS", "HIGH"),
+    ("'COL_' || part_no", "part_table", "'COL_' || part_no", "DIRECT", "HIGH"),
+    ("'DEPOT_NO_LINK'", "part_table", "'DEPOT_NO'", "ALIAS", "HIGH"),
+    ("'LABEL'", "part_table", "'NAME'", "ALIAS", "HIGH"),
     ("'LONE'", "'N/A'", "'LONE'", "DIRECT", "MEDIUM"),
 )
 
@@ -73,10 +79,10 @@ def q23_lineage_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q23_lineage_expr"] = _expected(
-    ("'V'", "n_name", "'C_' || n_nationkey", "EXPRESSION", "MEDIUM"),
-    ("'U'", "n_name", "'N'", "EXPRESSION", "MEDIUM"),
-    ("'D'", "'AREA_' || n_regionkey", "'LOC'", "EXPRESSION", "MEDIUM"),
-    ("'E'", "'AREA_' || n_regionkey", "'R'", "EXPRESSION", "MEDIUM"),
+    ("'V'", "part_table", "'C_' || part_no", "EXPRESSION", "MEDIUM"),
+    ("'U'", "part_table", "'N'", "EXPRESSION", "MEDIUM"),
+    ("'D'", "'AREA_' || part_size", "'LOC'", "EXPRESSION", "MEDIUM"),
+    ("'E'", "'AREA_' || part_size", "'R'", "EXPRESSION", "MEDIUM"),
     ("'TWO'", "'N/A'", "'UNKNOWN_SOURCE_COLUMN'", "UNKNOWN", "LOW"),
 )
 
@@ -86,9 +92,9 @@ def q24_lineage_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q24_lineage_cte"] = _expected(
-    ("'SPOT'", "n_name", "'LOC_' || n_nationkey", "ALIAS", "HIGH"),
-    ("'IDENT'", "n_name", "'ID'", "ALIAS", "HIGH"),
-    ("'OTHER'", "'AREA_' || n_regionkey", "'OTHER'", "DIRECT", "HIGH"),
+    ("'SPOT'", "part_table", "'LOC_' || part_no", "ALIAS", "HIGH"),
+    ("'IDENT'", "part_table", "'ID'", "ALIAS", "HIGH"),
+    ("'OTHER'", "'AREA_' || part_size", "'OTHER'", "DIRECT", "HIGH"),
 )
 
 
@@ -97,9 +103,9 @@ def q25_lineage_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q25_lineage_subquery"] = _expected(
-    ("'ORG'", "n_name", "'ORG_' || n_nationkey", "ALIAS", "HIGH"),
+    ("'ORG'", "part_table", "'ORG_' || part_no", "ALIAS", "HIGH"),
     ("'GONE'", "'UNKNOWN_SUBQUERY'", "'GONE'", "DIRECT", "HIGH"),
-    ("'DEEP'", "'AREA_' || n_regionkey", "'V'", "ALIAS", "HIGH"),
+    ("'DEEP'", "'AREA_' || part_size", "'V'", "ALIAS", "HIGH"),
 )
 
 
@@ -109,26 +115,26 @@ def q26_lineage_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["q26_lineage_multi"] = _expected(
     ("'PICK'", "'MULTI_SOURCE'", "'MULTI_SOURCE'", "MULTI_SOURCE", "LOW"),
-    ("'TOTAL_' || n_nationkey", "'MULTI_SOURCE'", "'MULTI_SOURCE'", "MULTI_SOURCE", "LOW"),
+    ("'TOTAL_' || part_no", "'MULTI_SOURCE'", "'MULTI_SOURCE'", "MULTI_SOURCE", "LOW"),
 )
 
 
 def q27_post_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _queries(spark, sf_dir, "SELECT a.x, s.gone, a.p + b.q AS mix, (s.w) wrapped, q.z FROM {t} a, area_{r} b, (SELECT k.w2 FROM k_{k} k) s")
-    rows = lineage.lineage(queries, "n_nationkey").join(lineage.sources(queries, "n_nationkey"), "n_nationkey")
+    rows = lineage.lineage(queries, "part_no").join(lineage.sources(queries, "part_no"), "part_no")
     # An alias that the parser left in place, as other readers of the text do.
     rows = rows.withColumn("source_table", F.when(F.col("out_alias") == "X", "A").otherwise(F.col("source_table")))
-    return lineage.post_resolve(rows).select("n_nationkey", "out_alias", "source_table", "source_column", "source_mode", "source_confidence", "reason")
+    return lineage.post_resolve(rows).select("part_no", "out_alias", "source_table", "source_column", "source_mode", "source_confidence", "reason")
 
 
 def _reasoned(*rows: tuple[str, str, str, str, str, str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT n_nationkey, '{a}' AS out_alias, {t} AS source_table, '{c}' AS source_column, '{m}' AS source_mode, '{x}' AS source_confidence, '{r}' AS reason FROM nation" for a, t, c, m, x, r in rows
+        f"SELECT part_no, '{a}' AS out_alias, {t} AS source_table, '{c}' AS source_column, '{m}' AS source_mode, '{x}' AS source_confidence, '{r}' AS reason FROM " + _PARTS for a, t, c, m, x, r in rows
     )
 
 
 SQL["q27_post_resolution"] = _reasoned(
-    ("X", "n_name", "X", "DIRECT", "HIGH", "alias_to_table"),
+    ("X", "part_table", "X", "DIRECT", "HIGH", "alias_to_table"),
     ("GONE", "'N/A'", "GONE", "UNRESOLVED", "LOW", "unresolved_or_derived_alias"),
     ("MIX", "'MULTI_SOURCE'", "MULTI_SOURCE", "MULTI_SOURCE", "LOW", "multi_source_expression"),
     ("WRAPPED", "'N/A'", "W", "UNRESOLVED", "LOW", "unresolved_or_derived_alias"),
@@ -142,7 +148,7 @@ def q48_stage2_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["q48_stage2_lineage"] = _expected(
-    ("'OUT_' || n_nationkey", "n_name", "'C$1'", "ALIAS", "HIGH"),
+    ("'OUT_' || part_no", "part_table", "'C$1'", "ALIAS", "HIGH"),
     ("'D'", "'TAB#2'", "'D'", "DIRECT", "HIGH"),
 )
 
@@ -150,10 +156,10 @@ SQL["q48_stage2_lineage"] = _expected(
 def q49_pick_sql_from_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest <pre> that holds SELECT and FROM."""
     page = "<pre>no query here, however long it may be, only words and words</pre><p>x</p><pre class='q'>select 1 from {t}</pre><pre>\nSELECT a.c_{k}\nFROM {t} a, area_{r} b</pre>"
-    return table(spark, sf_dir, "nation").select("n_nationkey", _fill(page).alias("html")).select("n_nationkey", pages.query_text(F.col("html")).alias("sql"))
+    return _parts(spark, sf_dir).select("part_no", _fill(page).alias("html")).select("part_no", pages.query_text(F.col("html")).alias("sql"))
 
 
-SQL["q49_pick_sql_from_html"] = "SELECT n_nationkey, 'SELECT a.c_' || n_nationkey || ' FROM ' || n_name || ' a, area_' || n_regionkey || ' b' AS sql FROM nation"
+SQL["q49_pick_sql_from_html"] = "SELECT part_no, 'SELECT a.c_' || part_no || ' FROM ' || part_table || ' a, area_' || part_size || ' b' AS sql FROM " + _PARTS
 
 
 def q50_headerless_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
