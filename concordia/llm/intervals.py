@@ -9,7 +9,7 @@ shard gets the key's right groups once. In a shard the slots are visited in orde
 leave them. An active set is a hash table by start slot: of sessions (their totals and what of them has ended) and of sales
 (totals when the start was passed, and what older sessions have ended since). When a sale ends, its nine relations are
 differences of such totals, so a sale costs a fixed number of steps and a session as many as the slots it spans, or as sale
-starts are active, whichever is less.
+starts are active, whichever is less. Rows of a key with several shards are spread over SALTS parts before they learn of them.
 
 Memory of a task: SHARD left rows and a key's right groups, at most slots x slots of them. Sessions of one client follow each
 other, so there are at most three groups for each slot of the calendar, however many clicks there are.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from concordia.llm.common import materialize, partitions
 
-GAP_US, SLOT_US, SHARD, OUT_ROWS = 600_000_000, 3_600_000_000, 50_000, 100_000
+GAP_US, SLOT_US, SHARD, SALTS, OUT_ROWS = 600_000_000, 3_600_000_000, 50_000, 32, 100_000
 #: The slot of infinite ends, after all others.
 OPEN = 1 << 62
 #: By where the right side starts (earlier, at the left side's start, later) and ends (earlier, at its end, later).
@@ -188,8 +188,13 @@ def relation_totals(left: DataFrame, right: DataFrame, shard: int = SHARD) -> Da
     rows = materialize(left.where("key IS NOT NULL AND start IS NOT NULL").select("key", "start", stop, F.col("id").cast("long").alias("value")), "left")
     groups = right.where("key IS NOT NULL AND start IS NOT NULL").select("key", "start", stop, "crc").groupBy("key", "start", "end").agg(F.count(F.lit(1)).alias("value"), F.sum("crc").alias("crc"))
     shards = rows.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shards"))
-    dealt = rows.withColumn("row", F.monotonically_increasing_id()).join(shards, F.col("key") == F.col("of")).select("key", F.pmod(F.xxhash64("row"), "shards").alias("shard"), F.lit(True).alias("is_left"), "start", "end", "value", F.lit(0).cast("long").alias("crc"))
-    copied = groups.join(shards, F.col("key") == F.col("of")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(False).alias("is_left"), "start", "end", "value", "crc")
+    # rows learn how many shards their key has; only keys with several are told, to each of SALTS parts of their rows
+    salts = shards.where("shards > 1").select("of", "shards", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_of"))
+    salted = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    part = F.pmod(F.xxhash64("row"), F.coalesce("shards", F.lit(1).cast("long")))
+    # their number grows with the input, so they are never broadcast
+    dealt = salted.join(salts.hint("merge"), (F.col("key") == F.col("of")) & (F.col("salt") == F.col("salt_of")), "left").select("key", part.alias("shard"), F.lit(True).alias("is_left"), "start", "end", "value", F.lit(0).cast("long").alias("crc"))
+    copied = groups.join(shards.hint("merge"), F.col("key") == F.col("of")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(False).alias("is_left"), "start", "end", "value", "crc")
     both = dealt.unionByName(copied).repartition(partitions(spark), "key", "shard").sortWithinPartitions("key", "shard")
     return both.mapInArrow(_sweep_shards, RESULT)
 
