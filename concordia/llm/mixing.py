@@ -6,7 +6,8 @@ the id gives; a large mean is the sum of equal small ones, whose tables of the d
 Copies are dealt by a hash of (seed, id, copy) and sorted by it within partitions, which is the global shuffle.
 
 Defined results: a source without a target keeps rate 1; a null source is a source of its own (rate 1 with given
-targets); rows that repeat an id get the same number of copies; null ids share one hash; null and empty texts
+targets); rows that repeat an id get the same number of copies; a row without an id is drawn and dealt by a hash of its other columns
+(maps and variants, which have none, left out), so equal rows without an id get the same number; null and empty texts
 are replicated like any other; an empty table gives an empty result; other columns are kept.
 """
 
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str = "doc_
     table = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), steps.alias("__steps"), poisson_table(F.col("rate") / steps).alias("__cdf"))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(table) if few else table, docs[source_col].eqNullSafe(F.col("__source")))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    hashed = [F.col(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashed).cast("string")))
 
     def draw(acc: Column, i: Column) -> Column:
         u = unit_hash(F.lit(str(seed)), ident, i.cast("string"))
