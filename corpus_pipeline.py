@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from concordia.llm import exact_dedup, language, mixing, packing, simhash_dedup
 from concordia.llm.common import documents, materialize
 
-#: A document goes if no language holds this share of the evidence.
+#: A document goes below this score: no language has this share of the likelihoods, or of the letters in words it knows.
 LEAST_SCORE = 0.5
 #: Near-duplicate stage: words of a shingle, prints of 64 bits, blocks of the index less blocks of a key, blocks of the
 #: index. Two texts whose shingle sets have a Jaccard similarity j differ in a share of about acos(2j / (1 + j)) / pi of
@@ -45,9 +45,12 @@ def language_stage(docs: DataFrame) -> DataFrame:
     """Keeps documents whose language can be told: not 'und', and a score of LEAST_SCORE at least.
 
     Null, empty and letterless texts go; texts are read whole; repeated rows and ids are judged one by one; a tie of languages
-    goes to the first in order; without labels, or from an empty table, nothing is kept.
+    goes to the first in order; where no row has a language, every text with a letter stays; an empty table gives an empty one.
     """
-    told = language.identify(docs, language.fit(docs), pred="__pred", score="__score")
+    model = language.fit(docs)
+    if not model.langs:  # nothing to tell languages by is no reason to lose the corpus
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    told = language.identify(docs, model, pred="__pred", score="__score")
     return told.where((F.col("__pred") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
