@@ -39,14 +39,25 @@ def chosen_pages(pages: DataFrame, models: DataFrame, fields: DataFrame, mode: s
     """(doc_id, name, pages) for models whose document names them; pages: blocks_with_size()."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    anchors = scope.find_group_pages(pages, models)
-    if mode == "name-match":
-        return anchors.groupBy("doc_id", "name").agg(F.array_sort(F.collect_set("page_no")).alias("pages"))
-    sizes = pages.where("page_no = 1").select("doc_id", "n_pages", F.col("doc_id").alias("__d"))
-    groups = models.groupBy("doc_id").agg(F.countDistinct("name").alias("n_groups"))
-    known = anchors.join(sizes.select("doc_id", "n_pages").join(groups, "doc_id"), "doc_id")
-    windows = scope.anchor_windows(known, None, F.col("n_groups"))
-    return scope.select_pages(windows.join(fields.select("doc_id", "name", "tokens"), ["doc_id", "name"], "left"), pages)
+    # Models meet the document once, as an array beside its pages; all else happens inside that row.
+    tokens = fields.select("doc_id", "name", "tokens")
+    terms = models.join(tokens, ["doc_id", "name"], "left").select("doc_id", F.struct("name", scope.search_terms(F.col("names")).alias("terms"), "tokens").alias("g"))
+    held = scope.page_arrays(pages).join(terms.groupBy("doc_id").agg(F.collect_list("g").alias("groups")), "doc_id")
+
+    def found(row: Column) -> Column:
+        anchors = F.transform(row["groups"], lambda g: F.struct(g["name"].alias("name"), scope.named_pages(row["pages"], g["terms"]).alias("pages")))
+        if mode == "name-match":
+            return F.filter(anchors, lambda g: F.size(g["pages"]) > 0)
+
+        def pick(w: Column) -> Column:
+            own = F.coalesce(F.get(F.filter(row["groups"], lambda g: g["name"] == w["name"]), 0)["tokens"], F.array().cast("array<string>"))
+            chosen = text.let(own, lambda t: scope.select_pages(w, row["pages"], row["n_pages"], t))
+            return F.struct(w["name"].alias("name"), chosen.alias("pages"))
+
+        return F.transform(scope.anchor_windows(anchors, row["n_pages"], F.size(F.array_distinct(F.transform(row["groups"], lambda g: g["name"])))), pick)
+
+    chosen = held.select("doc_id", F.inline_outer(F.transform(text.let(F.struct("pages", "groups", "n_pages"), found), lambda x: F.struct(x.alias("x")))))
+    return chosen.where("x IS NOT NULL").select("doc_id", "x.*")
 
 
 def _joined(blocks: Column) -> Column:

@@ -1,13 +1,15 @@
 """Which blocks of a document belong to which model: anchors, islands, windows and page selection.
 
-All of it is one plan over many documents and groups: rows are keyed by doc_id and group_key.
+A document's pages are one array, and every step is a fold over it inside the document's row: nothing is exploded before the
+result and nothing is shuffled. Pages are structs (page_no, block, norm), in order; groups are structs (name, ...).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions import text
@@ -15,62 +17,21 @@ from concordia.functions import text
 ANCHOR_GAP, RELEVANT_GAP, FRONT_PAGES, LEAST_FRONT = 6, 2, 20, 3
 
 
+def _lines(text_col: str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), text.normalize_ws), lambda x: x != "")
+
+
 def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, page_no, block): non-blank lines with collapsed white space, numbered from 1."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), text.normalize_ws), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(lines).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block")
+    return docs.select("doc_id", F.posexplode(_lines(text_col)).alias("p", "block")).select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block")
 
 
 def blocks_with_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """blocks() with n_pages, the number of blocks of the document, so nothing has to count them again."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), text.normalize_ws), lambda x: x != "")
-    rows = docs.select("doc_id", lines.alias("__l")).select("doc_id", F.size("__l").cast("long").alias("n_pages"), F.posexplode("__l").alias("p", "block"))
+    rows = docs.select("doc_id", _lines(text_col).alias("__l")).select("doc_id", F.size("__l").cast("long").alias("n_pages"), F.posexplode("__l").alias("p", "block"))
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block", "n_pages")
 
 
-def find_pages(pages: DataFrame, names: list[str] | dict[str, list[str]], by: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(..., name, page_no): pages with one of the group's names as a whole word; where a document has none, those that hold a normalised form.
-
-    names: groups and the names of each (a list: groups of one name), few literals; whether the document has a whole word is
-    decided for the group, over all its names. keep: columns of pages that go along.
-    """
-    groups = names if isinstance(names, dict) else {n: [n] for n in names}
-
-    def entry(group: str, own: list[str]):
-        own = [n for n in own if n]
-        word = "|".join(rf"\Q{n}\E" for n in own)
-        loose = odd = F.lit(False)
-        for n in own:
-            bare = text.normalize_token(F.lit(n))
-            loose, odd = loose | ((bare != "") & F.contains(F.col("__norm"), bare)), odd | (bare == "")
-        # a whole word is also there in normalised form, so only blocks with that are searched by pattern
-        strict = F.when(loose | odd, F.col("block").rlike(rf"(?i)\b(?:{word})\b")).otherwise(False) if own else F.lit(False)
-        return F.struct(F.lit(group).alias("name"), strict.alias("strict"), loose.alias("loose"))
-
-    hits = pages.withColumn("__norm", text.normalize_token(F.col("block"))).select(*by, "page_no", *keep, F.explode(F.array(*[entry(*g) for g in groups.items()])).alias("h"))
-    hits = hits.select(*by, "page_no", *keep, "h.*").where("strict OR loose")
-    best = F.max("strict").over(Window.partitionBy(*by, "name"))
-    return hits.withColumn("__best", best).where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select(*by, "name", "page_no", *keep)
-
-
-def find_group_pages(pages: DataFrame, groups: DataFrame) -> DataFrame:
-    """find_pages() for groups (doc_id, name, names array) that come as a table: (doc_id, name, page_no).
-
-    Blocks meet the groups of their own document only, by an equal join.
-    """
-    word = F.array_join(F.transform(F.filter("names", lambda n: n != ""), lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
-    bare = F.filter(F.transform("names", text.normalize_token), lambda n: n != "")
-    odd = F.exists("names", lambda n: (n != "") & (text.normalize_token(n) == ""))
-    asked = groups.select("doc_id", "name", F.concat(F.lit("(?i)\\b(?:"), word, F.lit(")\\b")).alias("__word"), (word != "").alias("__any"), bare.alias("__bare"), odd.alias("__odd"))
-    met = pages.withColumn("__norm", text.normalize_token(F.col("block"))).join(asked, "doc_id")
-    # A whole word is also there in normalised form: only such blocks, or those of names without one, are searched by pattern.
-    met = met.withColumn("loose", F.exists("__bare", lambda n: F.contains(F.col("__norm"), n))).where(F.col("loose") | F.col("__odd"))
-    marked = met.select("doc_id", "name", "page_no", (F.col("__any") & F.regexp_like("block", F.col("__word"))).alias("strict"), "loose")
-    best = F.max("strict").over(Window.partitionBy("doc_id", "name"))
-    hits = marked.where("strict OR loose").withColumn("__best", best)
-    return hits.where(F.when(F.col("__best"), F.col("strict")).otherwise(F.col("loose"))).select("doc_id", "name", "page_no")
-
-
 #: Fields of a dataset that give tokens, their least length, prefixes that datasets are also known without, and hits that are kept of a page.
 TOKEN_FIELDS, TOKEN_LENGTH, PREFIXES, MOST_HITS = 24, 6, ("G_", "Q_"), 20
 
@@ -90,68 +51,123 @@ def relevance_hits(norm: Column, tokens: Column) -> Column:
     return F.slice(F.filter(tokens, lambda t: F.contains(norm, t)), 1, MOST_HITS)
 
 
-def clusters(pages: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
-    """(..., cluster, first, last, size) of distinct positive pages; a gap of more than gap pages parts them."""
-    order = Window.partitionBy(*by).orderBy("page_no")
-    rows = pages.where("page_no > 0").select(*by, "page_no").distinct()
-    rows = rows.withColumn("__new", F.coalesce(F.col("page_no") - F.lag("page_no").over(order) > gap, F.lit(True)).cast("int"))
-    rows = rows.withColumn("cluster", F.sum("__new").over(order))
-    return rows.groupBy(*by, "cluster").agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.count("*").alias("size"), F.array_sort(F.collect_list("page_no")).alias("pages"))
+def page_array(text_col: str = "text") -> Column:
+    """The pages of a document's text: its blocks, numbered from 1, with their normalised form."""
+    return F.transform(_lines(text_col), lambda x, i: F.struct((i + 1).cast("long").alias("page_no"), x.alias("block"), text.normalize_token(x).alias("norm")))
+
+
+def page_arrays(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages, n_pages) from rows (doc_id, page_no, block, n_pages): one row for each document, one exchange."""
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "block"))).alias("p"), F.max("n_pages").alias("n_pages"))
+    return held.select("doc_id", F.transform("p", lambda x: F.struct(x["page_no"], x["block"], text.normalize_token(x["block"]).alias("norm"))).alias("pages"), "n_pages")
+
+
+def search_terms(names: Column) -> Column:
+    """What named_pages() looks for: a pattern of whole words (null without a name), normalised forms, whether a name has none."""
+    own = F.filter(names, lambda n: n != "")
+    word = F.array_join(F.transform(own, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
+    pattern = F.when(F.size(own) > 0, F.concat(F.lit("(?i)\\b(?:"), word, F.lit(")\\b")))
+    bare = F.filter(F.transform(own, text.normalize_token), lambda n: n != "")
+    return F.struct(pattern.alias("word"), bare.alias("bare"), (F.size(bare) < F.size(own)).alias("odd"))
+
+
+def literal_terms(names: Iterable[str]) -> Column:
+    """search_terms() of given names, with a constant pattern, which is compiled once."""
+    own = [n for n in names if n]
+    forms = [text.normalize_token(F.lit(n)) for n in own]
+    bare = F.filter(F.array(*forms), lambda n: n != "") if forms else F.array().cast("array<string>")
+    pattern = "(?i)\\b(?:" + "|".join(rf"\Q{n}\E" for n in own) + ")\\b" if own else None
+    return F.struct(F.lit(pattern).cast("string").alias("word"), bare.alias("bare"), reduce(lambda a, f: a | (f == ""), forms, F.lit(False)).alias("odd"))
+
 
+def named_pages(pages: Column, terms: Column) -> Column:
+    """Numbers of the pages with one of the names as a whole word; if there are none, of those that hold a normalised form."""
+    loose = lambda e: F.exists(terms["bare"], lambda t: F.contains(e["norm"], t))
+    # A whole word is also there in normalised form: only such pages, or all for names without one, are searched by pattern.
+    near = F.filter(pages, lambda e: loose(e) | terms["odd"])
 
-def primary(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The largest cluster, the earliest of equals."""
-    order = Window.partitionBy(*by).orderBy(F.desc("size"), "first")
-    return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    def choose(near: Column) -> Column:
+        strict = F.filter(near, lambda e: F.regexp_like(e["block"], terms["word"]))
+        return text.let(strict, lambda found: F.when(F.size(found) > 0, found).otherwise(F.filter(near, loose)))
 
+    return F.transform(text.let(near, choose), lambda e: e["page_no"])
 
-def anchor_windows(anchors: DataFrame, sizes: DataFrame | None, n_groups: int | Column) -> DataFrame:
-    """(doc_id, name, first_anchor, window_start, window_end, primary_pages) per document and group.
 
-    anchors (doc_id, name, page_no); sizes (doc_id, n_pages), or None if anchors has n_pages. n_groups: of a document. Early pages that many groups name are front matter
-    and do not count, unless a group has no others.
+def islands(numbers: Column, gap: int) -> Column:
+    """Structs (first, last, size, pages) of sorted page numbers; a step of more than gap pages parts them."""
+
+    def cut(p: Column) -> Column:
+        places = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        parted = lambda i: F.coalesce(F.get(p, i) - F.get(p, i - 1) > gap, F.lit(True))
+        starts = F.filter(places, parted)
+        ends = F.filter(places, lambda i: parted(i + 1))
+        whole = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda x: F.slice(p, x["a"] + 1, x["z"] - x["a"] + 1))
+        return F.transform(whole, lambda own: F.struct(F.get(own, 0).alias("first"), F.element_at(own, -1).alias("last"), F.size(own).cast("long").alias("size"), own.alias("pages")))
+
+    return text.let(numbers, cut)
+
+
+def primary(found: Column) -> Column:
+    """The largest island, the earliest of equals."""
+    return F.array_min(F.transform(found, lambda x: F.struct((-x["size"]).alias("less"), x["first"], x["last"], x["pages"])))
+
+
+def anchor_windows(anchors: Column, n_pages: Column, n_groups: Column) -> Column:
+    """Structs (name, window_start, window_end, primary_pages) of the groups that have anchors, by window_start and name.
+
+    anchors: structs (name, pages); n_groups: of the document. Early pages that many groups name are front matter and do not
+    count, unless a group has no others. A window ends before the next one starts, the last with the document.
     """
-    page = Window.partitionBy("doc_id", "page_no")
-    group = Window.partitionBy("doc_id", "name")
-    front = (F.col("page_no") <= FRONT_PAGES) & (F.col("freq") >= (max(LEAST_FRONT, n_groups // 6) if isinstance(n_groups, int) else F.greatest(F.lit(LEAST_FRONT), F.floor(n_groups / 6))))
-    rows = anchors.withColumn("freq", F.count("*").over(page)).withColumn("front", front).withColumn("rest", F.max(~F.col("front")).over(group))
-    own = ("doc_id", "name") if sizes is not None else ("doc_id", "name", "n_pages")
-    main = primary(clusters(rows.where("NOT front OR NOT rest"), ANCHOR_GAP, own), ("doc_id", "name"))
-    after = F.lead("first").over(Window.partitionBy("doc_id").orderBy("first", "name"))
-    joined = main if sizes is None else main.join(sizes, "doc_id")
-    end = F.greatest(F.col("first"), F.coalesce(after - 1, F.col("n_pages")))
-    return joined.select("doc_id", "name", F.col("first").alias("window_start"), end.alias("window_end"), F.col("pages").alias("primary_pages"), "n_pages")
+    many = F.greatest(F.lit(LEAST_FRONT), F.floor(n_groups / 6))
+
+    def windows(named: Column) -> Column:
+        naming = lambda p: F.size(F.filter(named, lambda g: F.array_contains(g["pages"], p)))
+        front = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(FRONT_PAGES).cast("long")), lambda p: naming(p) >= many)
+
+        def starts(front: Column) -> Column:
+            def start(g: Column) -> Column:
+                used = text.let(F.array_except(g["pages"], front), lambda rest: F.when(F.size(rest) > 0, rest).otherwise(g["pages"]))
+                return text.let(primary(islands(used, ANCHOR_GAP)), lambda m: F.struct(m["first"].alias("first"), g["name"].alias("name"), m["pages"].alias("pages")))
+
+            return F.array_sort(F.transform(named, start))
 
+        def close(found: Column) -> Column:
+            end = lambda w, i: F.greatest(w["first"], F.coalesce(F.get(found, i + 1)["first"] - 1, n_pages))
+            return F.transform(found, lambda w, i: F.struct(w["name"].alias("name"), w["first"].alias("window_start"), end(w, i).alias("window_end"), w["pages"].alias("primary_pages")))
 
-def select_pages(windows: DataFrame, pages: DataFrame, tokens: list[str] | None = None) -> DataFrame:
-    """(doc_id, name, pages): the sorted pages to audit for each group.
+        return text.let(text.let(front, starts), close)
+
+    return text.let(F.filter(anchors, lambda g: F.size(g["pages"]) > 0), windows)
+
+
+def select_pages(window: Column, pages: Column, n_pages: Column, tokens: Column) -> Column:
+    """The sorted numbers of the pages to audit for a window of anchor_windows().
 
     Relevant pages of the window (holding a token) form islands; the one nearest the first anchor, widened by a page
     within the window, is joined by the anchors, their neighbours, and short gaps between anchors.
-    tokens: for all groups; if None, windows has a column tokens (array) for each.
     """
-    key = ("doc_id", "name")
-    norm = text.normalize_token(F.col("block"))
-    window = windows.select(*key, "window_start", "window_end", *(["tokens"] if tokens is None else []))
-    if tokens is None:
-        inside = window.join(pages.select("doc_id", "page_no", norm.alias("__norm")), "doc_id").where("page_no BETWEEN window_start AND window_end")
-        inside = inside.where(F.exists("tokens", lambda t: F.contains(F.col("__norm"), t)))
-    else:
-        relevant = pages.where(F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(norm, t))).select("doc_id", "page_no")
-        inside = window.join(relevant, "doc_id").where("page_no BETWEEN window_start AND window_end")
-    # The window's start goes along as a key, so the islands need not meet the windows again.
-    islands = clusters(inside.select(*key, "window_start", "page_no"), RELEVANT_GAP, (*key, "window_start"))
-    best = islands.groupBy(*key).agg(F.min_by(F.struct("first", "last"), F.struct(F.abs(F.col("first") - F.col("window_start")), -F.col("size"), F.col("first"))).alias("b"))
-    joined = windows.join(best, list(key), "left")
-    low = F.coalesce(F.greatest(F.col("window_start"), F.col("b.first") - 1), F.col("window_start"))
-    high = F.coalesce(F.least(F.col("window_end"), F.col("b.last") + 1), F.col("window_end"))
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-    near = F.flatten(F.transform("primary_pages", lambda p: F.array(p - 1, p, p + 1)))
-
-    def bridge(p, i):
-        after = F.get(F.col("primary_pages"), i + 1)
-        return F.when((after - p).between(2, 3), F.sequence(p, after)).otherwise(F.array().cast("array<bigint>"))
-
-    bridges = F.flatten(F.transform("primary_pages", bridge))
-    near = F.filter(near, lambda p: (p >= 1) & (p <= F.col("n_pages")))
-    return joined.select(*key, F.array_sort(F.array_distinct(F.concat(span(low, high), near, bridges))).alias("pages"))
+    start, end, anchors = window["window_start"], window["window_end"], window["primary_pages"]
+    relevant = F.filter(pages, lambda e: e["page_no"].between(start, end) & F.exists(tokens, lambda t: F.contains(e["norm"], t)))
+    ranked = F.transform(islands(F.transform(relevant, lambda e: e["page_no"]), RELEVANT_GAP), lambda x: F.struct(F.abs(x["first"] - start), -x["size"], x["first"].alias("first"), x["last"].alias("last")))
+    none = F.array().cast("array<bigint>")
+
+    def joined(best: Column) -> Column:
+        low = F.coalesce(F.greatest(start, best["first"] - 1), start)
+        high = F.coalesce(F.least(end, best["last"] + 1), end)
+        core = F.when(low <= high, F.sequence(low, high)).otherwise(none)
+        near = F.filter(F.flatten(F.transform(anchors, lambda p: F.array(p - 1, p, p + 1))), lambda p: (p >= 1) & (p <= n_pages))
+
+        def bridge(p: Column, i: Column) -> Column:
+            after = F.get(anchors, i + 1)
+            return F.when((after - p).between(2, 3), F.sequence(p, after)).otherwise(none)
+
+        return F.array_sort(F.array_distinct(F.concat(core, near, F.flatten(F.transform(anchors, bridge)))))
+
+    return text.let(F.array_min(ranked), joined)
+
+
+def fold_documents(docs: DataFrame, fold: Callable[[Column], Column], text_col: str = "text") -> DataFrame:
+    """(doc_id, ...) of the structs that fold(pages) gives for each document; documents without any are left out."""
+    # the outer form keeps the optimizer from evaluating the fold a second time, as a filter for empty arrays
+    found = docs.select("doc_id", F.inline_outer(F.transform(text.let(page_array(text_col), fold), lambda x: F.struct(x.alias("x")))))
+    return found.where("x IS NOT NULL").select("doc_id", "x.*")

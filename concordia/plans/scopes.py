@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concordia.functions import text
 from concordia.operators import scope
 from concordia.plans.inputs import table
 
@@ -15,8 +16,13 @@ WORDS = ["the", "with", "anvil", "tion"]
 TOKENS = ["THATH", "ENTI", "RING"]
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.blocks_with_size(table(spark, sf_dir, "documents"))
+def _anchors(pages: Column) -> Column:
+    """Structs (name, pages) of the words."""
+    return F.array(*[F.struct(F.lit(w).alias("name"), scope.named_pages(pages, scope.literal_terms([w])).alias("pages")) for w in WORDS])
+
+
+def _windows(pages: Column) -> Column:
+    return scope.anchor_windows(_anchors(pages), F.size(pages).cast("long"), F.lit(len(WORDS)))
 
 
 _BLOCKS = """
@@ -48,7 +54,9 @@ windows AS (SELECT doc_id, name, first AS window_start, pp, n_pages,
 
 
 def q11_find_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.find_pages(_pages(spark, sf_dir), WORDS)
+    """Pages that name each of four words: whole words, or else normalised forms."""
+    flat = lambda pages: F.flatten(F.transform(_anchors(pages), lambda g: F.transform(g["pages"], lambda p: F.struct(g["name"].alias("name"), p.alias("page_no")))))
+    return scope.fold_documents(table(spark, sf_dir, "documents"), flat)
 
 
 SQL["q11_find_pages"] = _BLOCKS + "SELECT doc_id, name, page_no FROM anchors"
@@ -56,14 +64,17 @@ SQL["q11_find_pages"] = _BLOCKS + "SELECT doc_id, name, page_no FROM anchors"
 
 def q12_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Islands of the anchors of each word, with the primary one marked, for both gaps."""
-    anchors = scope.find_pages(_pages(spark, sf_dir), WORDS)
-    out = None
-    for gap in (scope.RELEVANT_GAP, scope.ANCHOR_GAP):
-        found = scope.clusters(anchors, gap, ("doc_id", "name"))
-        order = Window.partitionBy("doc_id", "name").orderBy(F.desc("size"), "first")
-        part = found.select("doc_id", "name", F.lit(gap).cast("long").alias("gap"), "first", "last", "size", (F.row_number().over(order) == 1).alias("is_primary"))
-        out = part if out is None else out.unionAll(part)
-    return out
+
+    def parted(g: Column, gap: int) -> Column:
+        def marked(found: Column) -> Column:
+            best = scope.primary(found)["first"]
+            row = lambda x: F.struct(g["name"].alias("name"), F.lit(gap).cast("long").alias("gap"), x["first"].alias("first"), x["last"].alias("last"), x["size"].alias("size"), (x["first"] == best).alias("is_primary"))
+            return F.transform(found, row)
+
+        return text.let(scope.islands(g["pages"], gap), marked)
+
+    gaps = (scope.RELEVANT_GAP, scope.ANCHOR_GAP)
+    return scope.fold_documents(table(spark, sf_dir, "documents"), lambda pages: F.flatten(F.transform(_anchors(pages), lambda g: F.concat(*[parted(g, gap) for gap in gaps]))))
 
 
 SQL["q12_cluster_pages"] = (
@@ -79,19 +90,16 @@ SELECT doc_id, name, gap, first, last, size, row_number() OVER (PARTITION BY gap
 
 
 def q13_anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(_pages(spark, sf_dir)).select("doc_id", "name", "window_start", "window_end")
-
-
-def _windows(pages: DataFrame) -> DataFrame:
-    return scope.anchor_windows(scope.find_pages(pages, WORDS, keep=("n_pages",)), None, len(WORDS))
+    return scope.fold_documents(table(spark, sf_dir, "documents"), _windows).select("doc_id", "name", "window_start", "window_end")
 
 
 SQL["q13_anchor_windows"] = _BLOCKS + _ISLANDS + "SELECT doc_id, name, window_start, window_end FROM windows"
 
 
 def q14_select_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    chosen = scope.select_pages(_windows(pages), pages, TOKENS)
+    tokens = F.array(*[F.lit(t) for t in TOKENS])
+    picked = lambda w, pages: F.struct(w["name"].alias("name"), scope.select_pages(w, pages, F.size(pages).cast("long"), tokens).alias("pages"))
+    chosen = scope.fold_documents(table(spark, sf_dir, "documents"), lambda pages: F.transform(_windows(pages), lambda w: picked(w, pages)))
     return chosen.select("doc_id", "name", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
