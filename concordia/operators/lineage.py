@@ -33,18 +33,13 @@ class Source:
     snippet: str = ""
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     text: str
     depth: int
     start: int
     end: int
-
-    @property
-    def word(self) -> str:
-        """The name in upper case, without quotes; '' for anything else."""
-        t = self.text
-        return t.strip('"').upper() if t[0] == '"' or t[0].isalpha() or t[0] == "_" else ""
+    word: str  # the name in upper case, without quotes; '' for anything else
 
 
 @dataclass
@@ -75,9 +70,12 @@ def scan(sql: str) -> list[Token]:
         t = m[0]
         if t.isspace():
             continue
-        depth -= t == ")"
-        out.append(Token(t, max(depth, 0), m.start(), m.end()))
-        depth += t == "("
+        if t == ")":
+            depth -= 1
+        word = t.strip('"').upper() if t[0] == '"' or t[0].isalpha() or t[0] == "_" else ""
+        out.append(Token(t, depth if depth > 0 else 0, m.start(), m.end(), word))
+        if t == "(":
+            depth += 1
     return out
 
 
@@ -98,10 +96,11 @@ def _closing(tokens: list[Token], at: int) -> int:
 
 def references(tokens: list[Token], scope: Scope) -> list[tuple[str, str]]:
     found = []
-    for i in range(len(tokens) - 2):
-        a, dot, b = tokens[i : i + 3]
-        if a.word and dot.text == "." and b.word and (i == 0 or tokens[i - 1].text != "."):
-            found.append(scope.resolve(a.word, b.word))
+    for i in range(1, len(tokens) - 1):
+        if tokens[i].text == ".":
+            a, b = tokens[i - 1].word, tokens[i + 1].word
+            if a and b and (i == 1 or tokens[i - 2].text != "."):
+                found.append(scope.resolve(a, b))
     return list(dict.fromkeys(found))
 
 
@@ -217,19 +216,41 @@ def parse(sql: str | None) -> tuple[dict[str, Source], Scope]:
     return select_map(scan(bare), bare)
 
 
-def lineage(queries: DataFrame, key: str, sql_col: str = "sql") -> DataFrame:
-    """(key, ord, out_alias, source_table, source_column, source_mode, source_confidence, snippet) per output column."""
-    kind = dict(queries.dtypes)[key]
-    schema = f"{key} {kind}, ord long, out_alias string, source_table string, source_column string, source_mode string, source_confidence string, snippet string"
-    names = [c.split()[0] for c in schema.split(", ")]
+#: Tasks for each core that queries are dealt to.
+TASKS = 3
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over the cores. Reading cuts a table by bytes, and millions of short texts that take long to parse may be one small file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism))
+
+
+#: Arrow types of the columns of lineage() beside the key, and of the columns that it adds if asked for.
+_LINEAGE = {"ord": pa.int64(), "out_alias": pa.string(), "source_table": pa.string(), "source_column": pa.string(), "source_mode": pa.string(), "source_confidence": pa.string(), "snippet": pa.string()}
+_SOURCES = {"tables": pa.list_(pa.string()), "aliases": pa.map_(pa.string(), pa.string())}
+
+
+def lineage(queries: DataFrame, key: str, sql_col: str = "sql", with_sources: bool = False) -> DataFrame:
+    """(key, ord, out_alias, source_table, source_column, source_mode, source_confidence, snippet) per output column.
+
+    with_sources adds tables and aliases, as of sources(), to each row: a query is parsed once and nothing is joined.
+    """
+    types = _LINEAGE | (_SOURCES if with_sources else {})
+    schema = f"{key} {dict(queries.dtypes)[key]}, ord long, out_alias string, source_table string, source_column string, source_mode string, source_confidence string, snippet string"
+    schema += ", tables array<string>, aliases map<string,string>" if with_sources else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i, a, s.table, s.column, s.mode, s.confidence, s.snippet) for k, q in zip(b.column(0).to_pylist(), b.column(1), strict=True) for i, (a, s) in enumerate(parse(q.as_py())[0].items(), 1)]
+            rows = []
+            for k, q in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found, scope = parse(q.as_py())
+                beside = (list(dict.fromkeys(scope.order)), list(scope.tables.items())) if with_sources else ()
+                rows += [(k, i, a, s.table, s.column, s.mode, s.confidence, s.snippet, *beside) for i, (a, s) in enumerate(found.items(), 1)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type if not i else None) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [b.column(0).type, *types.values()], strict=True)], names=[key, *types])
 
-    return queries.select(key, sql_col).mapInArrow(run, schema)
+    return spread(queries.select(key, sql_col)).mapInArrow(run, schema)
 
 
 def sources(queries: DataFrame, key: str, sql_col: str = "sql") -> DataFrame:
@@ -243,7 +264,7 @@ def sources(queries: DataFrame, key: str, sql_col: str = "sql") -> DataFrame:
             aliases = pa.array([list(s.tables.items()) for s in scopes], pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), tables, aliases], names=[key, "tables", "aliases"])
 
-    return queries.select(key, sql_col).mapInArrow(run, schema)
+    return spread(queries.select(key, sql_col)).mapInArrow(run, schema)
 
 
 def post_resolve(rows: DataFrame) -> DataFrame:
@@ -290,7 +311,7 @@ def select_references(queries: DataFrame, key: str, sql_col: str = "sql") -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type if not i else None) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
-    return queries.select(key, sql_col).mapInArrow(run, schema)
+    return spread(queries.select(key, sql_col)).mapInArrow(run, schema)
 
 
 def references_by_output(sql: str | None) -> dict[str, list[tuple[str, str]]]:

@@ -86,7 +86,7 @@ def package_fields(chosen: DataFrame) -> DataFrame:
     rows = rows.join(chosen.select("entry", F.col("group_key").alias("name")), "entry").withColumn("query", F.sha2("sql_text", 256))
     queries = rows.where("coalesce(sql_text, '') <> ''").select("query", F.col("sql_text").alias("sql")).distinct()
     tables = lineage.sources(queries, "query")
-    told = lineage.post_resolve(lineage.lineage(queries, "query").join(tables, "query")).drop("tables", "aliases", "ord")
+    told = lineage.post_resolve(lineage.lineage(queries, "query", with_sources=True)).drop("tables", "aliases", "ord")
     told = told.withColumn("out_alias", F.upper("out_alias"))
     met = rows.join(tables.select("query", "tables"), "query", "left").withColumn("out_alias", F.upper("field")).join(told, ["query", "out_alias"], "left").withColumn("sql", F.col("sql_text"))
     filled = lineage.fill_defaults(met)

@@ -53,3 +53,19 @@ def test_what_is_no_query_has_no_sources(sql):
 def test_references_by_output():
     got = lineage.references_by_output("SELECT a.x, f(b.y, a.z) AS m, q.lost, 1 AS one FROM s.one a LEFT JOIN two b ON b.i = a.i")
     assert got == {"X": [("ONE", "X")], "M": [("TWO", "Y"), ("ONE", "Z")], "LOST": [], "ONE": []}
+
+
+def test_sources_come_with_lineage(spark):
+    rows = [(1, "SELECT a.x, b.y FROM s.one a, two b"), (2, None), (3, "SELECT q.z FROM one, (SELECT 1 FROM k) q")]
+    queries = spark.createDataFrame(rows, "id long, sql string")
+    apart = lineage.lineage(queries, "id").join(lineage.sources(queries, "id"), "id")
+    got = lineage.lineage(queries, "id", with_sources=True)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing that the driver may have to broadcast
+    assert sorted(map(str, got.collect())) == sorted(map(str, apart.select(*got.columns).collect()))
+
+
+def test_small_file_of_many_queries_is_dealt_out(spark):
+    queries = spark.range(1000).selectExpr("id", "concat('SELECT a.c', id, ' FROM t a') AS sql").coalesce(1)
+    for rows in (lineage.lineage(queries, "id"), lineage.sources(queries, "id"), lineage.select_references(queries, "id")):
+        held = [n for n in rows.select("id").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+        assert len(held) >= 8 and max(held) < 250
