@@ -104,11 +104,12 @@ def describe_recursively(asked: DataFrame, described: DataFrame, edges: DataFram
     task searches root after root in one pass over its rows, since the order of visits decides.
     """
     kind = to_arrow_type(asked.schema["key"].dataType)
-    d = described.where("description <> ''").select(F.col("key").alias("at"), "description")
+    # All joins merge: the tables grow with the input, and a size guessed from a small file of pages would have the driver broadcast them.
+    d = described.where("description <> ''").select(F.col("key").alias("at"), "description").hint("merge")
     # A key with a description ends its branch, so only the others lead on.
     open_edges = edges.select(F.col("key").alias("at"), "ref_ord", "ref").join(d, "at", "left_anti")
-    lists = open_edges.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "ref"))), lambda r: r["ref"]).alias("refs"))
-    nodes = d.join(lists, "at", "full")
+    lists = open_edges.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "ref"))), lambda r: r["ref"]).alias("refs")).hint("merge")
+    nodes = d.join(lists, "at", "full").hint("merge")
     frontier = reach = asked.where("key IS NOT NULL").select(F.col("key").alias("root"), F.col("key").alias("at")).distinct()
     for _ in range(depth):
         frontier = frontier.join(lists, "at").select("root", F.explode("refs").alias("at")).distinct()
@@ -152,7 +153,7 @@ def describe_recursively(asked: DataFrame, described: DataFrame, edges: DataFram
         yield made()
 
     best = graph.repartition(width, "root").sortWithinPartitions("root").mapInArrow(search_all, schema)
-    return asked.join(best, asked["key"] == best["root"], "left").select("key", "description", "level")
+    return asked.join(best.hint("merge"), asked["key"] == best["root"], "left").select("key", "description", "level")
 
 
 def html_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -135,7 +135,7 @@ def document_info(pages: DataFrame, table_col: str = "table", html_col: str = "h
 
     The descriptions are those of six-cell rows; the references those of the page's query, by output column, to tables it names.
     """
-    named = pages.withColumn("__table", text.table_name(F.col(table_col)))
+    named = lineage.spread(pages.select(text.table_name(F.col(table_col)).alias("__table"), html_col))
     told = six_cell_descriptions(named, "__table", html_col)
     refs = lineage.select_references(named.select("__table", query_text(F.col(html_col)).alias("sql")), "__table")
     key = lambda t, c: F.struct(F.col(t).alias("table"), F.col(c).alias("column"))

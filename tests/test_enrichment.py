@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from concordia.operators import cache, ladder, search
+from concordia.operators import cache, enrich, ladder, search
 from concordia.sources import files, write_back, writers
 
 ANSWER = [("ap", "id", "old", "N", "", True, "http", 5), ("AP", "ID", "new", "N", "u", True, "http", 9), ("AP", "X", None, "N/A", "", False, "not_found", None)]
@@ -159,3 +159,11 @@ def test_archives_and_broken_members(spark):
     assert [r.path for r in files.broken(bundles, lambda c: zipfile.ZipFile(io.BytesIO(c)).infolist()).collect()] == ["cut.xdrz"]
     documents = spark.createDataFrame([("a.docx", docx("")), ("b.docx", out.getvalue())], "path string, content binary")
     assert files.read_docx(documents).count() == 0 and [r.path for r in files.broken(documents, files.docx_blocks).collect()] == ["b.docx"]
+
+
+def test_recursive_lookup_broadcasts_nothing(spark):
+    """Sizes guessed from small files of pages had the driver collect whole tables."""
+    edges = spark.range(100).selectExpr("id AS key", "0 AS ref_ord", "id div 2 AS ref")
+    got = enrich.describe_recursively(spark.range(100).selectExpr("id AS key"), spark.createDataFrame([(3, "three")], "key long, description string"), edges)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {r.key for r in got.collect() if r.description} == {3, 6, 7, *range(12, 16), *range(24, 32), *range(48, 64)}
