@@ -96,13 +96,18 @@ def metadata_in_text(page: Column, column: Column) -> Column:
     return text.let(F.position(F.upper(column), F.upper(page)), said)
 
 
-def column_metadata(pages: DataFrame, by: str, html_col: str = "html", column_col: str = "column") -> DataFrame:
-    """(by, description, data_type) of each row's column on its page: from tables, else from the text around its name."""
-    rows = pages.select(by, F.coalesce(html_col, F.lit("")).alias("__page"), F.coalesce(column_col, F.lit("")).alias("__column"), page_rows(F.col(html_col)).alias("__rows"))
-    rows = rows.select(by, "__page", "__column", metadata_in_rows(F.col("__rows"), F.col("__column")).alias("a"))
+def column_metadata(pages: DataFrame, by: str | list[str], html_col: str = "html", column_col: str = "column", rows_col: str | None = None) -> DataFrame:
+    """(by, description, data_type) of each row's column on its page: from tables, else from the text around its name.
+
+    rows_col: page_rows() of the page, where they are known already.
+    """
+    keep = [by] if isinstance(by, str) else by
+    cells = F.col(rows_col) if rows_col else page_rows(F.col(html_col))
+    rows = pages.select(*keep, F.coalesce(html_col, F.lit("")).alias("__page"), F.coalesce(column_col, F.lit("")).alias("__column"), cells.alias("__rows"))
+    rows = rows.select(*keep, "__page", "__column", metadata_in_rows(F.col("__rows"), F.col("__column")).alias("a"))
     known = (F.col("a.description") != "") | ~F.col("a.data_type").isin("", "N/A")
-    rows = rows.select(by, F.when(known, F.col("a")).otherwise(metadata_in_text(F.col("__page"), F.col("__column"))).alias("m"))
-    return rows.select(by, "m.description", "m.data_type")
+    rows = rows.select(*keep, F.when(known, F.col("a")).otherwise(metadata_in_text(F.col("__page"), F.col("__column"))).alias("m"))
+    return rows.select(*keep, "m.description", "m.data_type")
 
 
 def six_cell_descriptions(pages: DataFrame, by: str, html_col: str = "html") -> DataFrame:

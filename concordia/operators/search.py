@@ -1,11 +1,11 @@
-"""Search and try: candidate pages of a key are read one after the other, best first, until one answers."""
+"""Search and try: of the candidate pages of a key, best first, the first that answers counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.operators import enrich, pages
+from concordia.operators import enrich, lineage, pages
 
 #: Pages tried for a key, and the least score of a link that is tried before the others.
 TRIES, LEAST_SCORE = 6, 4
@@ -28,30 +28,29 @@ def cut(rows: DataFrame) -> DataFrame:
 def search_and_try(keys: DataFrame, read: DataFrame, marker: str, tries: int = TRIES) -> DataFrame:
     """(key, description, characteristic, doc_url, matched, provider, tries): one row for each of keys.
 
-    keys (key, table_name, column, links), a row for each key; read (url, html), a row for each page. A round looks up the next
-    page of every key that has no answer yet, and only those pages are parsed; keys with an answer, or without another link, leave,
-    and the rounds end when none is left. A page answers with a description or with a type other than N/A; a page that is not
-    there is a try without an answer. provider: http, or not_found after the last.
+    keys (key, table_name, column, links), a row for each key; read (url, html), a row for each page. Each page that some key
+    may try is taken apart once, however many keys try it; the tries meet their pages in one join, and the first try of a key with an
+    answer counts. A page answers with a description or with a type other than N/A; a page that is not there is a try without
+    an answer. provider: http, or not_found after the last.
     """
-    pending = keys.select("key", "column", ranked(F.col("links"), F.col("table_name"), marker, tries).alias("links"))
-    told = lambda d, c, url, n, by: [F.col("key"), d.alias("description"), c.alias("characteristic"), url.alias("doc_url"), (F.coalesce(d, F.lit("")) != "").alias("matched"), F.lit(by).alias("provider"), n.alias("tries")]
-    none, done = F.lit(None).cast("string"), []
-    for i in range(tries):
-        more = F.size("links") > i
-        done.append(pending.where(~more).select(*told(none, F.lit("N/A"), F.lit(""), F.size("links"), "not_found")))
-        asked = pending.where(more).withColumn("url", F.get("links", i))
-        # equal pages of many keys: the page's side is unique, the keys' side may be split
-        met = asked.join(read.select("url", "html"), "url", "left").select("key", "column", "links", "url", "html")
-        found = pages.column_metadata(met, "key").select("key", F.nullif("description", F.lit("")).alias("d"), F.nullif("data_type", F.lit("")).alias("c"))
-        tried = cut(asked.join(found, "key", "left"))
-        answers = F.col("d").isNotNull() | (F.coalesce("c", F.lit("N/A")) != "N/A")
-        done.append(tried.where(answers).select(*told(F.col("d"), F.coalesce("c", F.lit("N/A")), F.col("url"), F.lit(i + 1), "http")))
-        pending = tried.where(~answers).select("key", "column", "links")
-        if pending.isEmpty():
-            break
-    else:
-        done.append(pending.select(*told(none, F.lit("N/A"), F.lit(""), F.size("links"), "not_found")))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    dealt = lineage.spread(keys.select("key", "table_name", "column", "links"))
+    asked = cut(dealt.select("key", "column", ranked(F.col("links"), F.col("table_name"), marker, tries).alias("links")))
+    tried = asked.select("key", "column", F.posexplode("links").alias("i", "url"))
+    wanted = read.select("url", "html").join(tried.select("url").distinct().hint("merge"), "url", "left_semi")
+    known = wanted.select("url", "html", pages.page_rows(F.col("html")).alias("rows"))
+    # All joins merge, since each side grows with the input; equal pages of many keys: the page's side is unique, the keys' side may be split.
+    met = tried.join(known.hint("merge"), "url")
+    found = pages.column_metadata(met, ["key", "i", "url"], rows_col="rows").withColumns({"d": F.nullif("description", F.lit("")), "c": F.coalesce(F.nullif("data_type", F.lit("")), F.lit("N/A"))})
+    # a condition inside the aggregate: as a filter it would be pushed below the metadata, which would then be made twice
+    answer = F.when(F.col("d").isNotNull() | (F.col("c") != "N/A"), F.struct("i", "url", "d", "c"))
+    best = found.groupBy("key").agg(F.min(answer).alias("a"))
+    out = asked.select("key", F.size("links").alias("n")).join(best.hint("merge"), "key", "left")
+    return out.select(
+        "key",
+        F.col("a.d").alias("description"),
+        F.coalesce("a.c", F.lit("N/A")).alias("characteristic"),
+        F.coalesce("a.url", F.lit("")).alias("doc_url"),
+        F.col("a.d").isNotNull().alias("matched"),
+        F.when(F.col("a").isNotNull(), "http").otherwise("not_found").alias("provider"),
+        F.coalesce(F.col("a.i") + 1, "n").alias("tries"),
+    )

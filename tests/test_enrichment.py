@@ -161,6 +161,16 @@ def test_archives_and_broken_members(spark):
     assert files.read_docx(documents).count() == 0 and [r.path for r in files.broken(documents, files.docx_blocks).collect()] == ["b.docx"]
 
 
+def test_search_takes_each_page_apart_once(spark):
+    """Hundreds of keys try one page: no key's try parses it again, no side is broadcast by its guessed size, and there are no rounds."""
+    read = spark.createDataFrame([("u", "<table><tr><th>Column</th><th>Comments</th></tr><tr><td>A</td><td>told</td></tr></table>")], "url string, html string")
+    asked = spark.range(300).selectExpr("id AS key", "'T' AS table_name", "if(id % 3 = 0, 'A', 'QQ') AS column", "array('gone', 'u', concat('x', id)) AS links")
+    got = search.search_and_try(asked, read, "oedmf")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ArrowEvalPython") == 1, plan
+    assert {(r.key % 3 == 0, r.description, r.tries, r.provider) for r in got.collect()} == {(True, "told", 2, "http"), (False, None, 3, "not_found")} and got.count() == 300
+
+
 def test_recursive_lookup_broadcasts_nothing(spark):
     """Sizes guessed from small files of pages had the driver collect whole tables."""
     edges = spark.range(100).selectExpr("id AS key", "0 AS ref_ord", "id div 2 AS ref")
