@@ -185,13 +185,15 @@ def column_index(letters: Column) -> Column:
     return (F.aggregate(F.split(F.upper(letters), ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 64) - 1).cast("long")
 
 
-def column_letters(index: Column, digits: int = 4) -> Column:
-    """The inverse of column_index, for names of up to the given number of letters."""
-    n, out = index.cast("long") + 1, F.lit("")
-    for _ in range(digits):
-        out = F.when(n > 0, F.concat(F.char(((n - 1) % 26 + 65).cast("int")), out)).otherwise(out)
-        n = F.when(n > 0, F.floor((n - 1) / 26)).otherwise(F.lit(0))
-    return out
+def column_letters(index: Column, digits: int = 14) -> Column:
+    """The inverse of column_index, for names of up to the given number of letters; fourteen hold every long."""
+
+    def step(s: Column, _: Column) -> Column:
+        letter = F.char(((s["n"] - 1) % 26 + 65).cast("int"))
+        return F.when(s["n"] > 0, F.struct(F.call_function("div", s["n"] - 1, F.lit(26).cast("long")).alias("n"), F.concat(letter, s["out"]).alias("out"))).otherwise(s)
+
+    start = F.struct((index.cast("long") + 1).alias("n"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, step, lambda s: s["out"])
 
 
 def option_list(x: Column) -> Column:

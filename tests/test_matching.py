@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from concordia.operators import audit, enrich
 
@@ -83,3 +84,15 @@ def test_recursive_lookup(spark, depth):
         depth,
     )
     assert sorted(((r.key, r.description, r.level) for r in got.collect()), key=str) == sorted(((k, *search(k, described, edges, depth)) for k in asked), key=str)
+
+
+def test_letters_of_any_long(spark):
+    """Four letters end at 475,253."""
+    from concordia.functions import text
+
+    def letters(n):
+        return letters(n // 26 - 1) + chr(65 + n % 26) if n >= 0 else ""
+
+    numbers = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 1199999, 12356629, 12356630, 2**40]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", text.column_letters(F.col("n")).alias("l"))
+    assert [tuple(r) for r in rows.select("n", "l", text.column_index(F.col("l"))).collect()] == [(n, letters(n), n) for n in numbers]
