@@ -20,9 +20,17 @@ MOST_BYTES = 2 << 20
 
 
 def present(raw: Column, norm: Column, field: Column) -> Column:
-    """Whether a text holds a field: as a whole word in any case, or in normalised form (an empty form: never)."""
-    bare = text.normalize_token(field)
-    return F.regexp_like(raw, F.concat(F.lit(r"(?i)\b\Q"), field, F.lit(r"\E\b"))) | ((bare != "") & F.contains(norm, bare))
+    """Whether a text holds a field: as a whole word in any case, or in normalised form (an empty form: never).
+
+    norm: normalize_token(raw). An ASCII field with a normalised form is in norm wherever it is a whole word, so raw is searched only
+    for the others: a pattern for each row and field is costly to compile and to run over whole texts.
+    """
+
+    def held(bare: Column) -> Column:
+        odd = (bare == "") | (F.octet_length(field) != F.length(field)) | raw.isNull()
+        return ((bare != "") & F.contains(norm, bare)) | (odd & F.regexp_like(raw, F.concat(F.lit(r"(?i)\b\Q"), field, F.lit(r"\E\b"))))
+
+    return text.let(text.normalize_token(field), held)
 
 
 def presence(docs: DataFrame, fields: list[str], norm_col: str = "norm", raw_col: str | None = None) -> DataFrame:

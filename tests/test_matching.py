@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from concordia.operators import audit, enrich
+from concordia.operators import audit, enrich, jobs
 
 
 def bare(x):
@@ -96,3 +96,16 @@ def test_letters_of_any_long(spark):
     numbers = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 1199999, 12356629, 12356630, 2**40]
     rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", text.column_letters(F.col("n")).alias("l"))
     assert [tuple(r) for r in rows.select("n", "l", text.column_index(F.col("l"))).collect()] == [(n, letters(n), n) for n in numbers]
+
+
+def test_reports_are_made_once(spark):
+    """A filter on the status, or an explode of the missing fields, had the optimizer make each report twice."""
+    pages = spark.createDataFrame([(1, 1, "one THE block", 1)], "doc_id long, page_no long, block string, n_pages long")
+    models = spark.createDataFrame([(1, "one", ["one"])], "doc_id long, name string, names array<string>")
+    sets = spark.createDataFrame([(1, "one", 0, "G_A", "Q_A", ["THE", "gone", "-", "é"])], "doc_id long, name string, ord int, dataset string, source string, fields array<string>")
+    audits = jobs.audit_models(pages, models, sets, mode="name-match")
+    for rows in (audits.where("status = 'FAIL'"), audits.select("doc_id", F.explode("missing"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("octet_length(") <= audits._jdf.queryExecution().optimizedPlan().toString().count("octet_length(")
+        assert not [x for x in plan.splitlines() if x.strip(" +-:").startswith("Filter") and "regexp_replace" in x]
+    assert [tuple(r) for r in audits.select("status", "missing").collect()] == [("FAIL", ["gone", "-", "é"])]
