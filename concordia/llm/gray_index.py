@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from concordia.llm.common import partitions
 
 LEAF, FAN, CHUNK = 16, 8, 1 << 11
+#: Rows up to which wide_links deals by single blocks; a task then holds about a 128th, 262,144 rows.
+WHOLE = 1 << 25
 
 
 def block_tables(blocks: int, radius: int) -> list[tuple[int, ...]]:
@@ -177,9 +179,14 @@ def local_pairs(codes: np.ndarray, key_bits: int, radius: int, wide: np.ndarray,
         yield order[i], order[j]
 
 
-def _deal(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+def owners(tables: list[tuple[int, ...]], blocks: int) -> list[int]:
+    """For each table one of its blocks, each block about as often."""
+    return [chosen[0] if len(chosen) != 2 or chosen[1] - chosen[0] <= blocks // 2 else chosen[1] for chosen in tables]
+
+
+def _deal(rows: DataFrame, tables: list[tuple[int, ...]], blocks: int) -> DataFrame:
     """A row (t, fp, ..) for each table t, those with equal keys in one partition."""
-    masks, tables = block_masks(blocks), block_tables(blocks, radius)
+    masks = block_masks(blocks)
     key_masks = F.array(*[F.lit(signed(sum(masks[i] for i in chosen))) for chosen in tables])
     dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *rows.columns)
     # The key follows from t and fp, so it is not shuffled itself.
@@ -213,7 +220,7 @@ def hamming_links(fingerprints: DataFrame, radius: int, blocks: int, col: str =
                     mine = mine.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(mine[b])], names=["a", "b"])
 
-    return _deal(rows, radius, blocks).mapInArrow(search, "a long, b long")
+    return _deal(rows, tables, blocks).mapInArrow(search, "a long, b long")
 
 
 def possible(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -234,19 +241,25 @@ def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int
     Without group, those that span the components of all such pairs of a partition and table; with it, every pair
     whose groups differ (a pair may come from several tables).
 
+    Rows are dealt by single blocks, each of which serves all tables it owns: nine rows for 36 tables of two of nine blocks. So a
+    task holds the rows of a block's value, a 128th of all; past WHOLE rows they are dealt by the tables' whole keys.
+
     sketch: columns with the size of a row's set and the parities of its elements' hashes; pairs that cannot have a Jaccard
     similarity of least are left out (see possible).
     """
     tables = block_tables(blocks, blocks - keys)
     rows = nodes.select(F.col(names[at]).alias("fp"), F.col(node).alias("node"), *([F.col(group).alias("group")] if group else []), *[F.col(n).alias(f"w{i}") for i, n in enumerate(names) if i != at], *[F.col(c).cast("long").alias(f"s{i}") for i, c in enumerate(sketch or [])])
 
+    few = nodes.count() <= WHOLE
+    owner = owners(tables, blocks) if few else list(range(len(tables)))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _columns(batches)
         if not got:
             return
-        table = got[0]
-        for t, chosen in enumerate(tables):
-            fps, mine, *wide = (c[table == t] for c in got[1:])
+        dealt = got[0]
+        for t, chosen in zip(owner, tables, strict=True):
+            fps, mine, *wide = (c[dealt == t] for c in got[1:])
             if len(mine) < 2:
                 continue
             groups = wide.pop(0) if group else None
@@ -262,4 +275,4 @@ def wide_links(nodes: DataFrame, node: str, names: list[str], at: int, keys: int
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine[i], mine[j])), pa.array(np.maximum(mine[i], mine[j]))], names=["a", "b"])
 
-    return _deal(rows, blocks - keys, blocks).mapInArrow(search, "a long, b long")
+    return _deal(rows, [(i,) for i in range(blocks)] if few else tables, blocks).mapInArrow(search, "a long, b long")

@@ -7,12 +7,15 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import ascii_lower, documents, hex64, materialize, space_words, whole_text
+from concordia.llm.common import among, ascii_lower, documents, hex64, materialize, partitions, space_words, whole_text
 from concordia.llm.components import components, spanning_links
 from concordia.llm.gray_index import hamming_links, wide_links
 from concordia.llm.shingle_sets import hash_sets, prints_and_sketches
@@ -20,6 +23,8 @@ from concordia.llm.votes import majority, shingles, vote
 
 #: Times that the rows of a group are measured against its hub.
 HUBS = 2
+#: Hashes of the sets of a group's part, and what a row counts beside its hashes, which bounds the pairs of two parts.
+CELL, EACH = 1 << 18, 256
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,14 +57,47 @@ def set_sketches(rows: DataFrame, k: int) -> DataFrame:
     return prints_and_sketches(rows, k, 0)
 
 
-def verified(rows: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (by 64-bit hashes of the shingles) have a Jaccard similarity of at least least."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = materialize(hash_sets(rows.join(wanted, "row", "left_semi"), k), "sets")
-    for c in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}")), c)
-    both = F.size(F.array_intersect("sa", "sb"))
-    return materialize(pairs.where(both / (F.size("sa") + F.size("sb") - both) >= least).select("a", "b"), "verified")
+def cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pairs (group, a, b) with the columns i, j: rows of a group are dealt to parts of about CELL, a pair to its rows' parts.
+
+    sizes: (row, n). So a row's set is needed once for each part of its group, however many pairs the row has.
+    """
+    ends = pairs.select("group", F.explode(F.array("a", "b")).alias("row")).distinct()
+    parts = ends.join(sizes, "row").groupBy("group").agg(F.ceil(F.sum(F.col("n") + EACH) / F.lit(CELL)).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    return pairs.join(parts, "group").select("group", F.least(part("a"), part("b")).alias("i"), F.greatest(part("a"), part("b")).alias("j"), "a", "b")
+
+
+def verified(rows: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b) of the pairs (group, a, b) whose shingle sets (by 64-bit hashes of the shingles) have a Jaccard similarity of at least least.
+
+    group: any label that pairs of the same rows share; sizes: (row, n), the sizes of the sets. Pairs meet their sets in cells, so
+    what is shuffled grows with the rows of a group and not with its pairs.
+    """
+    dealt = materialize(cells(pairs, sizes), "cells")
+    cell = ["group", "i", "j"]
+    wanted = dealt.select(*cell, F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = hash_sets(among(rows, dealt.select(F.explode(F.array("a", "b")).alias("row")), "row"), k)
+    held = sets.join(wanted, "row").select(*cell, F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    asked = dealt.select(*cell, "a", "b", F.lit(None).cast("array<long>").alias("s"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for *at, a, b, s in zip(*[c.to_pylist() for c in batch.columns[:5]], batch.column(5), strict=True):
+                if at != now:
+                    now, known = at, {}
+                if b is None:
+                    known[a] = s.values.to_numpy()
+                    continue
+                both = len(np.intersect1d(known[a], known[b], assume_unique=True))
+                if both / (len(known[a]) + len(known[b]) - both) >= least:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    together = held.unionAll(asked).repartition(partitions(rows.sparkSession), *cell).sortWithinPartitions(*cell, F.col("b").asc_nulls_first())
+    return materialize(together.mapInArrow(measure, "a long, b long"), "verified")
 
 
 def hub_links(rows: DataFrame, nodes: DataFrame, names: list[str], groups: DataFrame, k: int, least: float) -> DataFrame:
@@ -75,7 +113,13 @@ def hub_links(rows: DataFrame, nodes: DataFrame, names: list[str], groups: DataF
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(n).bitwiseXOR(F.col(f"m{i}"))) for i, n in enumerate(names)])
     hubs = members.join(middle, "root").groupBy("root").agg(F.min(F.struct(apart.alias("d"), "row")).alias("hub"))
     pairs = members.join(hubs, "root").select(F.col("hub.row").alias("a"), F.col("row").alias("b")).where("a <> b")
-    return verified(rows, materialize(pairs, "hub-pairs"), k, least)
+    pairs = materialize(pairs.withColumn("group", F.col("a")), "hub-pairs")
+    return verified(rows, pairs, nodes.select("row", "n"), k, least)
+
+
+def grouped(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs (a, b) as (group, a, b). groups: (row, root)."""
+    return pairs.join(groups.select(F.col("row").alias("a"), F.col("root").alias("group")), "a").select("group", "a", "b")
 
 
 def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int, blocks: int, most_bits: int, wide_radius: int, wide_bits: int, least: float) -> DataFrame:
@@ -92,13 +136,14 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     names, keys = [f"fp{s}" for s in range(parts)], blocks - radius
     prints = materialize(prints_and_sketches(rows, shingle_words, parts), "prints")
     firsts = prints.groupBy(*names).agg(F.min("row").alias("a"))
-    alike = materialize(prints.join(firsts, names).where("a <> row").select("a", F.col("row").alias("b")), "alike")
-    same = verified(rows, alike, shingle_words, 1.0)
+    alike = materialize(prints.join(firsts, names).where("a <> row").select(F.col("a").alias("group"), "a", F.col("row").alias("b")), "alike")
+    sizes = prints.select("row", "n")
+    same = verified(rows, alike, sizes, shingle_words, 1.0)
     nodes = materialize(prints.join(same, prints.row == same.b, "left_anti"), "nodes")
     links = reduce(DataFrame.unionAll, [wide_links(nodes, "row", names, s, keys, blocks, radius, most_bits) for s in range(parts)])
     forest = materialize(spanning_links(links), "forest")
-    sure = verified(rows, forest, shingle_words, least)
     groups = components(forest).select(F.col("node").alias("row"), "root")
+    sure = verified(rows, grouped(forest, groups), sizes, shingle_words, least)
     for _ in range(HUBS):
         sure = materialize(sure.unionAll(hub_links(rows, nodes, names, groups, shingle_words, least)), "sure")
         joined = sure.select(F.explode(F.array("a", "b")).alias("row")).distinct()
@@ -107,7 +152,8 @@ def similar_groups(rows: DataFrame, shingle_words: int, parts: int, radius: int,
     sketch = ["n", "b0", "b1", "b2", "b3"]
     known = materialize(nodes.join(roots, nodes.row == roots.node, "left").select("row", *names, *sketch, F.coalesce("root", "row").alias("root")), "known")
     wide = reduce(DataFrame.unionAll, [wide_links(known, "row", names, s, keys, blocks, wide_radius, wide_bits, "root", sketch, least) for s in range(parts)])
-    more = verified(rows, materialize(wide.distinct(), "pairs"), shingle_words, least)
+    wide = materialize(wide.distinct(), "pairs")
+    more = verified(rows, grouped(wide, components(wide).select(F.col("node").alias("row"), "root")), sizes, shingle_words, least)
     return components(same.unionAll(sure).unionAll(more)).select(F.col("node").alias("row"), "root")
 
 

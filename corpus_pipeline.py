@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import exact_dedup, language, mixing, packing, simhash_dedup
-from concordia.llm.common import documents, materialize
+from concordia.llm.common import among, documents, materialize
 
 #: A document goes below this score: no language has this share of the likelihoods, or of the letters in words it knows.
 LEAST_SCORE = 0.5
@@ -75,8 +75,8 @@ def near_stage(docs: DataFrame) -> DataFrame:
     found = simhash_dedup.similar_groups(texts, SHINGLE, PRINTS, RADIUS, BLOCKS, MOST_BITS, WIDE_RADIUS, WIDE_BITS, SIMILARITY)
     members = rows.select("__row", "doc_id").join(found, F.col("__row") == F.col("row")).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("k"))
     best = members.groupBy("root").agg(F.min("k").alias("best"))
-    copies = members.join(best, "root").where("k.row <> best.row").select(F.col("k.row").alias("__copy"))
-    return rows.join(copies, F.col("__row") == F.col("__copy"), "left_anti").select(*docs.columns)
+    copies = members.join(best, "root").where("k.row <> best.row").select(F.col("k.row").alias("__row"))
+    return among(rows, copies, "__row", inside=False).select(*docs.columns)
 
 
 @apart

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline as cp
 from concordia.llm import gray_index, simhash_dedup
-from concordia.llm.common import documents
+from concordia.llm.common import among, documents
 
 DATA = "/root/testdata/sf0.001/documents.parquet"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -178,3 +178,52 @@ def test_repeated_rows_and_clashing_columns(spark, at, name):
     kept = got.collect()
     assert all(set(r[5:]) == {str(r[0])} for r in kept)
     assert sorted(map(str, (r[:5] for r in kept))) == sorted(map(str, map(tuple, stage(spark, plain, at["docs"]).collect())))
+
+
+def test_among_ids(spark):
+    """Ids of several partitions, zero, negative and missing ones, and those at the edges of a bitmap."""
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 65536, (1 << 33) + 5, (3 << 33) + 40000, -1, -32768]
+    rows = spark.createDataFrame([(i, str(i)) for i in [*ids, None, *[x + 2 for x in ids]]], "id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "id long")
+    got = sorted(r["id"] for r in among(rows, wanted, "id").collect())
+    assert got == sorted([*ids, *[x + 2 for x in ids if x + 2 in ids]])
+    rest = [r["id"] for r in among(rows, wanted, "id", inside=False).collect()]
+    assert sorted(x for x in rest if x is not None) == sorted(x + 2 for x in ids if x + 2 not in ids) and rest.count(None) == 1
+    assert among(rows, wanted.where("false"), "id").count() == 0
+
+
+@pytest.mark.parametrize("cell", [1, 1 << 11, 1 << 18])
+def test_pairs_meet_in_cells(spark, monkeypatch, cell):
+    """All pairs of a group: as brute force, and a row's set goes to each part of the group at most, not to each pair."""
+    monkeypatch.setattr(simhash_dedup, "CELL", cell)
+    texts = [changed([f"g{i}" for i in range(60 + n)], n % 7 * 0.03, f"c{n}y") for n in range(24)]
+    texts += ["", "one two", "one two"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    pairs = spark.createDataFrame([(a // 24, a, b) for a in range(27) for b in range(a + 1, 27) if a // 24 == b // 24], "group long, a long, b long")
+    sizes = simhash_dedup.set_sketches(rows, cp.SHINGLE).select("row", "n")
+    sets = [shingle_set(t) for t in texts]
+    want = sorted((r["a"], r["b"]) for r in pairs.collect() if len(sets[r["a"]] & sets[r["b"]]) / len(sets[r["a"]] | sets[r["b"]]) >= 0.8)
+    got = sorted(map(tuple, simhash_dedup.verified(rows, pairs, sizes, cp.SHINGLE, 0.8).collect()))
+    assert got == want and len(want) > 20
+    if cell > 1 << 17:
+        met = {(x, *r[:3]) for r in simhash_dedup.cells(pairs, sizes).collect() for x in (r["a"], r["b"])}
+        assert len(met) == len(texts)
+
+
+@pytest.mark.parametrize("whole", [0, 1 << 25])
+def test_wide_links_are_all_pairs(spark, monkeypatch, whole):
+    """By single blocks and by whole keys: every pair that agrees on two of nine blocks; by blocks a row is dealt nine times, not 36."""
+    dealt, deal = [], gray_index._deal
+    monkeypatch.setattr(gray_index, "WHOLE", whole)
+    monkeypatch.setattr(gray_index, "_deal", lambda *a: (dealt.append(deal(*a)), dealt[-1])[1])
+    pick = np.random.default_rng(2)
+    base = pick.integers(-(2**63), 2**63 - 1, 12)
+    fps = np.array([base[n % 12] ^ np.bitwise_or.reduce(np.int64(1) << pick.integers(0, 63, n % 30)) if n % 30 else base[n % 12] for n in range(240)])
+    nodes = spark.createDataFrame([(n, int(f), 0, n) for n, f in enumerate(fps)], "row long, f long, g long, root long")
+    got = {tuple(r) for r in gray_index.wide_links(nodes, "row", ["f", "g"], 0, 2, 9, 24, 30, "root").collect()}
+    masks = [np.uint64(m) for m in gray_index.block_masks(9)]
+    far = lambda a, b: fps[a : a + 1].view(np.uint64)[0] ^ fps[b : b + 1].view(np.uint64)[0]
+    want = {(a, b) for a in range(240) for b in range(a + 1, 240) if np.bitwise_count(x := far(a, b)) <= 24 and sum(not x & m for m in masks) >= 2}
+    assert got == want and len(want) > 400
+    assert dealt[0].count() == 240 * (9 if whole else 36)
+    assert sorted(gray_index.owners(gray_index.block_tables(9, 7), 9)) == sorted(list(range(9)) * 4)
