@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.common import materialize, partitions, whole_text
@@ -252,6 +252,20 @@ def shard_groups(batches: Iterator[pa.RecordBatch], least: int = SOLVED) -> Iter
 ANSWERS = ["m", "seg", "off", "size", "at_did", "at_sub", "at_start"]
 
 
+def _found(off: Column, n: Column, did: Column, sub: Column, start: Column) -> Column:
+    return F.struct(off.cast("long").alias("off"), n.cast("long").alias("n"), did.alias("at_did"), sub.alias("at_sub"), start.alias("at_start"))
+
+
+def answered(runs: DataFrame, answers: DataFrame, of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """runs (m, seg, ..) with found, all answers to their segment, where of holds for one of them at least: a row for each run.
+
+    answers: (m, seg, found). A segment has at most LONGEST_RUN windows, so found has no more elements.
+    """
+    whole = answers.groupBy(F.col("m").alias("__m"), F.col("seg").alias("__seg")).agg(F.flatten(F.collect_list("found")).alias("found"))
+    same = (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg"))
+    return runs.join(whole, same & F.exists("found", of) if of else same)
+
+
 def _firsts(found: DataFrame, label: str) -> DataFrame:
     """Runs reduced to the first place of each (m, seg)."""
     distinct = found.groupBy("m", "seg").agg(F.min(F.struct("did", "sub", "start")).alias("f"), F.max("size").alias("size"), F.max("own").alias("own"))
@@ -259,22 +273,21 @@ def _firsts(found: DataFrame, label: str) -> DataFrame:
 
 
 def settle(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str) -> DataFrame:
-    """ANSWERS for the windows of distinct segments (a table): size windows from off on first start at (at_did, at_sub, at_start ...).
+    """(m, seg, found) for the windows of distinct segments (a table), a segment in several rows: n windows from off on first start at (at_did, at_sub, at_start ...).
 
     fetch: wanted segments with their content.
     """
     finer = spec.finer()
     if finer is None:  # whole windows: all of a shard are one, and all but the first of a run have one before
         first = distinct.groupBy(F.col("m").alias("__m")).agg(F.min(F.struct("did", "sub", "start")).alias("f"))
-        parts = F.array(F.struct(F.lit(0).alias("off"), F.lit(1).alias("n")), F.struct(F.lit(1).alias("off"), (F.col("size") - 1).alias("n")))
-        met = distinct.select("m", "seg", F.explode(parts).alias("p")).where("p.n > 0").join(first, F.col("m") == F.col("__m"))
-        return met.select("m", "seg", F.col("p.off").cast("long").alias("off"), F.col("p.n").cast("long").alias("size"), F.col("f.did").alias("at_did"), F.col("f.sub").alias("at_sub"), F.col("f.start").alias("at_start"))
+        parts = F.array(*[_found(F.lit(off), n, F.col("f.did"), F.col("f.sub"), F.col("f.start")) for off, n in ((0, F.lit(1)), (1, F.col("size") - 1))])
+        return distinct.join(first, F.col("m") == F.col("__m")).select("m", "seg", F.filter(parts, lambda x: x["n"] > 0).alias("found"))
     spark = distinct.sparkSession
     tokens = F.sum(F.col("size") + F.lit(spec.window - 1))
     mixed = distinct.groupBy("m").agg(F.count("*").alias("c"), F.max("own").alias("o"), (tokens > spec.most).cast("long").alias("large"))
     mixed = materialize(mixed.where("c > 1 OR o > 0").select(F.col("m").alias("__m"), "large"), f"{label}-mixed")
     same = distinct.m == F.col("__m")
-    plain = distinct.join(mixed, same, "left_anti").select("m", "seg", F.lit(0).cast("long").alias("off"), "size", F.col("did").alias("at_did"), F.col("sub").alias("at_sub"), F.col("start").alias("at_start"))
+    plain = distinct.join(mixed, same, "left_anti").select("m", "seg", F.array(_found(F.lit(0), F.col("size"), F.col("did"), F.col("sub"), F.col("start"))).alias("found"))
     columns = [*ANSWERS, *[c for c in PARTS if c not in ANSWERS]]
 
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -302,13 +315,12 @@ def settle(distinct: DataFrame, fetch: Callable[[DataFrame], DataFrame], spec: S
     spread = F.when(F.col("large") > 0, F.pmod("seg", F.lit(partitions(spark)))).otherwise(F.lit(0))
     dealt = fetch(distinct.join(mixed, same)).repartition(partitions(spark), "m", spread).sortWithinPartitions("large", "m")
     done = materialize(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", content binary"), f"{label}-solved")
-    out = plain.unionAll(done.where("pm IS NULL").select(*ANSWERS))
+    out = plain.unionAll(done.where("pm IS NULL").select("m", "seg", F.array(_found(*map(F.col, ANSWERS[2:]))).alias("found")))
     parts = done.where("pm IS NOT NULL").select(*PARTS, "content")
     if not parts.isEmpty():
         inner = settle(_firsts(parts, f"{label}-segments"), lambda wanted: wanted.select(*PLACED).join(parts, PLACED[:5]).select(*PLACED, "content"), finer, solve, label)
-        lifted = inner.select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_sub", "at_start")
-        back = parts.join(lifted, (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg")))
-        out = out.unionAll(back.select("pm", "pseg", F.col("poff") + F.col("off"), "n", "at_did", "at_sub", "at_start"))
+        lifted = F.transform("found", lambda x: x.withField("off", x["off"] + F.col("poff")))
+        out = out.unionAll(answered(parts.drop("content"), inner).select("pm", "pseg", lifted))
     return out
 
 
@@ -325,14 +337,15 @@ def spans(rows: DataFrame, spec: Spec, solve: Callable[[pa.Table], Iterator[pa.R
         shared = found.groupBy("m").agg(*ends).where("min_did < max_did OR min_sub < max_sub").select(F.col("m").alias("__m"))
     kept = materialize(found.join(shared, F.col("m") == F.col("__m")).drop("__m"), f"{label}-runs")
     answers = settle(_firsts(kept, f"{label}-segments"), lambda wanted: segments(rows, wanted, spec), spec, solve, label)
-    answers = answers.select(F.col("m").alias("__m"), F.col("seg").alias("__seg"), "off", F.col("size").alias("n"), "at_did", "at_sub", "at_start")
-    one = F.col("at_did") == F.col("did")
-    earlier = (F.col("at_did") < F.col("did")) | (one & (F.col("at_sub") < F.col("sub")))
-    if spec.within:
-        earlier = earlier | (one & (F.col("at_sub") == F.col("sub")) & (F.col("at_start") < F.col("start") + F.col("off")))
-    met = kept.join(answers, (F.col("m") == F.col("__m")) & (F.col("seg") == F.col("__seg")) & earlier)
-    ranges = met.select("did", "sub", F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("n") + spec.window - 1).alias("b")).alias("r"))
-    return ranges.groupBy("did", "sub").agg(F.collect_list("r").alias("cuts"))
+
+    def earlier(x: Column) -> Column:
+        one = x["at_did"] == F.col("did")
+        before = (x["at_did"] < F.col("did")) | (one & (x["at_sub"] < F.col("sub")))
+        return before | (one & (x["at_sub"] == F.col("sub")) & (x["at_start"] < F.col("start") + x["off"])) if spec.within else before
+
+    met = answered(kept, answers, earlier)
+    cut = F.transform(F.filter("found", earlier), lambda x: F.struct((F.col("start") + x["off"]).alias("a"), (F.col("start") + x["off"] + x["n"] + spec.window - 1).alias("b")))
+    return met.select("did", "sub", cut.alias("r")).groupBy("did", "sub").agg(F.flatten(F.collect_list("r")).alias("cuts"))
 
 
 def removals(docs: DataFrame, spec: Spec, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], label: str, id_col: str, text_col: str) -> DataFrame:

@@ -91,3 +91,27 @@ def test_common_phrase(spark, most):
     rows += [(200 + i, rows[i * 7][1] + " tail " + rows[i * 3][1]) for i in range(20)] + [(300, "ha " * 200), (301, "x " + "ha " * 150)]
     check_bytes(spark, rows, 60, gram=12, most=most)
     check_words(spark, rows, 12, gram=3, most=most)
+
+
+def join_rows(plan):
+    """Rows that each join of an executed plan made."""
+    inner = getattr(plan, {"AdaptiveSparkPlan": "executedPlan"}.get(plan.nodeName(), "plan" if "QueryStage" in plan.nodeName() else "children"))()
+    below = [inner] if "Adaptive" in plan.nodeName() or "QueryStage" in plan.nodeName() else [inner.apply(i) for i in range(inner.size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for p in below for n in join_rows(p)]
+
+
+def test_a_run_meets_its_answers_once(spark, monkeypatch):
+    """A common phrase gives a segment an answer for each window; runs are not repeated for each of them."""
+    pick, kept = random.Random(3), []
+    word = lambda: f"w{pick.randrange(10**6)}"
+    edges = [" ".join(word() for _ in range(9)) for _ in range(40)]
+    rows = [(i, f"{edges[i]} the one phrase that all of them hold {edges[-i]}") for i in range(40)] * 2
+    rows += [(100 + i, text) for i, text in rows]
+    keep = repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df, label: (kept.append((label, keep(df, label))), kept[-1][1])[1])
+    docs = repeats.ident(held(spark, rows), "doc_id", "text").select("did", "sub", "text")
+    found = repeats.spans(docs, window_dedup.spec(12, 3, 1), lambda t: window_dedup._solve(t, 12), "t")
+    assert len(found.collect()) == 40
+    made = join_rows(found._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= max(f.count() for label, f in kept if label == "t-runs")
