@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concordia.operators import lineage
 from concordia.plans.inputs import table
 from concordia.sources import files, writers
 
@@ -29,11 +30,12 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS page_no, b
 def q44_xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook per BOOK parts with key and name, into which a third column is then written in place."""
     parts = table(spark, sf_dir, "part").withColumn("book", F.floor(F.col("p_partkey") / BOOK).cast("string"))
-    ordered = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name")))
-    rows = parts.groupBy("book").agg(F.transform(ordered, lambda x: F.array(x["p_partkey"].cast("string"), x["p_name"])).alias("rows"))
-    first = parts.groupBy("book").agg(F.min("p_partkey").alias("first"))
-    changes = parts.join(first, "book").select(F.col("book").alias("path"), (F.col("p_partkey") - F.col("first") + 1).cast("int").alias("row_no"), F.lit(2).alias("col_no"), F.col("p_type").alias("value"))
-    got = files.read_xlsx(writers.update_xlsx(writers.encode(rows, writers.xlsx_bytes), changes))
+    books = parts.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))).alias("parts"))
+    rows = books.select("book", F.transform("parts", lambda x: F.array(x["p_partkey"].cast("string"), x["p_name"])).alias("rows"))
+    each = books.select(F.col("book").alias("path"), F.posexplode("parts").alias("at", "part"))
+    changes = each.select("path", (F.col("at") + 1).alias("row_no"), F.lit(2).alias("col_no"), F.col("part.p_type").alias("value"))
+    changed = writers.update_xlsx(writers.encode(rows, writers.xlsx_bytes), changes)
+    got = files.read_xlsx(lineage.spread(changed))  # a step in Python for each stage: a core has one worker, not one for each step
     cell = lambda i: F.get("cells", F.lit(i))
     return got.select(F.col("path").cast("long").alias("book"), F.col("row_no").cast("long").alias("row_no"), cell(0).cast("long").alias("p_partkey"), cell(1).alias("p_name"), cell(2).alias("p_type"))
 

@@ -113,9 +113,12 @@ def encode(rows: DataFrame, make: Callable[..., bytes]) -> DataFrame:
 
 
 def update_xlsx(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """files (path, content) with changes (path, row_no, col_no, value) written into them; others pass through."""
+    """files (path, content) with changes (path, row_no, col_no, value) written into them; others pass through.
+
+    The join merges: by a size guessed from a small file, the driver would broadcast the changes, and encoding, update and reading become one stage.
+    """
     by_file = changes.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("row_no", "col_no", "value"))).alias("changes"))
-    joined = files.join(by_file, "path", "left").select("path", "content", "changes")
+    joined = files.join(by_file.hint("merge"), "path", "left").select("path", "content", "changes")
     return encode(joined, lambda content, found: xlsx_update(content, [(c["row_no"], c["col_no"], c["value"]) for c in found]) if found else content)
 
 

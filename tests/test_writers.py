@@ -2,6 +2,7 @@
 
 import csv
 import json
+import re
 from pathlib import Path
 
 import duckdb
@@ -31,6 +32,21 @@ def test_xlsx_update_keeps_the_rest():
     assert files.xlsx_rows(writers.xlsx_update(book, [])) == files.xlsx_rows(book)
 
 
+def test_one_step_in_python_for_each_stage(spark):
+    """Three in a stage are three workers for each core; and no book's changes pass through the driver."""
+    plan = catalogue.queries()["q44_xlsx_roundtrip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert re.findall("MapInArrow|Exchange", plan)[:6] == ["MapInArrow", "Exchange"] * 3
+
+
+def test_book_with_gaps(spark, tmp_path):
+    """Keys that are missing from a book leave no rows; a name and a type stay with their key."""
+    keys = [7, 3, 98, 205, 201]
+    spark.createDataFrame([(k, f"name {k}", f"type {k}") for k in keys], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.queries()["q44_xlsx_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k // 100, n, k, f"name {k}", f"type {k}") for n, k in [(1, 3), (2, 7), (3, 98), (1, 201), (2, 205)]]
+
+
 @pytest.mark.parametrize(("at", "name"), [(0, "A"), (25, "Z"), (26, "AA"), (701, "ZZ"), (702, "AAA")])
 def test_column_name(at, name):
     assert writers.column_name(at) == name
