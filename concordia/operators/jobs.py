@@ -1,7 +1,7 @@
 """The audit of every model against its document, end to end, as one plan over many documents and models.
 
-Blocks, models and datasets meet by doc_id only. What a group has to see together is the text of its pages, which its document
-bounds; it is put together once, and all its fields are looked for in that row.
+Blocks, models and datasets meet by doc_id only, in one row for each document: its blocks are shuffled once, whatever the number of
+its models, and normalised once. A model's pages are taken from that row, and all its fields are looked for there.
 """
 
 from __future__ import annotations
@@ -35,78 +35,108 @@ def model_fields(datasets: DataFrame) -> DataFrame:
     )
 
 
-def chosen_pages(pages: DataFrame, models: DataFrame, fields: DataFrame, mode: str) -> DataFrame:
-    """(doc_id, name, pages) for models whose document names them; pages: blocks_with_size()."""
+def _documents(pages: DataFrame, models: DataFrame, how: str) -> DataFrame:
+    """(doc_id, groups, pages, n_pages): models (doc_id, name, names, ..) meet their document once, as an array beside its pages."""
+    terms = scope.search_terms(F.col("names")).alias("terms")
+    groups = models.select("doc_id", F.struct("name", terms, *[c for c in models.columns if c not in ("doc_id", "name", "names")]).alias("g"))
+    # by size, guessed from a small file, the driver would broadcast the pages
+    held = groups.groupBy("doc_id").agg(F.collect_list("g").alias("groups")).join(scope.page_lists(pages).hint("merge"), "doc_id", how)
+    none = F.array().cast(held.schema["pages"].dataType)
+    return held.select("doc_id", "groups", scope.with_norms(F.coalesce("pages", none)).alias("pages"), F.coalesce("n_pages", F.lit(0).cast("long")).alias("n_pages"))
+
+
+def _choices(row: Column, mode: str) -> Column:
+    """Structs (name, pages) of a row of _documents(): of every group, in their order, for name-match; else of those that are named."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    # Models meet the document once, as an array beside its pages; all else happens inside that row.
-    tokens = fields.select("doc_id", "name", "tokens")
-    terms = models.join(tokens, ["doc_id", "name"], "left").select("doc_id", F.struct("name", scope.search_terms(F.col("names")).alias("terms"), "tokens").alias("g"))
-    held = scope.page_arrays(pages).join(terms.groupBy("doc_id").agg(F.collect_list("g").alias("groups")), "doc_id")
+    anchors = F.transform(row["groups"], lambda g: F.struct(g["name"].alias("name"), scope.named_pages(row["pages"], g["terms"]).alias("pages")))
+    if mode == "name-match":
+        return anchors
+
+    def pick(w: Column) -> Column:
+        own = F.coalesce(F.get(F.filter(row["groups"], lambda g: g["name"] == w["name"]), 0)["tokens"], F.array().cast("array<string>"))
+        chosen = text.let(own, lambda t: scope.select_pages(w, row["pages"], row["n_pages"], t))
+        return F.struct(w["name"].alias("name"), chosen.alias("pages"))
+
+    return F.transform(scope.anchor_windows(anchors, row["n_pages"], F.size(F.array_distinct(F.transform(row["groups"], lambda g: g["name"])))), pick)
 
-    def found(row: Column) -> Column:
-        anchors = F.transform(row["groups"], lambda g: F.struct(g["name"].alias("name"), scope.named_pages(row["pages"], g["terms"]).alias("pages")))
-        if mode == "name-match":
-            return F.filter(anchors, lambda g: F.size(g["pages"]) > 0)
 
-        def pick(w: Column) -> Column:
-            own = F.coalesce(F.get(F.filter(row["groups"], lambda g: g["name"] == w["name"]), 0)["tokens"], F.array().cast("array<string>"))
-            chosen = text.let(own, lambda t: scope.select_pages(w, row["pages"], row["n_pages"], t))
-            return F.struct(w["name"].alias("name"), chosen.alias("pages"))
+def chosen_pages(pages: DataFrame, models: DataFrame, fields: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, name, pages) for models whose document names them; pages: blocks_with_size()."""
+    told = models.select("doc_id", "name", "names").join(fields.select("doc_id", "name", "tokens"), ["doc_id", "name"], "left")
+    held = _documents(pages, told, "inner")
+    chosen = held.select("doc_id", F.inline_outer(F.transform(text.let(F.struct("pages", "groups", "n_pages"), lambda row: _choices(row, mode)), lambda x: F.struct(x.alias("x")))))
+    return chosen.where("x IS NOT NULL AND size(x.pages) > 0").select("doc_id", "x.*")
+
 
-        return F.transform(scope.anchor_windows(anchors, row["n_pages"], F.size(F.array_distinct(F.transform(row["groups"], lambda g: g["name"])))), pick)
+def _chosen_by_model(row: Column, mode: str) -> Column:
+    """The groups of a row of _documents() with chosen, the numbers of their pages; models of one name have the same pages."""
 
-    chosen = held.select("doc_id", F.inline_outer(F.transform(text.let(F.struct("pages", "groups", "n_pages"), found), lambda x: F.struct(x.alias("x")))))
-    return chosen.where("x IS NOT NULL").select("doc_id", "x.*")
+    def choose(found: Column) -> Column:
+        of_name = lambda g: F.array_distinct(F.flatten(F.transform(F.filter(found, lambda x: x["name"] == g["name"]), lambda x: x["pages"])))
+        once = F.size(F.array_distinct(F.transform(found, lambda x: x["name"]))) == F.size(found)
+        numbers = (lambda g, i: F.when(once & g["name"].isNotNull(), F.get(found, i)["pages"]).otherwise(of_name(g))) if mode == "name-match" else (lambda g, i: of_name(g))
+        return F.transform(row["groups"], lambda g, i: F.struct(*[g[c].alias(c) for c in ("name", "fields", "flex_fields", "described")], numbers(g, i).alias("chosen")))
 
+    return text.let(_choices(row, mode), choose)
 
-def _joined(blocks: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(blocks), lambda b: b["block"]), "\n")
 
+def _own(pages: Column, dense: Column, chosen: Column) -> Column:
+    """The pages with the chosen numbers; dense: they are numbered from 1 without gaps, so a number is a place."""
+    inside = F.filter(F.array_sort(chosen), lambda p: p.between(1, F.size(pages)))
+    return F.when(dense, F.transform(inside, lambda p: F.get(pages, (p - 1).cast("int")))).otherwise(F.filter(pages, lambda x: F.array_contains(chosen, x["page_no"])))
 
-def _tables(blocks: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(blocks), lambda b: F.coalesce(b["table_text"], F.lit(""))), "\n")
 
+def _texts(pages: Column) -> list[Column]:
+    """Joined blocks and tables. The normalised forms are joined as well: a line break has none, and each letter's is its own."""
+    tables = F.transform(pages["table_text"], lambda t: F.coalesce(t, F.lit("")))
+    return [
+        F.array_join(pages["block"], "\n").alias("raw"),
+        F.array_join(pages["norm"], "").alias("norm"),
+        F.array_join(tables, "\n").alias("table_raw"),
+        F.array_join(F.transform(tables, text.normalize_token), "").alias("table_norm"),
+    ]
 
-def audit_models(pages: DataFrame, models: DataFrame, datasets: DataFrame, reference: DataFrame | None = None, mode: str = "anchor-window") -> DataFrame:
+
+def audit_models(pages: DataFrame, models: DataFrame, datasets: DataFrame, reference: DataFrame | None = None, mode: str = "anchor-window", dealt: bool = False) -> DataFrame:
     """(doc_id, name, status, doc_pages, field_count, missing, suppressed, field_presence): one row for each model.
 
     pages: blocks_with_size(), with table_text if blocks have tables; models (doc_id, name, names); datasets as for model_fields();
     reference (field): fields of the flex reference, of any number. A field is looked for in the texts and tables of the model's
     pages, or of the whole document where those are empty; a flex field that is not there may be anywhere in the document; a flex
-    field that the reference describes is never reported. The whole document goes only to models that need it, normalised once.
+    field that the reference describes is never reported. dealt: for few documents of many models, which then go to all cores, each
+    with its own texts; else no text leaves its document's row.
     """
     fields = model_fields(datasets)
-    picked = chosen_pages(pages, models, fields, mode)
-    pages = pages if "table_text" in pages.columns else pages.withColumn("table_text", F.lit(None).cast("string"))
-    block = F.struct("page_no", "block", "table_text")
-    texts = [_joined(F.col("b")).alias("text"), _tables(F.col("b")).alias("tables")]
-    spread = picked.select("doc_id", "name", F.explode("pages").alias("page_no"))
-    scoped = spread.join(pages.select("doc_id", "page_no", "block", "table_text"), ["doc_id", "page_no"]).groupBy("doc_id", "name").agg(F.collect_list(block).alias("b"), F.array_sort(F.collect_set("page_no")).alias("doc_pages"))
-    scoped = scoped.select("doc_id", "name", "doc_pages", *texts)
-    whole = pages.groupBy("doc_id").agg(F.collect_list(block).alias("b")).select("doc_id", *texts)
-    norm = lambda c: text.normalize_token(F.col(c))
-    whole = whole.select(F.col("doc_id").alias("__needs"), F.struct(F.col("text").alias("raw"), norm("text").alias("norm"), F.col("tables").alias("table_raw"), norm("tables").alias("table_norm")).alias("whole"))
+    told = models.select("doc_id", "name", "names").join(fields, ["doc_id", "name"], "left")
     none = F.array().cast("array<string>")
-    rows = models.select("doc_id", "name").join(fields, ["doc_id", "name"], "left").join(scoped, ["doc_id", "name"], "left")
-    alone = (F.coalesce("text", F.lit("")) == "") | (F.coalesce("tables", F.lit("")) == "") | (F.size(F.coalesce("flex_fields", none)) > 0)
-    rows = rows.withColumn("__needs", F.when(alone, F.col("doc_id"))).join(whole, "__needs", "left")
     if reference is None:
-        rows = rows.withColumn("described", none)
+        told = told.withColumn("described", none)
     else:  # the flex fields of each model that the reference holds
         flexed = fields.select("doc_id", "name", F.explode("flex_fields").alias("__f")).join(reference.select(F.upper("field").alias("__f")).distinct(), "__f", "left_semi")
-        rows = rows.join(flexed.groupBy("doc_id", "name").agg(F.collect_set("__f").alias("described")), ["doc_id", "name"], "left")
-    known = F.coalesce("described", none)
-    side = lambda own, raw, bare: F.when(F.coalesce(own, F.lit("")) != "", F.struct(F.col(own).alias("raw"), norm(own).alias("norm"))).otherwise(F.struct(F.coalesce(F.col(f"whole.{raw}"), F.lit("")).alias("raw"), F.coalesce(F.col(f"whole.{bare}"), F.lit("")).alias("norm")))
+        told = told.join(flexed.groupBy("doc_id", "name").agg(F.collect_set("__f").alias("described")), ["doc_id", "name"], "left")
+    pages = pages if "table_text" in pages.columns else pages.withColumn("table_text", F.lit(None).cast("string"))
+    held = _documents(pages, told.withColumns({c: F.coalesce(c, none) for c in ("fields", "flex_fields", "described")}), "left")
+    numbers = F.col("pages.page_no")
+    dense = (F.size(F.array_distinct(numbers)) == F.size(numbers)) & (F.coalesce(F.get(numbers, 0), F.lit(1)) == 1) & (F.coalesce(F.array_max(numbers), F.lit(0)) == F.size(numbers))
+    found = text.let(F.struct("pages", "groups", "n_pages"), lambda row: _chosen_by_model(row, mode))
+    rows = held.select("doc_id", "pages", dense.alias("dense"), F.struct(*_texts(F.col("pages"))).alias("whole"), F.inline(found))
+    scoped = text.let(_own(F.col("pages"), F.col("dense"), F.col("chosen")), lambda own: F.struct(F.array_sort(F.array_distinct(own["page_no"])).alias("doc_pages"), *_texts(own)))
+    rows = rows.select("doc_id", "name", "fields", "flex_fields", "described", "whole", scoped.alias("own"))
+    alone = (F.col("own.raw") == "") | (F.col("own.table_raw") == "") | (F.size("flex_fields") > 0)
+    rows = rows.withColumn("whole", F.when(alone, F.col("whole")))
+    if dealt:
+        rows = rows.repartition(pages.sparkSession.sparkContext.defaultParallelism, "doc_id", "name")
+    side = lambda raw, norm: F.when(F.col(f"own.{raw}") != "", F.struct(F.col(f"own.{raw}").alias("raw"), F.col(f"own.{norm}").alias("norm"))).otherwise(F.struct(F.coalesce(F.col(f"whole.{raw}"), F.lit("")).alias("raw"), F.coalesce(F.col(f"whole.{norm}"), F.lit("")).alias("norm")))
     rows = rows.select(
         "doc_id",
         "name",
-        F.coalesce("doc_pages", F.array().cast("array<bigint>")).alias("doc_pages"),
-        F.coalesce("fields", none).alias("fields"),
-        F.coalesce("flex_fields", none).alias("flex_fields"),
-        known.alias("described"),
-        side("text", "raw", "norm").alias("scoped"),
-        side("tables", "table_raw", "table_norm").alias("scoped_tables"),
+        F.col("own.doc_pages").alias("doc_pages"),
+        "fields",
+        "flex_fields",
+        "described",
+        side("raw", "norm").alias("scoped"),
+        side("table_raw", "table_norm").alias("scoped_tables"),
         F.coalesce("whole.raw", F.lit("")).alias("whole_raw"),
         F.coalesce("whole.norm", F.lit("")).alias("whole_norm"),
     )

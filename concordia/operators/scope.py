@@ -28,8 +28,9 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def blocks_with_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """blocks() with n_pages, the number of blocks of the document, so nothing has to count them again."""
-    rows = docs.select("doc_id", _lines(text_col).alias("__l")).select("doc_id", F.size("__l").cast("long").alias("n_pages"), F.posexplode("__l").alias("p", "block"))
-    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block", "n_pages")
+    # the outer form keeps the optimizer from splitting the text a second time, as a filter for empty arrays
+    rows = docs.select("doc_id", _lines(text_col).alias("__l")).select("doc_id", F.size("__l").cast("long").alias("n_pages"), F.posexplode_outer("__l").alias("p", "block"))
+    return rows.where("p IS NOT NULL").select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "block", "n_pages")
 
 
 #: Fields of a dataset that give tokens, their least length, prefixes that datasets are also known without, and hits that are kept of a page.
@@ -56,10 +57,15 @@ def page_array(text_col: str = "text") -> Column:
     return F.transform(_lines(text_col), lambda x, i: F.struct((i + 1).cast("long").alias("page_no"), x.alias("block"), text.normalize_token(x).alias("norm")))
 
 
-def page_arrays(pages: DataFrame) -> DataFrame:
-    """(doc_id, pages, n_pages) from rows (doc_id, page_no, block, n_pages): one row for each document, one exchange."""
-    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "block"))).alias("p"), F.max("n_pages").alias("n_pages"))
-    return held.select("doc_id", F.transform("p", lambda x: F.struct(x["page_no"], x["block"], text.normalize_token(x["block"]).alias("norm"))).alias("pages"), "n_pages")
+def page_lists(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages, n_pages) from rows (doc_id, page_no, block, n_pages), with table_text if they have it: one row for each document, one exchange."""
+    page = F.struct(*[c for c in ("page_no", "block", "table_text") if c in pages.columns])
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), F.max("n_pages").alias("n_pages"))
+
+
+def with_norms(pages: Column) -> Column:
+    """The pages of page_lists() with their normalised form."""
+    return F.transform(pages, lambda x: x.withField("norm", text.normalize_token(x["block"])))
 
 
 def search_terms(names: Column) -> Column:

@@ -148,7 +148,7 @@ def run(spark: SparkSession, options: Options) -> tuple[str, Stages]:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "field"))), lambda x: x["field"])
     datasets = fields.groupBy("name", "dataset", "source", F.col("dataset_ord").alias("ord")).agg(ordered.alias("fields")).select(F.lit(1).alias("doc_id"), "name", "ord", "dataset", "source", "fields")
     known = None if reference is None else reference.select(F.col(flex.COLUMNS[0]).alias("field"))
-    audits = stages.run("audits", lambda: jobs.audit_models(blocks, models, datasets, known, options.scope_mode))
+    audits = stages.run("audits", lambda: jobs.audit_models(blocks, models, datasets, known, options.scope_mode, dealt=True))
     missing = stages.run("missing", lambda: enriched(_missing_rows(audits, fields), options))
     rejected = ranked.where("place > 1").join(chosen.select("group_key"), "group_key", "left_semi")
     _reports(options, audits, models, fields, missing, rejected)
