@@ -159,12 +159,28 @@ def audit_models(pages: DataFrame, models: DataFrame, datasets: DataFrame, refer
 
 
 def missing_by_dataset(audits: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(doc_id, name, dataset, ord, missing): the missing fields under the first dataset that has them, in its order; datasets without any are left out."""
-    rows = datasets.select("doc_id", "name", "ord", "dataset", F.posexplode("fields").alias("place", "field"))
-    first = rows.groupBy("doc_id", "name", "field").agg(F.min(F.struct("ord", "place", "dataset")).alias("at"))
-    lost = audits.select("doc_id", "name", F.explode("missing").alias("field"))
-    held = lost.join(first, ["doc_id", "name", "field"]).groupBy("doc_id", "name", F.col("at.ord").alias("ord"), F.col("at.dataset").alias("dataset"))
-    return held.agg(F.transform(F.array_sort(F.collect_list(F.struct("at.place", "field"))), lambda x: x["field"]).alias("missing"))
+    """(doc_id, name, dataset, ord, missing): the missing fields under the first dataset that has them, in its order; datasets without any are left out.
+
+    A model's datasets meet its missing fields in one row, so no row is shuffled for a field.
+    """
+    held = datasets.groupBy("doc_id", "name").agg(F.collect_list(F.struct("ord", "dataset", "fields")).alias("d"))
+    lost = audits.groupBy("doc_id", "name").agg(F.array_distinct(F.flatten(F.collect_list("missing"))).alias("lost"))
+
+    def places(x: Column) -> Column:
+        return F.transform(x["fields"], lambda f, i: F.struct(f.alias("field"), x["ord"].alias("ord"), i.alias("place"), x["dataset"].alias("dataset")))
+
+    def first(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ((i == 0) | ~F.get(all_, i - 1)["field"].eqNullSafe(e["field"])) & F.array_contains("lost", e["field"]))
+
+    def parted(kept: Column) -> Column:
+        def own(x: Column) -> Column:
+            mine = F.filter(kept, lambda e: e["ord"].eqNullSafe(x["ord"]) & e["dataset"].eqNullSafe(x["dataset"]))
+            return F.struct(x["dataset"].alias("dataset"), x["ord"].alias("ord"), F.transform(F.array_sort(F.transform(mine, lambda e: F.struct(e["place"], e["field"]))), lambda e: e["field"]).alias("missing"))
+
+        return F.transform(F.array_distinct(F.transform(kept, lambda e: F.struct(e["ord"].alias("ord"), e["dataset"].alias("dataset")))), own)
+
+    fields = F.array_sort(F.flatten(F.transform(F.filter("d", lambda x: x["fields"].isNotNull()), places)))
+    return lost.join(held.hint("merge"), ["doc_id", "name"]).select("doc_id", "name", F.inline(text.let(text.let(fields, first), parted))).select("doc_id", "name", "ord", "dataset", "missing")
 
 
 def card_order(status: Column, n_missing: Column, name: Column) -> list[Column]:

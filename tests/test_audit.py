@@ -74,3 +74,16 @@ def test_many_models_of_one_document_are_dealt_out(spark):
     rows = audits.withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in rows}) > 1
     assert {r.name: r.missing for r in rows} == {f"m{k}": [f"field{k + 1}"] for k in range(200)}
+
+
+def test_missing_by_dataset(spark, noise):
+    """Each field was a row of its own in three exchanges; the first dataset by order, then by place, has a field that several have."""
+    pages, models, sets, _ = noise
+    audits = jobs.audit_models(pages, models, sets, mode="name-match").select("doc_id", "name", "missing").persist()
+    assert audits.count() == N_DOCS * N_MODELS
+    assert shuffled(spark, write(jobs.missing_by_dataset(audits, sets)))[1] <= 4 * N_DOCS * N_MODELS
+    audits.unpersist()
+    lost = spark.createDataFrame([(1, "m", ["c", "b", "a", None, "z"]), (1, "m", ["b", "y"]), (2, "m", ["b"])], "doc_id long, name string, missing array<string>")
+    rows = [(1, "m", 1, "later", ["a", "y"]), (1, "m", 0, "one", ["x", "b", "c"]), (1, "m", 0, "two", ["c", "a", None, "b"]), (1, "m", 2, "none", None), (3, "m", 0, "one", ["b"])]
+    got = jobs.missing_by_dataset(lost, spark.createDataFrame(rows, "doc_id long, name string, ord int, dataset string, fields array<string>"))
+    assert sorted((r.doc_id, r.ord, r.dataset, r.missing) for r in got.collect()) == [(1, 0, "one", ["b"]), (1, 0, "two", ["c", "a"]), (1, 1, "later", ["y"])]
