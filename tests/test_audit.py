@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concordia.operators import jobs, scope
@@ -53,6 +54,15 @@ def test_texts_are_shuffled_once(spark, noise, mode):
     assert shuffled(spark, write(jobs.audit_models(pages, models, sets, mode=mode)))[0] < 2 * size
 
 
+def test_cards_are_placed_where_the_reports_are(spark, noise):
+    """The place of a document's cards had an exchange of its own, since reports lay by another key."""
+    audits = jobs.audit_models(*noise[:3], mode="name-match")
+    order = Window.partitionBy("doc_id").orderBy(*jobs.card_order(F.col("status"), F.size("missing"), F.col("name")))
+    placed = audits.select("doc_id", "name", F.row_number().over(order).alias("place"))
+    exchanges = [rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for rows in (audits.select("doc_id", "name", "status", "missing"), placed)]
+    assert exchanges[0] == exchanges[1] > 0
+
+
 def test_odd_pages(spark):
     """Gaps, doubles and numbers from below 1, models without a document or of one name, letters that are more in upper case."""
     blocks = {1: [(-1, "alpha"), (3, "stra"), (3, "ße alpha QTY"), (9, None), (30, "rest")], 2: [(1, "x"), (2, "alpha one"), (3, "two")], 3: [(1, "no one")]}
